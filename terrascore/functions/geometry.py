@@ -16,6 +16,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
 from terrascore.functions.cleaning import ColumnOrName, _col
@@ -112,40 +113,48 @@ def is_line(geometry: ColumnOrName) -> Column:
     return wkb_type(geometry).isin(WKB_LINE, WKB_MULTI_LINE)
 
 
-def _read_parts(blob: bytes) -> list[np.ndarray]:
-    """Coordinates of a (multi) line as flat lon, lat arrays."""
-    parts: list[np.ndarray] = []
+def wkb_line_parts(geometry: ColumnOrName) -> Column:
+    """WKB (multi) lines to flat lon, lat arrays, one Arrow batch at a time.
 
-    def walk(offset: int) -> int:
-        order = "<" if blob[offset] == 1 else ">"
-        kind, count = struct.unpack_from(order + "II", blob, offset + 1)
-        offset += 9
-        kind, dims = kind % 1000, 2 + (1 if kind // 1000 in (1, 2) else 2 if kind // 1000 == 3 else 0)
-        if kind == WKB_LINE:
-            values = np.frombuffer(blob, order + "f8", count * dims, offset).reshape(count, dims)
-            if count:
-                parts.append(values[:, :2].astype("float64").ravel())
-            return offset + 8 * count * dims
-        if kind != WKB_MULTI_LINE:
-            raise ValueError(f"not a line geometry: type {kind}")
-        for _ in range(count):
-            offset = walk(offset)
-        return offset
+    Everything the UDF needs is inside this function, so it is shipped by value
+    and executors need no copy of the package.
+    """
+    line, multi_line = WKB_LINE, WKB_MULTI_LINE
 
-    walk(0)
-    return parts
+    def read_parts(blob: bytes) -> list[np.ndarray]:
+        parts: list[np.ndarray] = []
 
+        def walk(offset: int) -> int:
+            order = "<" if blob[offset] == 1 else ">"
+            kind, count = struct.unpack_from(order + "II", blob, offset + 1)
+            offset += 9
+            kind, extra = kind % 1000, (0, 1, 1, 2)[kind // 1000]
+            if kind == line:
+                dims = 2 + extra
+                values = np.frombuffer(blob, order + "f8", count * dims, offset).reshape(count, dims)
+                if count:
+                    parts.append(values[:, :2].astype("float64").ravel())
+                return offset + 8 * count * dims
+            if kind != multi_line:
+                raise ValueError(f"not a line geometry: type {kind}")
+            for _ in range(count):
+                offset = walk(offset)
+            return offset
 
-@pandas_udf("array<array<double>>")
-def wkb_line_parts(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    """WKB lines to flat coordinate arrays, one Arrow batch at a time."""
-    for geometries in batches:
-        yield pd.Series([None if g is None else _read_parts(bytes(g)) for g in geometries], dtype=object)
+        walk(0)
+        return parts
+
+    @pandas_udf(T.ArrayType(T.ArrayType(T.DoubleType())))
+    def decode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for geometries in batches:
+            yield pd.Series([None if g is None else read_parts(bytes(g)) for g in geometries], dtype=object)
+
+    return decode(_col(geometry))
 
 
 def wkb_length_km(geometry: ColumnOrName) -> Column:
     """Length in kilometres of a WKB line or multi-line."""
-    return multi_line_length_km(flat_parts_to_points(wkb_line_parts(_col(geometry))))
+    return multi_line_length_km(flat_parts_to_points(wkb_line_parts(geometry)))
 
 
 def first_pair(coordinates_json: ColumnOrName) -> Column:

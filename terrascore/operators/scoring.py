@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from terrascore.functions.bands import band
 from terrascore.functions.cleaning import json_object
+from terrascore.operators.aggregates import group_means
 from terrascore.operators.shape import NEED_COLUMNS
 
 MIN_SPAN = 1e-9
@@ -80,7 +81,8 @@ def mean_score_by_link(
 ) -> DataFrame:
     """Mean score per (by, linked item): needs, objectives or types of an indicator."""
     return (
-        scores.where(F.col(score).isNotNull())
+        scores.select(*by, indicator, score)
+        .where(F.col(score).isNotNull())
         .join(links.select(indicator, item).distinct(), indicator)
         .groupBy(*by, item)
         .agg(F.avg(F.col(score).cast("double")).alias(name))
@@ -117,6 +119,11 @@ def wide_to_functions(
     return long.select(*ids, "champ", F.element_at(code_of, F.col("champ")).alias("code"), filled.alias("score"))
 
 
+def group_means_of_needs(territories: DataFrame, ids: Sequence[str]) -> DataFrame:
+    """Mean of the need scores of every objective and of every indicator type."""
+    return group_means(territories, ids, {**OBJECTIVE_GROUPS, **TYPE_GROUPS})
+
+
 def flash_metrics(
     territories: DataFrame, overrides: DataFrame, key: str, columns: Mapping[str, str] | None = None
 ) -> DataFrame:

@@ -9,9 +9,14 @@ from pyspark.sql import types as T
 from terrascore.functions.cleaning import first_non_empty
 
 
-def read_pages(spark: SparkSession, path, schema: T.StructType | str | None = None) -> DataFrame:
-    """Landed result pages, one JSON document per file."""
-    reader = spark.read.option("multiLine", True)
+def read_pages(
+    spark: SparkSession, path, schema: T.StructType | str | None = None, multi_line: bool = True
+) -> DataFrame:
+    """Landed result pages: one JSON document per file, or per line if not ``multi_line``.
+
+    Documents on single lines can be split over tasks; whole-file ones cannot.
+    """
+    reader = spark.read.option("multiLine", multi_line)
     if schema is not None:
         reader = reader.schema(schema)
     return reader.json(path)
@@ -81,13 +86,13 @@ KIND_PROPERTIES = ("epci_type", "nature_epci", "nature")
 FEATURE_SCHEMA = "features array<struct<properties: map<string,string>, geometry: struct<type: string, coordinates: string>>>"
 
 
-def read_features(spark: SparkSession, path) -> DataFrame:
+def read_features(spark: SparkSession, path, multi_line: bool = True) -> DataFrame:
     """One row per GeoJSON feature: properties map, geometry type, coordinates text.
 
     GeoJSON puts the whole collection into one document, so a file is one task;
     several files are read in parallel.
     """
-    pages = read_pages(spark, path, FEATURE_SCHEMA)
+    pages = read_pages(spark, path, FEATURE_SCHEMA, multi_line)
     return pages.select(F.explode("features").alias("f")).select(
         F.col("f.properties").alias("properties"),
         F.col("f.geometry.type").alias("geometry_type"),
