@@ -351,14 +351,14 @@ def agg_array_distinct(t: Tables) -> DataFrame:
     "rowwise_mean",
     f"""WITH w AS ({TERRITORIES_SQL})
         SELECT id_epci, annee,
-               round(coalesce(list_avg(list_filter([score_water, score_food, score_housing, score_healthcare, score_security], lambda x: x IS NOT NULL)), 0), 6) AS subsistance,
-               round(coalesce(list_avg(list_filter([score_education, score_social_cohesion, score_nature], lambda x: x IS NOT NULL)), 0), 6) AS crise
+               round(coalesce(list_avg(list_filter([score_water, score_food, score_housing, score_healthcare, score_security], lambda x: x IS NOT NULL)), 0), 9) AS subsistance,
+               round(coalesce(list_avg(list_filter([score_education, score_social_cohesion, score_nature], lambda x: x IS NOT NULL)), 0), 9) AS crise
         FROM w""",
 )
 def rowwise_mean(t: Tables) -> DataFrame:
     means = group_means_of_needs(territories(t), ["id_epci", "annee"])
     return means.select(
-        "id_epci", "annee", F.round("Subsistance", 6).alias("subsistance"), F.round("Gestion de crise", 6).alias("crise")
+        "id_epci", "annee", F.round("Subsistance", 9).alias("subsistance"), F.round("Gestion de crise", 9).alias("crise")
     )
 
 

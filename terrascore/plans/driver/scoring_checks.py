@@ -182,36 +182,36 @@ def agg_band_counts(t: Tables) -> DataFrame:
 
 @query(
     "pivot_needs",
-    f"""SELECT id_epci, annee, round(score_water, 6) AS score_water, round(score_security, 6) AS score_security,
-               round(score_education, 6) AS score_education, CAST(NULL AS DOUBLE) AS score_energy,
+    f"""SELECT id_epci, annee, round(score_water, 9) AS score_water, round(score_security, 9) AS score_security,
+               round(score_education, 9) AS score_education, CAST(NULL AS DOUBLE) AS score_energy,
                round(list_avg(list_filter([score_water, score_food, score_housing, score_healthcare, score_security,
-                   score_education, score_social_cohesion, score_nature], lambda x: x IS NOT NULL)), 6) AS score
+                   score_education, score_social_cohesion, score_nature], lambda x: x IS NOT NULL)), 9) AS score
         FROM ({TERRITORIES_SQL})""",
 )
 def pivot(t: Tables) -> DataFrame:
     wide = territories(t)
     shown = ["score_water", "score_security", "score_education", "score_energy", "score"]
-    return wide.select("id_epci", "annee", *[F.round(c, 6).alias(c) for c in shown])
+    return wide.select("id_epci", "annee", *[F.round(c, 9).alias(c) for c in shown])
 
 
 @query(
     "unpivot_functions",
     f"""WITH w AS ({TERRITORIES_SQL})
-        SELECT id_epci, annee, 'BV1' AS code, 'score_water' AS champ, round(coalesce(score_water, 0), 6) AS score FROM w
-        UNION ALL SELECT id_epci, annee, 'BV2', 'score_food', round(coalesce(score_food, 0), 6) FROM w
-        UNION ALL SELECT id_epci, annee, 'BV3', 'score_housing', round(coalesce(score_housing, 0), 6) FROM w
-        UNION ALL SELECT id_epci, annee, 'BV4', 'score_healthcare', round(coalesce(score_healthcare, 0), 6) FROM w
-        UNION ALL SELECT id_epci, annee, 'BV5', 'score_security', round(coalesce(score_security, 0), 6) FROM w
-        UNION ALL SELECT id_epci, annee, 'BE1', 'score_education', round(coalesce(score_education, 0), 6) FROM w
-        UNION ALL SELECT id_epci, annee, 'BE2', 'score_social_cohesion', round(coalesce(score_social_cohesion, 0), 6) FROM w
-        UNION ALL SELECT id_epci, annee, 'BE3', 'score_nature', round(coalesce(score_nature, 0), 6) FROM w
+        SELECT id_epci, annee, 'BV1' AS code, 'score_water' AS champ, round(coalesce(score_water, 0), 9) AS score FROM w
+        UNION ALL SELECT id_epci, annee, 'BV2', 'score_food', round(coalesce(score_food, 0), 9) FROM w
+        UNION ALL SELECT id_epci, annee, 'BV3', 'score_housing', round(coalesce(score_housing, 0), 9) FROM w
+        UNION ALL SELECT id_epci, annee, 'BV4', 'score_healthcare', round(coalesce(score_healthcare, 0), 9) FROM w
+        UNION ALL SELECT id_epci, annee, 'BV5', 'score_security', round(coalesce(score_security, 0), 9) FROM w
+        UNION ALL SELECT id_epci, annee, 'BE1', 'score_education', round(coalesce(score_education, 0), 9) FROM w
+        UNION ALL SELECT id_epci, annee, 'BE2', 'score_social_cohesion', round(coalesce(score_social_cohesion, 0), 9) FROM w
+        UNION ALL SELECT id_epci, annee, 'BE3', 'score_nature', round(coalesce(score_nature, 0), 9) FROM w
         UNION ALL SELECT id_epci, annee, 'BI1', 'score_local_economy', 0 FROM w
         UNION ALL SELECT id_epci, annee, 'BI2', 'score_energy', 0 FROM w
         UNION ALL SELECT id_epci, annee, 'BI3', 'score_mobility', 0 FROM w""",
 )
 def unpivot_functions(t: Tables) -> DataFrame:
     long = wide_to_functions(territories(t), ["id_epci", "annee"])
-    return long.select("id_epci", "annee", "code", "champ", F.round("score", 6).alias("score"))
+    return long.select("id_epci", "annee", "code", "champ", F.round("score", 9).alias("score"))
 
 
 FLASH_SQL = """WITH base AS (
@@ -242,12 +242,12 @@ def _flash(t: Tables) -> DataFrame:
 
 @query(
     "flash_metrics",
-    f"""{FLASH_SQL} SELECT c_custkey, champ, code, libelle, round(base, 6) AS base, round(valeur, 6) AS valeur,
+    f"""{FLASH_SQL} SELECT c_custkey, champ, code, libelle, round(base, 9) AS base, round(valeur, 9) AS valeur,
         {FIVE_SQL.format('valeur')} AS interpretation FROM m""",
 )
 def flash(t: Tables) -> DataFrame:
     metrics = _flash(t)
-    return metrics.withColumns({"base": F.round("base", 6), "valeur": F.round("valeur", 6)})
+    return metrics.withColumns({"base": F.round("base", 9), "valeur": F.round("valeur", 9)})
 
 
 @query(
@@ -269,14 +269,14 @@ NEED_LINKS_SQL = """SELECT DISTINCT o_orderpriority || '/' || o_orderstatus AS i
 
 @query(
     "need_scores",
-    f"""SELECT id_epci, annee, id_besoin, round(avg(score_indicateur), 6) AS score_besoin
+    f"""SELECT id_epci, annee, id_besoin, round(avg(score_indicateur), 9) AS score_besoin
         FROM ({SCORED_SQL}) JOIN ({NEED_LINKS_SQL}) USING (id_indicateur) GROUP BY 1, 2, 3""",
 )
 def need_scores(t: Tables) -> DataFrame:
     means = mean_score_by_link(
         score_table(t), need_links(t), ["id_epci", "annee"], "id_indicateur", "id_besoin", "score_indicateur", "m"
     )
-    return means.select("id_epci", "annee", "id_besoin", F.round("m", 6).alias("score_besoin"))
+    return means.select("id_epci", "annee", "id_besoin", F.round("m", 9).alias("score_besoin"))
 
 
 @query(
@@ -285,9 +285,9 @@ def need_scores(t: Tables) -> DataFrame:
              n AS (SELECT id_epci, annee, id_besoin, avg(score_indicateur) AS m FROM s
                    JOIN ({NEED_LINKS_SQL}) USING (id_indicateur) GROUP BY 1, 2, 3),
              o AS (SELECT id_epci, annee, priorite, avg(score_indicateur) AS m FROM s GROUP BY 1, 2, 3)
-        SELECT id_epci, annee, round(avg(score_indicateur), 6) AS score_global,
-               (SELECT round(avg(m), 6) FROM n WHERE n.id_epci = s.id_epci AND n.annee = s.annee) AS score_besoin,
-               (SELECT round(avg(m), 6) FROM o WHERE o.id_epci = s.id_epci AND o.annee = s.annee) AS score_objectif
+        SELECT id_epci, annee, round(avg(score_indicateur), 9) AS score_global,
+               (SELECT round(avg(m), 9) FROM n WHERE n.id_epci = s.id_epci AND n.annee = s.annee) AS score_besoin,
+               (SELECT round(avg(m), 9) FROM o WHERE o.id_epci = s.id_epci AND o.annee = s.annee) AS score_objectif
         FROM s GROUP BY 1, 2""",
 )
 def global_score_rows(t: Tables) -> DataFrame:
@@ -300,7 +300,7 @@ def global_score_rows(t: Tables) -> DataFrame:
         {"score_besoin": (need_links(t), "id_besoin"), "score_objectif": (objectives, "id_objectif")},
     )
     return rows.select(
-        "id_epci", "annee", *[F.round(c, 6).alias(c) for c in ("score_global", "score_besoin", "score_objectif")]
+        "id_epci", "annee", *[F.round(c, 9).alias(c) for c in ("score_global", "score_besoin", "score_objectif")]
     )
 
 
@@ -313,14 +313,14 @@ def latest_year(t: Tables) -> DataFrame:
 
 
 LIST_SQL = f"""WITH s AS ({SCORES_SQL}), a AS ({AREAS_SQL})
-    SELECT id_epci, libelle, departement_code, region_code, round(avg(score_global), 6) AS score_global,
+    SELECT id_epci, libelle, departement_code, region_code, round(avg(score_global), 9) AS score_global,
            count(id_indicateur) AS n_indicateurs, max(updated_at) AS updated_at
     FROM s JOIN a USING (id_epci) WHERE annee = (SELECT max(annee) FROM s)"""
 GROUP_SQL = " GROUP BY 1, 2, 3, 4"
 
 
 def _rounded(df: DataFrame) -> DataFrame:
-    return df.withColumn("score_global", F.round("score_global", 6))
+    return df.withColumn("score_global", F.round("score_global", 9))
 
 
 @query("list_scores", f"{LIST_SQL}{GROUP_SQL} ORDER BY avg(score_global) DESC NULLS LAST, id_epci LIMIT 10 OFFSET 5")
@@ -349,14 +349,14 @@ def detail_summary(t: Tables) -> DataFrame:
 
 @query(
     "detail_needs",
-    f"""WITH s AS ({SCORES_SQL}) SELECT id_epci, id_besoin AS id, 'Besoin ' || id_besoin AS label, round(avg(score_besoin), 6) AS score
+    f"""WITH s AS ({SCORES_SQL}) SELECT id_epci, id_besoin AS id, 'Besoin ' || id_besoin AS label, round(avg(score_besoin), 9) AS score
         FROM s WHERE annee = (SELECT max(annee) FROM s) AND id_besoin IS NOT NULL GROUP BY 1, 2""",
 )
 def detail_needs(t: Tables) -> DataFrame:
     scores = score_table(t)
     needs = t.orders.select(F.col("o_orderstatus").alias("id_besoin"))
     rows = serving.detail_groups(scores, _dimension(needs, "id_besoin", "Besoin "), "id_besoin", "score_besoin")
-    return rows.withColumn("score", F.round("score", 6))
+    return rows.withColumn("score", F.round("score", 9))
 
 
 @query(
@@ -401,7 +401,7 @@ def score_lines(t: Tables) -> DataFrame:
                    max(o_totalprice) AS score_global, min(o_totalprice) AS score_besoin
             FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderstatus = 'P' AND o_orderpriority = '1-URGENT' GROUP BY 1, 2)
         SELECT s.id_epci, libelle AS epci_libelle, departement_code, region_code, s.annee, g.score_global, g.score_besoin,
-               count(DISTINCT id_indicateur) AS indicator_count, round(avg(score_indicateur), 6) AS avg_indicator_score
+               count(DISTINCT id_indicateur) AS indicator_count, round(avg(score_indicateur), 9) AS avg_indicator_score
         FROM s JOIN ({AREAS_SQL}) a ON a.id_epci = s.id_epci LEFT JOIN g ON g.id_epci = s.id_epci AND g.annee = s.annee
         GROUP BY ALL""",
 )
@@ -423,7 +423,7 @@ def view_scores(t: Tables) -> DataFrame:
     view = serving.area_scores_view(score_table(t), areas(t), stored)
     return view.select(
         "id_epci", "epci_libelle", "departement_code", "region_code", "annee", "score_global", "score_besoin",
-        "indicator_count", F.round("avg_indicator_score", 6).alias("avg_indicator_score"),
+        "indicator_count", F.round("avg_indicator_score", 9).alias("avg_indicator_score"),
     )
 
 

@@ -50,32 +50,58 @@ def read_delimited(
     return reader.csv(path)
 
 
-def read_tolerant(
-    spark: SparkSession, path, schema: T.StructType | str, sep: str = ",", header: bool = True, encoding: str = "UTF-8"
-) -> DataFrame:
-    """Delimited scan that skips the lines which do not fit the schema."""
-    return read_delimited_mode(spark, path, schema, "DROPMALFORMED", sep, header, encoding)
+def _schema_of(schema: T.StructType | str) -> T.StructType:
+    return schema if isinstance(schema, T.StructType) else T.StructType.fromDDL(schema)
 
 
-def read_with_quarantine(
-    spark: SparkSession, path, schema: T.StructType, sep: str = ",", header: bool = True, encoding: str = "UTF-8"
-) -> DataFrame:
-    """As ``read_tolerant``, but bad lines stay, their text in ``_corrupt_record``."""
-    wide = T.StructType([*schema.fields, T.StructField(CORRUPT, T.StringType())])
-    return read_delimited_mode(spark, path, wide, "PERMISSIVE", sep, header, encoding)
+def _checked_text(spark, path, schema: T.StructType, mode: str, sep: str, header: bool, encoding: str):
+    """All fields as text, and the test that a line fits the schema.
 
-
-def read_delimited_mode(spark, path, schema, mode: str, sep: str, header: bool, encoding: str) -> DataFrame:
-    return (
-        spark.read.schema(schema)
+    The test names every column, so the outcome for a line does not depend on
+    the columns a query happens to use; pruned CSV scans would not check the rest.
+    """
+    fields = [T.StructField(f.name, T.StringType()) for f in schema.fields]
+    if mode == "PERMISSIVE":
+        fields.append(T.StructField(CORRUPT, T.StringType()))
+    raw = (
+        spark.read.schema(T.StructType(fields))
         .options(
             sep=sep, header=header, encoding=encoding, quote='"', escape='"', mode=mode,
-            columnNameOfCorruptRecord=CORRUPT,
-            # otherwise a line is only checked on the columns a query happens to use
-            columnPruning=False,
+            columnNameOfCorruptRecord=CORRUPT, columnPruning=False,
         )
         .csv(path)
     )
+    fits = F.lit(True)
+    for field in schema.fields:
+        text = F.col(f"`{field.name}`")
+        fits = fits & (text.isNull() | text.try_cast(field.dataType).isNotNull())
+    return raw, fits
+
+
+def _typed(raw: DataFrame, schema: T.StructType) -> DataFrame:
+    return raw.select(*[F.col(f"`{f.name}`").try_cast(f.dataType).alias(f.name) for f in schema.fields])
+
+
+def read_tolerant(
+    spark: SparkSession, path, schema: T.StructType | str, sep: str = ",", header: bool = True, encoding: str = "UTF-8"
+) -> DataFrame:
+    """Delimited scan that skips the lines which do not fit the schema."""
+    schema = _schema_of(schema)
+    raw, fits = _checked_text(spark, path, schema, "DROPMALFORMED", sep, header, encoding)
+    return _typed(raw.where(fits), schema)
+
+
+def read_with_quarantine(
+    spark: SparkSession, path, schema: T.StructType | str, sep: str = ",", header: bool = True, encoding: str = "UTF-8"
+) -> tuple[DataFrame, DataFrame]:
+    """(fitting rows, rejected lines): rejects keep their fields as text.
+
+    A line with a wrong number of fields is also given whole in ``_corrupt_record``.
+    """
+    schema = _schema_of(schema)
+    raw, fits = _checked_text(spark, path, schema, "PERMISSIVE", sep, header, encoding)
+    accepted = fits & F.col(CORRUPT).isNull()
+    return _typed(raw.where(accepted), schema), raw.where(~accepted)
 
 
 def read_after_preamble(
