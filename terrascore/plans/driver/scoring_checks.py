@@ -14,12 +14,13 @@ from terrascore.operators.scoring import (
 from terrascore.operators.shape import pivot_needs
 from terrascore.plans import serving, sheets
 from terrascore.plans.driver.registry import Tables, query
+from terrascore.session import stage
 
 # --- stand-ins: values, scores, dimensions -----------------------------------
 
 VALUES_SQL = """SELECT CAST(c_nationkey AS VARCHAR) AS id_epci, o_orderpriority || '/' || o_orderstatus AS id_indicateur,
         o_orderpriority AS priorite, o_orderstatus AS statut, CAST(year(o_orderdate) AS INTEGER) AS annee,
-        CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) / count(*) AS valeur_brute, strftime(max(o_orderdate), '%Y-%m-%d') AS updated_at
+        CAST(sum(CAST(round(o_totalprice * 100) AS BIGINT)) AS DOUBLE) / (count(*) * 100) AS valeur_brute, strftime(max(o_orderdate), '%Y-%m-%d') AS updated_at
     FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY ALL"""
 
 SCORED_SQL = f"""SELECT *, round((valeur_brute - min(valeur_brute) OVER w)
@@ -58,11 +59,12 @@ def area_values(t: Tables) -> DataFrame:
     """Mean order price per nation, indicator and year.
 
     Orders are summed per customer first, so a customer with a third of all
-    orders reaches the join as a few rows. Prices are summed as decimals, so the
+    orders reaches the join as a few rows. Prices are summed in whole cents, so the
     mean does not depend on the order of addition.
     """
+    cents = F.round(F.col("o_totalprice") * 100).cast("long")
     fine = t.orders.groupBy("o_custkey", "o_orderpriority", "o_orderstatus", F.year("o_orderdate").alias("annee")).agg(
-        F.sum(F.col("o_totalprice").cast("decimal(18,2)")).alias("s"), F.count("o_totalprice").alias("n"), F.max("o_orderdate").alias("u")
+        F.sum(cents).alias("s"), F.count("o_totalprice").alias("n"), F.max("o_orderdate").alias("u")
     )
     placed = fine.join(t.customer.select("c_custkey", "c_nationkey"), F.col("o_custkey") == F.col("c_custkey"))
     return (
@@ -74,22 +76,24 @@ def area_values(t: Tables) -> DataFrame:
             F.col("o_orderpriority").alias("priorite"),
             F.col("o_orderstatus").alias("statut"),
             "annee",
-            F.try_divide(F.col("s").cast("double"), F.col("n")).alias("valeur_brute"),
+            F.try_divide(F.col("s").cast("double"), F.col("n") * 100).alias("valeur_brute"),
             F.date_format("u", "yyyy-MM-dd").alias("updated_at"),
         )
     )
 
 
 def score_table(t: Tables) -> DataFrame:
+    """Scores as a stored table, which is what the serving queries read."""
     scored = min_max_scores(area_values(t))
     score = F.col("score_indicateur")
-    return scored.select(
+    rows = scored.select(
         "id_epci", "id_indicateur", "annee", "score_indicateur", score.alias("score_global"),
         F.when(F.col("statut") != "P", F.col("statut")).alias("id_besoin"), score.alias("score_besoin"),
         F.col("priorite").alias("id_objectif"), score.alias("score_objectif"),
         F.when(F.col("priorite") == "1-URGENT", "Typ2").otherwise("Typ1").alias("id_type"),
         score.alias("score_type"), "updated_at",
     )
+    return stage(rows, "scores")
 
 
 def areas(t: Tables) -> DataFrame:
@@ -105,23 +109,20 @@ def _dimension(scores: DataFrame, key: str, prefix: str) -> DataFrame:
     return ids.withColumn("libelle", F.concat(F.lit(prefix), F.col(key)))
 
 
-def need_links(t: Tables) -> DataFrame:
+def need_links(scores: DataFrame) -> DataFrame:
     """Every indicator belongs to the need of its priority and that of its status."""
-    kinds = t.orders.select("o_orderpriority", "o_orderstatus").distinct()
+    kinds = scores.select("id_indicateur").distinct()
+    parts = F.split("id_indicateur", "/")
     by_priority = F.create_map(*[F.lit(x) for p in NEED_OF_PRIORITY.items() for x in p])
     by_status = F.create_map(*[F.lit(x) for p in NEED_OF_STATUS.items() for x in p])
-    needs = F.array(
-        F.try_element_at(by_priority, F.col("o_orderpriority")), F.try_element_at(by_status, F.col("o_orderstatus"))
-    )
-    return kinds.select(
-        F.concat_ws("/", "o_orderpriority", "o_orderstatus").alias("id_indicateur"), F.explode(needs).alias("id_besoin")
-    )
+    needs = F.array(F.try_element_at(by_priority, F.get(parts, 0)), F.try_element_at(by_status, F.get(parts, 1)))
+    return kinds.select("id_indicateur", F.explode(needs).alias("id_besoin"))
 
 
 def territories(t: Tables) -> DataFrame:
     """Wide territory table: mean score per need."""
-    scored = min_max_scores(area_values(t)).select("id_epci", "annee", "id_indicateur", "score_indicateur")
-    long = scored.join(need_links(t), "id_indicateur")
+    scores = score_table(t).select("id_epci", "annee", "id_indicateur", "score_indicateur")
+    long = scores.join(need_links(scores), "id_indicateur")
     return pivot_needs(long, ["id_epci", "annee"], "id_besoin", "score_indicateur")
 
 
@@ -273,8 +274,9 @@ NEED_LINKS_SQL = """SELECT DISTINCT o_orderpriority || '/' || o_orderstatus AS i
         FROM ({SCORED_SQL}) JOIN ({NEED_LINKS_SQL}) USING (id_indicateur) GROUP BY 1, 2, 3""",
 )
 def need_scores(t: Tables) -> DataFrame:
+    scores = score_table(t)
     means = mean_score_by_link(
-        score_table(t), need_links(t), ["id_epci", "annee"], "id_indicateur", "id_besoin", "score_indicateur", "m"
+        scores, need_links(scores), ["id_epci", "annee"], "id_indicateur", "id_besoin", "score_indicateur", "m"
     )
     return means.select("id_epci", "annee", "id_besoin", F.round("m", 9).alias("score_besoin"))
 
@@ -291,13 +293,11 @@ def need_scores(t: Tables) -> DataFrame:
         FROM s GROUP BY 1, 2""",
 )
 def global_score_rows(t: Tables) -> DataFrame:
-    objectives = t.orders.select(
-        F.concat_ws("/", "o_orderpriority", "o_orderstatus").alias("id_indicateur"),
-        F.col("o_orderpriority").alias("id_objectif"),
-    )
+    scores = score_table(t)
+    objectives = scores.select("id_indicateur", "id_objectif").distinct()
     rows = global_scores(
-        score_table(t), ["id_epci", "annee"], "id_indicateur", "score_indicateur",
-        {"score_besoin": (need_links(t), "id_besoin"), "score_objectif": (objectives, "id_objectif")},
+        scores, ["id_epci", "annee"], "id_indicateur", "score_indicateur",
+        {"score_besoin": (need_links(scores), "id_besoin"), "score_objectif": (objectives, "id_objectif")},
     )
     return rows.select(
         "id_epci", "annee", *[F.round(c, 9).alias(c) for c in ("score_global", "score_besoin", "score_objectif")]
@@ -354,8 +354,7 @@ def detail_summary(t: Tables) -> DataFrame:
 )
 def detail_needs(t: Tables) -> DataFrame:
     scores = score_table(t)
-    needs = t.orders.select(F.col("o_orderstatus").alias("id_besoin"))
-    rows = serving.detail_groups(scores, _dimension(needs, "id_besoin", "Besoin "), "id_besoin", "score_besoin")
+    rows = serving.detail_groups(scores, _dimension(scores, "id_besoin", "Besoin "), "id_besoin", "score_besoin")
     return rows.withColumn("score", F.round("score", 9))
 
 
@@ -369,16 +368,13 @@ def detail_needs(t: Tables) -> DataFrame:
 )
 def detail_indicators(t: Tables) -> DataFrame:
     """One objective is missing from its dimension and keeps a null label."""
-    kinds = t.orders.select(
-        F.concat_ws("/", "o_orderpriority", "o_orderstatus").alias("id_indicateur"),
-        F.col("o_orderstatus").alias("id_besoin"), F.col("o_orderpriority").alias("id_objectif"),
-    )
+    scores = score_table(t)
     types = t.spark.createDataFrame([("Typ1", "État"), ("Typ2", "Action")], "id_type string, libelle string")
     return serving.detail_indicators(
-        score_table(t),
-        _dimension(kinds, "id_indicateur", "Indicateur "),
-        _dimension(kinds, "id_besoin", "Besoin "),
-        _dimension(kinds.where(F.col("id_objectif") != "5-LOW"), "id_objectif", "Objectif "),
+        scores,
+        _dimension(scores, "id_indicateur", "Indicateur "),
+        _dimension(scores, "id_besoin", "Besoin "),
+        _dimension(scores.where(F.col("id_objectif") != "5-LOW"), "id_objectif", "Objectif "),
         types,
         1998,
     )

@@ -34,6 +34,8 @@ def configure(spark: SparkSession) -> SparkSession:
 def build_session(app_name: str = "terrascore", master: str | None = None, **conf: str) -> SparkSession:
     """Create (or reuse) a session; ``conf`` keys use ``__`` for the dots."""
     builder = SparkSession.builder.appName(app_name)
+    # recording the Python line of every Column call makes building a plan slower
+    builder = builder.config("spark.python.sql.dataFrameDebugging.enabled", "false")
     if master:
         builder = builder.master(master)
     for key, value in conf.items():
