@@ -99,11 +99,14 @@ def fill_code(df: DataFrame, missing: str, by: str, lookup: DataFrame, lookup_ke
     table = (
         lookup.select(F.col(lookup_key).alias("_k"), F.col(lookup_value).alias("_v"))
         .where(F.col("_k").isNotNull())
-        .groupBy("_k")
+        .groupBy(F.col("_k").cast("string").alias("_k"))
         .agg(F.min("_v").alias("_v"))
     )
-    # only rows that need it look anything up
-    probe = F.when(F.col(missing).isNull(), F.col(by))
+    # rows that need no lookup get a key that matches nothing and is spread evenly:
+    # as nulls they would all be sent to one task of a shuffled join
+    needed = F.col(missing).isNull() & F.col(by).isNotNull()
+    spread = F.concat(F.lit("\u0000"), F.xxhash64(*df.columns).cast("string"))
+    probe = F.when(needed, F.col(by).cast("string")).otherwise(spread)
     joined = df.join(table, probe == F.col("_k"), "left")
     return joined.withColumn(missing, F.coalesce(missing, "_v")).select(*df.columns)
 
