@@ -18,7 +18,7 @@ from terrascore.operators.aggregates import (
     count_through_shared_code, mean_over_units, per, rate_per, rollup_two_level,
 )
 from terrascore.operators.contract import to_raw_values
-from terrascore.operators.filters import NO_GROUP, city_rule_table, in_group_like, in_real_group, passes_city_rules
+from terrascore.operators.filters import city_rule_table, in_group_like, in_real_group, passes_city_rules
 from terrascore.operators.joins import exclude_listed, fill_code, one_group_per_code
 from terrascore.operators.shape import pick_positions, rename_known
 from terrascore.plans.territory import Territory, populations, surfaces
@@ -37,6 +37,22 @@ URBAN_ZONE_HEADERS = {
 CARPOOL_AREA = "Aire de covoiturage"
 PHARMACY_PREFIX = "Phar"
 HEALTH_POSITIONS = {15: "adresse", 19: "type"}
+# Year and unit of each indicator.
+YEAR_AND_UNIT = {
+    "i032": (2021, None),
+    "i058": (2025, "km_amenagements/km2_urbanise"),
+    "i066": (2025, "nb_pharmacies/10000hab"),
+    "i096": (2024, "nb_medias"),
+    "i113": (2025, "%"),
+    "i130": (2023, "nb pour 100 enfants de moins de 3 ans"),
+    "i131": (2025, "nb_asso/1000_habitants"),
+    "i147": (2024, "km"),
+    "i148": (2024, "km"),
+    "i149": (2025, "nb_lieux/10000_habitants"),
+    "i150": (2024, "nb_trajets/10000_habitants"),
+    "i158": (2025, "nb_cat_nat/km2"),
+}
+DISASTER_NOTE = "Calculé sur l'historique total GASPAR"
 # Fixed value: the code used for one grouping in the disaster file, and the right one.
 WRONG_SIREN, RIGHT_SIREN = "75056", "200054781"
 # City spellings of the media list and the official commune names.
@@ -59,6 +75,11 @@ CITY_NAMES = {
 }
 
 
+def _publish(df: DataFrame, indicator_id: str, source: str | None, group: str = "siren", note: str | None = None) -> DataFrame:
+    year, unit = YEAR_AND_UNIT[indicator_id]
+    return to_raw_values(df, indicator_id, year, unit, source, group=group, note=note)
+
+
 # --- values passed through -------------------------------------------------
 
 
@@ -66,7 +87,7 @@ def indicator_i032(dwellings: DataFrame, source: str = "Observatoire des territo
     """Share of over-occupied dwellings, as published per grouping."""
     named = rename_known(dwellings, {"Code": "id_epci", OVERCROWDING_VALUE: "valeur_brute"})
     values = named.select("id_epci", to_float("valeur_brute").alias("valeur_brute"))
-    return to_raw_values(values, "i032", 2021, source=source)
+    return _publish(values, "i032", source, "id_epci")
 
 
 def indicator_i130(records: DataFrame, source: str | None = None) -> DataFrame:
@@ -74,7 +95,7 @@ def indicator_i130(records: DataFrame, source: str | None = None) -> DataFrame:
     values = records.select(
         F.col("numepci").cast("string").alias("id_epci"), F.col("txcouv_epci").try_cast("double").alias("valeur_brute")
     )
-    return to_raw_values(values, "i130", 2023, "nb pour 100 enfants de moins de 3 ans", source)
+    return _publish(values, "i130", source, "id_epci")
 
 
 # --- densities and shares per area -----------------------------------------
@@ -104,7 +125,7 @@ def indicator_i058(zones: DataFrame, cycleways: DataFrame, territory: Territory,
         cycleway_lengths(cycleways), in_real_group(territory.communes), "code_insee", "epci_code", {"km": F.sum("km")}
     ).withColumnRenamed("epci_code", "siren")
     values = rate_per(lengths, built, "siren", "km", "superficie_artificialisee", 1.0, 2)
-    return to_raw_values(values, "i058", 2025, "km_amenagements/km2_urbanise", source, group="siren")
+    return _publish(values, "i058", source)
 
 
 def indicator_i113(farmland: DataFrame, territory: Territory, source: str | None = None) -> DataFrame:
@@ -116,7 +137,7 @@ def indicator_i113(farmland: DataFrame, territory: Territory, source: str | None
     values = joined.select(
         "siren", per(F.col("hectares") / 100, F.col("superficie_km2"), 100, 1).alias("valeur_brute")
     )
-    return to_raw_values(values, "i113", 2025, "%", source, group="siren")
+    return _publish(values, "i113", source)
 
 
 def indicator_i158(disasters: DataFrame, territory: Territory, source: str | None = None) -> DataFrame:
@@ -129,8 +150,7 @@ def indicator_i158(disasters: DataFrame, territory: Territory, source: str | Non
     values = totals.where(F.col("n").isNotNull()).select(
         F.col("epci_code").alias("id_epci"), per(F.col("n"), F.col("superficie_km2"), digits=3).alias("valeur_brute")
     )
-    note = "Calculé sur l'historique total GASPAR"
-    return to_raw_values(values, "i158", 2025, "nb_cat_nat/km2", source, note=note)
+    return _publish(values, "i158", source, "id_epci", DISASTER_NOTE)
 
 
 # --- rates per inhabitant ----------------------------------------------------
@@ -154,7 +174,7 @@ def indicator_i066(
     counted = count_through_shared_code(pharmacies, catalogue, "code_postal", "epci_code", "n")
     counted = counted.withColumnRenamed("epci_code", "siren")
     values = rate_per(populations(territory.perimeter), counted, "siren", "n", "population", 10000, 2, how="inner")
-    return to_raw_values(values, "i066", 2025, "nb_pharmacies/10000hab", source, group="siren")
+    return _publish(values, "i066", source)
 
 
 def clean_associations(associations: DataFrame, communes: DataFrame) -> DataFrame:
@@ -186,7 +206,7 @@ def indicator_i131(associations: DataFrame, territory: Territory, source: str |
         .withColumn("n", F.coalesce("n", F.lit(0)))
         .withColumn("valeur_brute", per(F.col("n"), F.col("population"), 1000, 2))
     )
-    return to_raw_values(rated, "i131", 2025, "nb_asso/1000_habitants", source, group="siren")
+    return _publish(rated, "i131", source)
 
 
 def associations_report(associations: DataFrame, territory: Territory) -> DataFrame:
@@ -206,7 +226,7 @@ def associations_report(associations: DataFrame, territory: Territory) -> DataFr
 def indicator_i149(areas: DataFrame, territory: Territory, source: str = "i149.csv") -> DataFrame:
     """Car-pool areas per 10 000 inhabitants."""
     values = rate_per(populations(territory.perimeter), carpool_areas(areas), "siren", "n", "population", 10000, 3)
-    return to_raw_values(values, "i149", 2025, "nb_lieux/10000_habitants", source, group="siren")
+    return _publish(values, "i149", source)
 
 
 def carpool_areas(areas: DataFrame) -> DataFrame:
@@ -217,7 +237,7 @@ def carpool_areas(areas: DataFrame) -> DataFrame:
 def indicator_i150(trips: DataFrame, territory: Territory, source: str = "i150.csv") -> DataFrame:
     """Car-pool trips per 10 000 inhabitants, from one published value per grouping."""
     values = rate_per(populations(territory.perimeter), carpool_trips(trips), "siren", "n", "population", 10000, 3)
-    return to_raw_values(values, "i150", 2024, "nb_trajets/10000_habitants", source, group="siren")
+    return _publish(values, "i150", source)
 
 
 def carpool_trips(trips: DataFrame) -> DataFrame:
@@ -262,14 +282,14 @@ def mean_distance(distances: DataFrame, communes: DataFrame, header: str, name:
 def indicator_i147(distances: DataFrame, territory: Territory, source: str = "i147.csv") -> DataFrame:
     """Mean distance to the nearest pharmacy."""
     values = mean_distance(distances, territory.communes, PHARMACY_DISTANCE, "valeur_brute")
-    return to_raw_values(values, "i147", 2024, "km", source, group="siren")
+    return _publish(values, "i147", source)
 
 
 def indicator_i148(distances: DataFrame, territory: Territory, source: str = "i148.csv") -> DataFrame:
     """Mean distance to emergency care, for the groupings of the perimeter."""
     means = mean_distance(distances, territory.communes, EMERGENCY_DISTANCE, "valeur_brute")
     listed = territory.perimeter.select("siren").where(F.col("siren").isNotNull()).distinct()
-    return to_raw_values(listed.join(means, "siren", "left"), "i148", 2024, "km", source, group="siren")
+    return _publish(listed.join(means, "siren", "left"), "i148", source)
 
 
 def distance_report(emergency: DataFrame, pharmacy: DataFrame, communes: DataFrame) -> DataFrame:
@@ -300,7 +320,7 @@ def indicator_i096(media: DataFrame, dependent: DataFrame, territory: Territory,
     """Independent local media per grouping."""
     kept = independent_media(media, dependent, territory.communes)
     values = kept.groupBy(F.col("epci_code").alias("id_epci")).agg(F.count("nom_media").alias("valeur_brute"))
-    return to_raw_values(values.where(F.col("id_epci").isNotNull()), "i096", 2024, "nb_medias", source)
+    return _publish(values.where(F.col("id_epci").isNotNull()), "i096", source, "id_epci")
 
 
 # --- analysts' tables --------------------------------------------------------

@@ -21,6 +21,7 @@ from terrascore.operators.keyed import missing_ids
 from terrascore.operators.shape import trim_headers, wide_sheet_to_long
 from terrascore.session import stage
 from terrascore.sources.files import load_sheets
+from terrascore.tables import UNDATED, conform
 
 logger = logging.getLogger(__name__)
 
@@ -36,10 +37,25 @@ NEED_LINKS, OBJECTIVE_LINKS, TYPE_LINKS = (
 AREAS, VALUES, SCORES = "Table EPCI", "Table Valeurs", "Table Scores indicateurs"
 SHEETS = (NEEDS, OBJECTIVES, TYPES, INDICATORS, NEED_LINKS, OBJECTIVE_LINKS, TYPE_LINKS, AREAS, VALUES, SCORES)
 
+# Headers of the link sheets and the ids their flags stand for.
 NEED_CHOICES = ("Besoin 1", "Besoin 2", "Besoin 3", "Besoin 4", "Besoin 5")
 OBJECTIVE_FLAGS = {"o1": "o1_Subsistance", "o2": "o2_Gestion-de-crise", "o3": "o3_Soutenabilité"}
 TYPE_FLAGS = {"Typ1": "Typ1_Etat", "Typ2": "Typ2_Action"}
-UNDATED = 0
+# Table column and sheet header of the area codes, counts and measures.
+AREA_CODES = {"id_epci": "siren", "departement_code": "dept"}
+AREA_COUNTS = {
+    "population_commune": "total_pop_mun", "population_totale": "total_pop_tot",
+    "nb_departements": "nb_departements", "nb_regions": "nb_regions", "nb_membres": "nb_membres",
+    "nb_delegues": "nb_delegues", "nb_competences": "nb_competences",
+}
+AREA_MEASURES = {
+    "surface_km2": "superficie_km2", "surface_urbanisee_km2": "superficie_urbanisee_km2",
+    "densite_km2": "densite_par_km2", "potentiel_fiscal": "potentiel_fiscal",
+    "dotation_globale": "dotation_globale", "dotation_compensation": "dotation_compensation",
+    "dotation_intercommunalite": "dotation_intercommunalite",
+}
+# Source marks of imported rows.
+AREA_SOURCE, VALUE_SOURCE = "Excel/Table EPCI", "Excel/Table Valeurs"
 
 
 def sheet_rows(sheet: DataFrame) -> DataFrame:
@@ -119,26 +135,14 @@ def ingest_indicators(sheet: DataFrame) -> DataFrame:
 
 def ingest_areas(sheet: DataFrame) -> DataFrame:
     sheet = trim_headers(sheet, lower=True)
-    codes = {"id_epci": "siren", "departement_code": "dept"}
-    counts = {
-        "population_commune": "total_pop_mun", "population_totale": "total_pop_tot",
-        "nb_departements": "nb_departements", "nb_regions": "nb_regions", "nb_membres": "nb_membres",
-        "nb_delegues": "nb_delegues", "nb_competences": "nb_competences",
-    }
-    measures = {
-        "surface_km2": "superficie_km2", "surface_urbanisee_km2": "superficie_urbanisee_km2",
-        "densite_km2": "densite_par_km2", "potentiel_fiscal": "potentiel_fiscal",
-        "dotation_globale": "dotation_globale", "dotation_compensation": "dotation_compensation",
-        "dotation_intercommunalite": "dotation_intercommunalite",
-    }
     rows = sheet.select(
-        *[clean_code(_cell(sheet, header)).alias(name) for name, header in codes.items()],
+        *[clean_code(_cell(sheet, header)).alias(name) for name, header in AREA_CODES.items()],
         _label(_text(sheet, "epci_libellé")).alias("libelle"),
         _text(sheet, "nature_juridique").alias("forme_juridique"),
-        *[to_int(_cell(sheet, header)).alias(name) for name, header in counts.items()],
-        *[to_float(_cell(sheet, header)).alias(name) for name, header in measures.items()],
+        *[to_int(_cell(sheet, header)).alias(name) for name, header in AREA_COUNTS.items()],
+        *[to_float(_cell(sheet, header)).alias(name) for name, header in AREA_MEASURES.items()],
         _text(sheet, "ville_siege").alias("ville_siege"),
-        F.lit("Excel/Table EPCI").alias("source"),
+        F.lit(AREA_SOURCE).alias("source"),
         ROW,
     )
     return _finish(rows, "id_epci")
@@ -194,7 +198,7 @@ def settle_categories(needs: DataFrame, links: DataFrame) -> DataFrame:
 def ingest_values(sheet: DataFrame) -> DataFrame:
     """Long undated values; a cell that is not a number keeps a null value."""
     long = _long_sheet(sheet, "valeur_brute")
-    return long.withColumn("source", F.lit("Excel/Table Valeurs"))
+    return long.withColumn("source", F.lit(VALUE_SOURCE))
 
 
 def ingest_scores(sheet: DataFrame) -> DataFrame:
@@ -263,7 +267,8 @@ def import_folder(spark: SparkSession, folder: str, target: str) -> dict[str, Da
     faulty workbook leaves the target untouched.
     """
     tables = {
-        name: stage(df, name) for name, df in ingest_sheets(load_sheets(spark, folder, SHEETS)).items()
+        name: stage(conform(df, name), name)
+        for name, df in ingest_sheets(load_sheets(spark, folder, SHEETS)).items()
     }
     check_references(tables)
     for name, df in tables.items():

@@ -6,6 +6,7 @@ laptop can be a folder of thousands on a cluster.
 
 from __future__ import annotations
 
+import csv
 import logging
 from collections.abc import Iterable, Sequence
 
@@ -123,6 +124,26 @@ def read_after_preamble(
     return rows.where(F.col(key).rlike(key_pattern))
 
 
+def read_after_header_line(
+    spark: SparkSession, path: str, skip: int, sep: str = ",", encoding: str = "UTF-8"
+) -> DataFrame:
+    """One delimited file whose header is the line after ``skip`` lines of free text.
+
+    The few leading lines are read to learn the header; the scan then leaves out
+    lines equal to them, so it needs no line order. For many files with leading
+    lines of their own use ``read_after_preamble``.
+    """
+    lines = spark.read.option("encoding", encoding).text(path)
+    leading = [row[0] for row in lines.limit(skip + 1).collect()]
+    if len(leading) <= skip:
+        raise ValueError(f"{path}: no header after {skip} lines")
+    names = next(csv.reader([leading[skip].lstrip("\ufeff")], delimiter=sep))
+    schema = text_schema([name.strip() or f"_c{i}" for i, name in enumerate(names)])
+    rows = lines.where(~F.col("value").isin(*leading) & (F.length("value") > 0))
+    parsed = F.from_csv("value", schema.toDDL(), {"sep": sep, "quote": '"', "escape": '"'})
+    return rows.select(parsed.alias("_line")).select("_line.*")
+
+
 def read_columnar(spark: SparkSession, path, columns: Sequence[str] | None = None) -> DataFrame:
     df = spark.read.parquet(path)
     return df.select(*columns) if columns else df
