@@ -6,6 +6,7 @@ inside the JVM and inside whole-stage code generation.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column
@@ -18,16 +19,36 @@ BLANK_WORDS = ("", "nan", "none")
 TRUE_WORDS = ("x", "1", "true", "oui")
 CODE_PLACEHOLDERS = ("nan", "<NA>", "NaN", "Nan", "0", "0.0", "", "INSEE", "commune")
 
+# One pattern does the trimming, the test and the extraction, so a value is scanned
+# once. (?U) makes \s cover every Unicode space; exponents above 299 would overflow.
 _EDGE_SPACE = r"(?U)^\s+|\s+$"
-_NUMBER = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
-_SCIENTIFIC = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)[eE][+-]?[0-9]+$"
-_INTEGRAL = r"^[+-]?[0-9]+(\.0)?$"
+_NUMBER = r"([+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-2]?[0-9]{1,2})?)"
+_PLAIN_NUMBER = rf"(?U)^\s*{_NUMBER}\s*$"
+_PERCENT_NUMBER = rf"(?U)^\s*{_NUMBER}\s?%?\s*$"
+_SCIENTIFIC = r"(?U)^\s*([+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)[eE][+-]?[0-9]+)\s*$"
+_INTEGRAL = r"(?U)^\s*([+-]?[0-9]+)(?:\.0)?\s*$"
+_INDICATOR = r"(?Ui)^\s*(?:i\s*(?=[0-9])|(?=[0-9]+\s*$))([0-9 ]+?)\s*$"
+_SPACES = " \u00a0\u202f"
+
+
+def _any_of(words) -> str:
+    return "|".join(re.escape(word) for word in words if word)
+
+
+_TEXT = rf"(?Uis)^\s*+(?!(?:{_any_of(BLANK_WORDS)})?\s*$)(.*?)\s*$"
+_AREA_CODE = rf"(?Us)^\s*+(?!(?:{_any_of(CODE_PLACEHOLDERS)})?\s*$)(.*?)(?:\.0)?\s*$"
+_FLAG = rf"(?Ui)^\s*(?:{_any_of(TRUE_WORDS)})\s*$"
 
 
 def _col(value: ColumnOrName) -> Column:
     return F.col(value) if isinstance(value, str) else value
 
 
+def _capture(value: ColumnOrName, pattern: str) -> Column:
+    """First group of the pattern; empty text where it does not match."""
+    return F.regexp_extract(_col(value).cast("string"), pattern, 1)
+
+
 def strip(value: ColumnOrName) -> Column:
     """Remove every kind of Unicode white space at both ends."""
     return F.regexp_replace(_col(value).cast("string"), _EDGE_SPACE, "")
@@ -35,23 +56,15 @@ def strip(value: ColumnOrName) -> Column:
 
 def clean_text(value: ColumnOrName) -> Column:
     """Stripped text; blank, ``nan`` and ``none`` (any case) become null."""
-    text = strip(value)
-    return F.when(~F.lower(text).isin(*BLANK_WORDS), text)
-
-
-def _number_text(text: Column) -> Column:
-    # guards the cast: the JVM would also read forms such as '1d' or 'Infinity'
-    return F.when(text.rlike(_NUMBER), text)
-
-
-def _finite(number: Column) -> Column:
-    infinity = F.lit(float("inf"))
-    return F.when((number < infinity) & (number > -infinity), number)
+    return F.nullif(_capture(value, _TEXT), F.lit(""))
 
 
 def to_float(value: ColumnOrName) -> Column:
-    """Tolerant double: anything that is not a finite number becomes null."""
-    return _finite(_number_text(strip(value)).try_cast("double"))
+    """Tolerant double: anything that is not a finite number becomes null.
+
+    The pattern also keeps out forms that only the JVM reads, such as ``1d``.
+    """
+    return _capture(value, _PLAIN_NUMBER).try_cast("double")
 
 
 def to_int(value: ColumnOrName) -> Column:
@@ -65,28 +78,26 @@ def clean_code(value: ColumnOrName) -> Column:
     Whole numbers lose leading zeros and a trailing ``.0``; scientific notation
     is expanded and truncated; anything else (``2A004``) stays as it is.
     """
-    text = clean_text(value)
-    wide = F.regexp_replace(text.try_cast("decimal(38,10)").cast("string"), r"\..*$", "")
-    whole = F.coalesce(wide, text.try_cast("decimal(38,0)").cast("string"))
-    unsigned_zero = F.regexp_replace(whole, "^-0$", "0")
-    numeric = text.rlike(_INTEGRAL) | text.rlike(_SCIENTIFIC)
-    return F.when(numeric, F.coalesce(unsigned_zero, text)).otherwise(text)
+    integral = _capture(value, _INTEGRAL).try_cast("decimal(38,0)")
+    scientific = _capture(value, _SCIENTIFIC)
+    expanded = scientific.try_cast("decimal(38,10)").cast("string")
+    truncated = F.substring_index(expanded, ".", 1).try_cast("decimal(38,0)")
+    # numbers too wide for ten decimals are whole already
+    whole = F.coalesce(integral, truncated, scientific.try_cast("decimal(38,0)"))
+    return F.coalesce(whole.cast("string"), clean_text(value))
 
 
 def clean_indicator_id(value: ColumnOrName) -> Column:
     """``I 7``, ``i007`` and ``7`` all become ``i007``; other text is lower-cased."""
-    text = F.lower(clean_text(value))
-    prefixed = F.regexp_extract(text, r"(?U)^i\s*([0-9][0-9 ]*)$", 1)
-    bare = F.regexp_extract(text, r"^([0-9]+)$", 1)
-    digits = F.regexp_replace(F.concat(prefixed, bare), " ", "")
-    short = F.regexp_replace(digits, "^0+", "")
+    digits = F.nullif(F.translate(_capture(value, _INDICATOR), " ", ""), F.lit(""))
+    short = F.ltrim(digits, F.lit("0"))
     padded = F.lpad(short, F.greatest(F.lit(3), F.length(short)), F.lit("0"))
-    return F.when(digits != "", F.concat(F.lit("i"), padded)).otherwise(text)
+    return F.coalesce(F.concat(F.lit("i"), padded), F.lower(clean_text(value)))
 
 
 def is_flagged(value: ColumnOrName) -> Column:
     """True for x, 1, true and oui in any case; false for everything else."""
-    return F.coalesce(F.lower(clean_text(value)).isin(*TRUE_WORDS), F.lit(False))
+    return F.coalesce(_col(value).cast("string").rlike(_FLAG), F.lit(False))
 
 
 def is_present(value: ColumnOrName) -> Column:
@@ -94,27 +105,29 @@ def is_present(value: ColumnOrName) -> Column:
     return clean_text(value).isNotNull()
 
 
+def _padded(code: Column, width: int) -> Column:
+    return F.lpad(code, F.greatest(F.lit(width), F.length(code)), F.lit("0"))
+
+
 def pad_code(value: ColumnOrName, width: int = 5) -> Column:
     """Drop a trailing ``.0`` and left-pad with zeros; longer codes stay whole."""
-    code = F.regexp_replace(_col(value).cast("string"), r"\.0$", "")
-    return F.lpad(code, F.greatest(F.lit(width), F.length(code)), F.lit("0"))
+    return _padded(F.regexp_replace(_col(value).cast("string"), r"\.0$", ""), width)
 
 
 def clean_area_code(value: ColumnOrName, width: int = 5) -> Column:
     """Commune or postal code: placeholders become null, the rest is padded."""
-    text = strip(value)
-    return pad_code(F.when(~text.isin(*CODE_PLACEHOLDERS), text), width)
+    return _padded(F.nullif(_capture(value, _AREA_CODE), F.lit("")), width)
 
 
 def spaced_number(value: ColumnOrName) -> Column:
     """Number with space thousands separators (plain, no-break or narrow)."""
-    return to_float(F.regexp_replace(_col(value).cast("string"), r"[ \u00A0\u202F]", ""))
+    return to_float(F.translate(_col(value).cast("string"), _SPACES, ""))
 
 
 def decimal_comma_number(value: ColumnOrName) -> Column:
     """Number written with a decimal comma and possibly a percent sign."""
-    text = F.regexp_replace(_col(value).cast("string"), ",", ".")
-    return to_float(F.regexp_replace(text, r"[ \u00A0\u202F]?%", ""))
+    text = F.translate(_col(value).cast("string"), ",", ".")
+    return _capture(text, _PERCENT_NUMBER).try_cast("double")
 
 
 def first_token(value: ColumnOrName) -> Column:

@@ -25,10 +25,10 @@ def to_raw_values(
     Rows without a value are dropped, never turned into 0. ``meta`` keeps the
     computed row as JSON, or a fixed note.
     """
-    number = F.col(value).cast("double")
+    number = F.nanvl(F.col(value).cast("double"), F.lit(None).cast("double"))
     raw = F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("raw")
     meta = json_object(F.lit(note).alias("note")) if note else json_object(raw)
-    return df.where(number.isNotNull() & ~F.isnan(number)).select(
+    return df.where(number.isNotNull()).select(
         F.col(group).cast("string").alias("id_epci"),
         F.lit(indicator_id).alias("id_indicateur"),
         (year if isinstance(year, Column) else F.lit(year)).cast("int").alias("annee"),
