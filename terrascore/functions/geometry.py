@@ -48,17 +48,30 @@ RADIUS_ORIGIN = SCALE * _conformal(_P0) ** CONE
 ECCENTRICITY = _ECC
 
 
+def _projector():
+    """The forward formula as ``xy(lon, lat, m)``; ``m`` is the Spark or the numpy function module.
+
+    Its constants are local, so it can be shipped to executors by value.
+    """
+    eccentricity, cone, scale = ECCENTRICITY, CONE, SCALE
+    origin, east, north = LON_ORIGIN, FALSE_EAST, FALSE_NORTH + RADIUS_ORIGIN
+    quarter = math.pi / 4
+
+    def xy(lon, lat, m):
+        phi = m.radians(lat)
+        s = m.sin(phi) * eccentricity
+        t = m.tan(quarter - phi / 2) / ((1 - s) / (1 + s)) ** (eccentricity / 2)
+        radius = t**cone * scale
+        angle = m.radians(lon - origin) * cone
+        return radius * m.sin(angle) + east, north - radius * m.cos(angle)
+
+    return xy
+
+
 def project(lon: Column, lat: Column) -> Column:
     """Longitude and latitude in degrees to a struct (x, y) in metres."""
-    phi = F.radians(lat)
-    s = F.sin(phi) * _ECC
-    t = F.tan(F.lit(math.pi / 4) - phi / 2) / F.pow((1 - s) / (1 + s), F.lit(_ECC / 2))
-    radius = F.pow(t, F.lit(CONE)) * SCALE
-    angle = F.radians(lon - LON_ORIGIN) * CONE
-    return F.struct(
-        (radius * F.sin(angle) + FALSE_EAST).alias("x"),
-        (F.lit(FALSE_NORTH + RADIUS_ORIGIN) - radius * F.cos(angle)).alias("y"),
-    )
+    x, y = _projector()(lon, lat, F)
+    return F.struct(x.alias("x"), y.alias("y"))
 
 
 def line_length_km(points: ColumnOrName) -> Column:
@@ -78,24 +91,6 @@ def line_length_km(points: ColumnOrName) -> Column:
     return F.aggregate(projected, start, add_segment, lambda state: state["metres"] / 1000)
 
 
-def multi_line_length_km(parts: ColumnOrName) -> Column:
-    """Total length of an array of lines."""
-    return F.aggregate(_col(parts), F.lit(0.0), lambda total, part: total + line_length_km(part))
-
-
-def flat_parts_to_points(parts: ColumnOrName) -> Column:
-    """array<array<double>> of alternating lon, lat to array<array<struct<lon, lat>>>."""
-    return F.transform(
-        _col(parts),
-        lambda flat: F.transform(
-            F.sequence(F.lit(0), (F.size(flat) / 2).cast("int") - 1),
-            lambda i: F.struct(
-                F.get(flat, i * 2).alias("lon"), F.get(flat, i * 2 + 1).alias("lat")
-            ),
-        ),
-    )
-
-
 # WKB geometry type numbers.
 WKB_LINE, WKB_MULTI_LINE = 2, 5
 
@@ -113,48 +108,54 @@ def is_line(geometry: ColumnOrName) -> Column:
     return wkb_type(geometry).isin(WKB_LINE, WKB_MULTI_LINE)
 
 
-def wkb_line_parts(geometry: ColumnOrName) -> Column:
-    """WKB (multi) lines to flat lon, lat arrays, one Arrow batch at a time.
+def wkb_length_km(geometry: ColumnOrName) -> Column:
+    """Length in kilometres of WKB lines and multi-lines, one Arrow batch at a time.
 
-    Everything the UDF needs is inside this function, so it is shipped by value
-    and executors need no copy of the package.
+    Python only finds the coordinates in each value; projecting and measuring is
+    done by numpy over all points of a batch. Everything the UDF needs is inside
+    this function, so it is shipped by value and executors need no package.
     """
-    line, multi_line = WKB_LINE, WKB_MULTI_LINE
-
-    def read_parts(blob: bytes) -> list[np.ndarray]:
-        parts: list[np.ndarray] = []
-
-        def walk(offset: int) -> int:
-            order = "<" if blob[offset] == 1 else ">"
-            kind, count = struct.unpack_from(order + "II", blob, offset + 1)
-            offset += 9
-            kind, extra = kind % 1000, (0, 1, 1, 2)[kind // 1000]
-            if kind == line:
-                dims = 2 + extra
-                values = np.frombuffer(blob, order + "f8", count * dims, offset).reshape(count, dims)
-                if count:
-                    parts.append(values[:, :2].astype("float64").ravel())
-                return offset + 8 * count * dims
-            if kind != multi_line:
-                raise ValueError(f"not a line geometry: type {kind}")
-            for _ in range(count):
-                offset = walk(offset)
-            return offset
-
-        walk(0)
-        return parts
-
-    @pandas_udf(T.ArrayType(T.ArrayType(T.DoubleType())))
-    def decode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    line, multi_line, xy = WKB_LINE, WKB_MULTI_LINE, _projector()
+
+    def add_parts(blob: bytes, offset: int, parts: list) -> int:
+        order = "<" if blob[offset] == 1 else ">"
+        kind, count = struct.unpack_from(order + "II", blob, offset + 1)
+        offset += 9
+        kind, extra = kind % 1000, (0, 1, 1, 2)[kind // 1000]
+        if kind == line:
+            dims = 2 + extra
+            values = np.frombuffer(blob, order + "f8", count * dims, offset)
+            parts.append(values.reshape(count, dims)[:, :2])
+            return offset + 8 * count * dims
+        if kind != multi_line:
+            raise ValueError(f"not a line geometry: type {kind}")
+        for _ in range(count):
+            offset = add_parts(blob, offset, parts)
+        return offset
+
+    @pandas_udf(T.DoubleType())
+    def length(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for geometries in batches:
-            yield pd.Series([None if g is None else read_parts(bytes(g)) for g in geometries], dtype=object)
-
-    return decode(_col(geometry))
-
-
-def wkb_length_km(geometry: ColumnOrName) -> Column:
-    """Length in kilometres of a WKB line or multi-line."""
-    return multi_line_length_km(flat_parts_to_points(wkb_line_parts(geometry)))
+            parts: list = []
+            owners: list = []
+            for row, blob in enumerate(geometries):
+                before = len(parts)
+                if blob is not None:
+                    add_parts(bytes(blob), 0, parts)
+                owners.extend([row] * (len(parts) - before))
+            missing = geometries.isna().to_numpy()
+            total = np.zeros(len(geometries))
+            if parts:
+                points = np.concatenate(parts).astype("float64")
+                x, y = xy(points[:, 0], points[:, 1], np)
+                part_of = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
+                # a step from the end of one part to the start of the next is not a segment
+                steps = np.hypot(np.diff(x), np.diff(y)) * (part_of[1:] == part_of[:-1])
+                owner_of = np.asarray(owners)[part_of[1:]]
+                total = np.bincount(owner_of, weights=steps, minlength=len(geometries))
+            yield pd.Series(np.where(missing, np.nan, total / 1000))
+
+    return length(_col(geometry))
 
 
 def first_pair(coordinates_json: ColumnOrName) -> Column:
