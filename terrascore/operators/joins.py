@@ -62,12 +62,6 @@ def unnest_links(df: DataFrame, id_column: str, array_column: str, item: str) ->
     return df.select(id_column, F.explode(array_column).alias(item))
 
 
-def explode_choices(df: DataFrame, id_column: str, choices: Sequence[Column], item: str, keep=()) -> DataFrame:
-    """One row per non-null choice among several columns."""
-    rows = df.select(id_column, *keep, F.explode(F.array(*choices)).alias(item))
-    return rows.where(F.col(item).isNotNull())
-
-
 def flags_to_links(df: DataFrame, id_column: Column, flags: Mapping[str, Column], item: str) -> DataFrame:
     """One row (id, code) per raised flag of a wide row."""
     raised = F.array(*[F.when(flag, F.lit(code)) for code, flag in flags.items()])

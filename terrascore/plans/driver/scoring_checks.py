@@ -509,6 +509,50 @@ def ingest_territory(t: Tables) -> DataFrame:
     return rows.select("id_epci", "departement_code", "libelle", "forme_juridique", "population_totale", "surface_km2")
 
 
+@query(
+    "ingest_links",
+    """WITH l AS (SELECT 'i' || lpad('' || p_size, 3, '0') AS ind, p_brand AS id_besoin, p_type FROM part WHERE p_brand <> 'Brand#9'
+                  UNION ALL SELECT 'i' || lpad('' || p_size, 3, '0'), p_type, p_type FROM part)
+       SELECT id_besoin, CASE WHEN bool_or(p_type <> 'PROMO') THEN 'Vitaux' ELSE 'connu' END AS categorie,
+              string_agg(DISTINCT ind, ',' ORDER BY ind) AS indicateurs
+       FROM l GROUP BY 1""",
+)
+def ingest_links(t: Tables) -> DataFrame:
+    """Need columns of a link sheet, both ways of the relation, category from the first row that has one."""
+    sheet = t.part.select(
+        F.concat(F.lit("I "), F.col("p_size").cast("string")).alias("ID_Indicateurs"),
+        F.col("p_brand").alias("Besoin 1"), F.col("p_type").alias("Besoin 3"),
+        F.when(F.col("p_type") != "PROMO", " Vitaux").alias("Type_de_besoins"),
+    )
+    known = (
+        t.part.where(F.col("p_brand") != "Brand#9").select(F.col("p_brand").alias("id_besoin"))
+        .union(t.part.select("p_type")).distinct().withColumn("categorie", F.lit("connu"))
+    )
+    links = sheets.need_links(sheets.sheet_rows(sheet), known)
+    needs = sheets.attach_links(
+        sheets.settle_categories(known, links), links, "id_besoin", "id_indicateur", "ids_indicateurs"
+    )
+    return needs.select("id_besoin", "categorie", F.array_join("ids_indicateurs", ",").alias("indicateurs"))
+
+
+@query(
+    "ingest_flag_links",
+    """SELECT DISTINCT 'i' || lpad('' || p_size, 3, '0') AS id_indicateur,
+              CASE p_type WHEN 'PROMO' THEN 'o1' ELSE 'o3' END AS id_objectif FROM part WHERE p_type IN ('PROMO', 'LARGE', 'SMALL')""",
+)
+def ingest_flag_links(t: Tables) -> DataFrame:
+    """Flag columns of a link sheet; the second objective is not in the dimension."""
+    kind = F.col("p_type")
+    sheet = t.part.select(
+        F.col("p_size").cast("string").alias("ID_Indicateurs"),
+        F.when(kind == "PROMO", " X").otherwise("0").alias("o1_Subsistance"),
+        F.lit("oui").alias("o2_Gestion-de-crise"),
+        F.when(kind == "LARGE", "Oui").when(kind == "SMALL", "1").otherwise("non").alias("o3_Soutenabilité"),
+    )
+    known = t.spark.createDataFrame([("o1",), ("o3",)], "id_objectif string")
+    return sheets.objective_links(sheets.sheet_rows(sheet), known).distinct()
+
+
 @query(
     "unpivot_partial_upsert",
     """WITH s AS (SELECT '' || c_custkey AS id_epci, 'i001' AS id_indicateur, c_acctbal AS v, c_name AS libelle_epci FROM customer

@@ -13,7 +13,7 @@ from terrascore.sources.files import (
     link_entities, load_sheets, read_after_preamble, read_columnar, read_delimited, read_folder, read_tolerant,
 )
 from terrascore.sources.records import describe_features, explode_results, extract_records, read_features, read_pages
-from terrascore.sources.tables import write_delimited
+from terrascore.sources.tables import read_table, upsert_table, write_delimited
 
 
 @query("src_csv_roundtrip", "SELECT p_partkey, p_name, p_brand, p_type, p_size, p_retailprice FROM part")
@@ -235,6 +235,26 @@ def upsert_merge(t: Tables) -> DataFrame:
     return merge_upsert(target, updates, ["id"], "seq")
 
 
+@query(
+    "upsert_table",
+    """SELECT id, annee, valeur FROM (
+         SELECT o_custkey AS id, CAST(year(o_orderdate) AS INTEGER) AS annee, o_totalprice AS valeur,
+                row_number() OVER (PARTITION BY o_custkey, year(o_orderdate)
+                                   ORDER BY o_orderstatus <> 'F' DESC, o_orderkey DESC) AS rn FROM orders) WHERE rn = 1""",
+)
+def upsert_stored(t: Tables) -> DataFrame:
+    """Two batches into a table partitioned by year; the second one wins."""
+    path = t.scratch("table")
+    rows = t.orders.select(
+        F.col("o_custkey").alias("id"), F.year("o_orderdate").alias("annee"), F.col("o_totalprice").alias("valeur"),
+        F.col("o_orderkey").alias("seq"), "o_orderstatus",
+    )
+    first = F.col("o_orderstatus") == "F"
+    for batch in (rows.where(first), rows.where(~first)):
+        upsert_table(path, batch.drop("o_orderstatus"), ["id", "annee"], "seq")
+    return read_table(t.spark, path)
+
+
 @query(
     "insert_ignore",
     """WITH t AS (SELECT s_suppkey AS k, s_nationkey AS nation, s_name AS libelle FROM supplier),

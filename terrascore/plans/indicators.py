@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from terrascore.functions.cleaning import (
-    clean_area_code, decimal_comma_number, first_token, pad_code, remap, replace_value, spaced_number, to_float,
+    clean_area_code, decimal_comma_number, first_token, remap, replace_value, spaced_number, to_float,
 )
 from terrascore.functions.geometry import is_line, wkb_length_km
 from terrascore.operators.aggregates import (

@@ -1,5 +1,4 @@
 import pytest
-from pyspark.sql import functions as F
 
 from terrascore.functions import cleaning as c
 

@@ -68,8 +68,6 @@ def test_unmatched_and_arrays(spark, rows, texts):
     links = texts(["i", "n"], ["i1", "B"], ["i1", "A"], ["i1", "A"], ["i2", None])
     assert rows(joins.link_arrays(links, "i", "n", "ns")) == [("i1", ["A", "B"])]
     assert rows(joins.one_group_per_code(texts(["c", "g"], ["1", "b"], ["1", "a"]), "c", "g")) == [("1", "a")]
-    wide = texts(["id", "a", "b"], ["1", "x", None], ["2", None, None])
-    assert rows(joins.explode_choices(wide, "id", [F.col("a"), F.col("b")], "n")) == [("1", "x")]
 
 
 # --- filters -----------------------------------------------------------------
