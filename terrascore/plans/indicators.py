@@ -195,10 +195,9 @@ def indicator_i131(associations: DataFrame, territory: Territory, source: str |
     """Active associations per 1 000 inhabitants; 0 where a grouping has none."""
     cleaned = clean_associations(associations, territory.communes)
     members = territory.perimeter.select("siren", "insee").distinct()
-    # one row per association and commune before the join, whatever is repeated
-    placed = cleaned.select("id", "adrs_codeinsee").distinct().join(
-        members, F.col("adrs_codeinsee") == F.col("insee")
-    )
+    # repeated ids need no distinct of their own: the count combines them per task,
+    # then by (siren, id), so neither a hot commune nor a hot grouping is one task
+    placed = cleaned.select("id", "adrs_codeinsee").join(members, F.col("adrs_codeinsee") == F.col("insee"))
     counted = placed.groupBy("siren").agg(F.count_distinct("id").alias("n"))
     rated = (
         populations(territory.perimeter)
@@ -309,7 +308,7 @@ def independent_media(media: DataFrame, dependent: DataFrame, communes: DataFram
     """
     named = media.withColumn("ville", remap("ville", CITY_NAMES))
     places = communes.select("code_insee", "nom_standard", "dep_code", "epci_code", "epci_nom")
-    placed = named.distinct().join(places, F.col("ville") == F.col("nom_standard")).drop("ville")
+    placed = named.join(places, F.col("ville") == F.col("nom_standard")).drop("ville")
     kept = placed.where(
         passes_city_rules(F.col("nom_standard"), F.col("dep_code"), F.col("nom_media"), city_rule_table())
     )
