@@ -39,21 +39,25 @@ def upsert_table(
     if partition not in keys:
         raise ValueError(f"partition column {partition!r} must be one of the keys")
     spark = updates.sparkSession
-    batch = stage(updates, "batch")
     current = read_table(spark, path)
     if current is None:
-        merged = merge_upsert(None, batch, keys, sequence)
-    else:
-        # partition pruning at run time: the touched values are a tiny side
-        touched = batch.select(partition).distinct()
-        merged = merge_upsert(current.join(touched, partition, "left_semi"), batch, keys, sequence)
-    merged = stage(merged, "merged")
+        # a first load reads nothing it overwrites, so it is written straight away
+        _write_partitions(merge_upsert(None, updates, keys, sequence), path, partition)
+        return spark.read.parquet(path).count()
+    batch = stage(updates, "batch")
+    # partition pruning at run time: the touched values are a tiny side
+    touched = batch.select(partition).distinct()
+    merged = stage(merge_upsert(current.join(touched, partition, "left_semi"), batch, keys, sequence), "merged")
+    _write_partitions(merged, path, partition)
+    return merged.count()
+
+
+def _write_partitions(df: DataFrame, path: str, partition: str) -> None:
+    """Replace the partitions ``df`` has rows for; files of even size, a hot partition split over tasks."""
     (
-        # files of even size per partition value; a hot one is split over tasks
-        merged.hint("rebalance", partition)
+        df.hint("rebalance", partition)
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy(partition)
         .parquet(path)
     )
-    return merged.count()
