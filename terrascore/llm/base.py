@@ -6,6 +6,7 @@ from collections.abc import Iterable, Iterator
 from itertools import count
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,7 +44,7 @@ def slices(batches: Iterable[pa.RecordBatch], column: str, most: int = 4 << 20)
     """Cut batches into runs of rows whose texts hold about ``most`` bytes; a longer text is a run of its own."""
     for batch in batches:
         column_at = batch.schema.get_field_index(column)
-        lengths = pa.compute.fill_null(pa.compute.binary_length(batch.column(column_at)), 0).to_pylist()
+        lengths = pc.fill_null(pc.binary_length(batch.column(column_at)), 0).to_pylist()
         start, held = 0, 0
         for row, size in enumerate(lengths):
             if row > start and held + size > most:

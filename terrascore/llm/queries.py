@@ -1,8 +1,12 @@
 """All queries of this package; importing it registers them."""
 
 from terrascore.llm import (  # noqa: F401  (registers the queries)
+    bpe,
     fingerprints,
+    languages,
     mixing,
+    neardup,
+    secrets,
     sharding,
 )
 from terrascore.llm.registry import QUERIES, SQL
