@@ -6,6 +6,7 @@ from terrascore.llm import (  # noqa: F401  (registers the queries)
     languages,
     mixing,
     neardup,
+    neighbours,
     secrets,
     sharding,
 )
