@@ -2,8 +2,10 @@
 
 from terrascore.llm import (  # noqa: F401  (registers the queries)
     bpe,
+    chats,
     fingerprints,
     languages,
+    licences,
     mixing,
     neardup,
     neighbours,
