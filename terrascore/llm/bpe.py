@@ -67,11 +67,11 @@ def byte_letters() -> tuple[str, ...]:
 
 
 @cache
-def _category(first: str) -> str:
-    """Character class of all code points whose general category begins with ``first``, as ranges."""
+def _category(first: str, last: int) -> str:
+    """Character class of the code points up to ``last`` whose general category begins with ``first``, as ranges."""
     out, start = [], None
-    for c in range(sys.maxunicode + 2):
-        inside = c <= sys.maxunicode and unicodedata.category(chr(c))[0] == first
+    for c in range(last + 2):
+        inside = c <= last and unicodedata.category(chr(c))[0] == first
         if inside and start is None:
             start = c
         elif not inside and start is not None:
@@ -81,13 +81,23 @@ def _category(first: str) -> str:
 
 
 @cache
-def _piece_pattern() -> re.Pattern:
-    letters = _category("L")
-    numbers = _category("N") + "".join(f"{chr(a)}-{chr(b)}" for a, b in NEWER_DIGITS)
+def _piece_pattern(last: int = sys.maxunicode) -> re.Pattern:
+    """Pieces of texts whose code points go up to ``last``: classes within 16 bits are looked up in a table, others in a list."""
+    letters = _category("L", last)
+    numbers = _category("N", last) + "".join(f"{chr(a)}-{chr(b)}" for a, b in NEWER_DIGITS if b <= last)
     endings = "|".join(c[1:] for c in CONTRACTIONS)
     return re.compile(f"[{letters}]+|[{numbers}]|'(?:{endings})|[^{WHITE}{letters}{numbers}]+")
 
 
+_ASTRAL = re.compile("[\U00010000-\U0010ffff]")
+
+
+def pieces_of(text: str) -> list[str]:
+    """The pieces of a text without special tokens."""
+    plain = lowered(unicodedata.normalize("NFC", text))
+    return _piece_pattern(sys.maxunicode if _ASTRAL.search(plain) else 0xFFFF).findall(plain)
+
+
 class Vocabulary:
     """Tokens, merges by rank and the sufficient lookahead of one tokenizer file (its content as text)."""
 
@@ -236,14 +246,10 @@ class Encoder:
         """Pieces of a text, and the ids of special tokens, in order."""
         at, v = 0, self.vocabulary
         for match in v.special_pattern.finditer(text) if v.special_pattern else ():
-            yield from self._plain(text[at : match.start()])
+            yield from pieces_of(text[at : match.start()])
             yield v.special[match.group()]
             at = match.end()
-        yield from self._plain(text[at:] if at else text)
-
-    @staticmethod
-    def _plain(text: str) -> list[str]:
-        return _piece_pattern().findall(lowered(unicodedata.normalize("NFC", text)))
+        yield from pieces_of(text[at:] if at else text)
 
     def encode(self, text: str) -> np.ndarray:
         """Ids of a text."""
@@ -253,7 +259,7 @@ class Encoder:
         """For each piece its ids and its tokens."""
         v = self.vocabulary
         special = v.special_pattern and v.special_pattern.search(text)
-        found = list(self.pieces(text)) if special else self._plain(text)
+        found = list(self.pieces(text)) if special else pieces_of(text)
         parts = list(map(self.known.get, found))
         if None in parts:
             for at, part in enumerate(parts):
