@@ -20,13 +20,14 @@ TRUE_WORDS = ("x", "1", "true", "oui")
 CODE_PLACEHOLDERS = ("nan", "<NA>", "NaN", "Nan", "0", "0.0", "", "INSEE", "commune")
 
 # One pattern does the trimming, the test and the extraction, so a value is scanned
-# once. (?U) makes \s cover every Unicode space; exponents above 299 would overflow.
+# once. (?U) makes \s cover every Unicode space.
 _EDGE_SPACE = r"(?U)^\s+|\s+$"
-_NUMBER = r"([+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-2]?[0-9]{1,2})?)"
+_NUMBER = r"([+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?)"
 _PLAIN_NUMBER = rf"(?U)^\s*{_NUMBER}\s*$"
 _PERCENT_NUMBER = rf"(?U)^\s*{_NUMBER}\s?%?\s*$"
-_SCIENTIFIC = r"(?U)^\s*([+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)[eE][+-]?[0-9]+)\s*$"
-_INTEGRAL = r"(?U)^\s*([+-]?[0-9]+)(?:\.0)?\s*$"
+# sign, digits before and after the point, exponent (more than nine digits of it make no code)
+_SCIENTIFIC = r"(?U)^\s*([+-]?)0*([0-9]*)\.?([0-9]*)[eE]([+-]?)0*([0-9]{0,9})\s*$"
+_INTEGRAL = r"(?U)^\s*([+-]?)0*([0-9]+?)(?:\.0)?\s*$"
 _INDICATOR = r"(?Ui)^\s*(?:i\s*(?=[0-9])|(?=[0-9]+\s*$))([0-9 ]+?)\s*$"
 _SPACES = " \u00a0\u202f"
 
@@ -59,12 +60,17 @@ def clean_text(value: ColumnOrName) -> Column:
     return F.nullif(_capture(value, _TEXT), F.lit(""))
 
 
+def _finite(number: Column) -> Column:
+    return F.when(F.abs(number) < F.lit(float("inf")), number)
+
+
 def to_float(value: ColumnOrName) -> Column:
     """Tolerant double: anything that is not a finite number becomes null.
 
-    The pattern also keeps out forms that only the JVM reads, such as ``1d``.
+    The pattern also keeps out forms that only the JVM reads, such as ``1d``; what
+    overflows to infinity is no number either.
     """
-    return _capture(value, _PLAIN_NUMBER).try_cast("double")
+    return _finite(_capture(value, _PLAIN_NUMBER).try_cast("double"))
 
 
 def to_int(value: ColumnOrName) -> Column:
@@ -72,19 +78,32 @@ def to_int(value: ColumnOrName) -> Column:
     return to_float(value).try_cast("int")
 
 
+# digits of an expanded code that are still written out
+_LONGEST_CODE = 400
+
+
 def clean_code(value: ColumnOrName) -> Column:
     """Canonical text of a numeric code.
 
-    Whole numbers lose leading zeros and a trailing ``.0``; scientific notation
-    is expanded and truncated; anything else (``2A004``) stays as it is.
+    Whole numbers lose leading zeros and a trailing ``.0``; scientific notation is
+    expanded and truncated, digit by digit, so that no digit is rounded however long the code is;
+    anything else (``2A004``) stays as it is, and so does an exponent beyond any code.
     """
-    integral = _capture(value, _INTEGRAL).try_cast("decimal(38,0)")
-    scientific = _capture(value, _SCIENTIFIC)
-    expanded = scientific.try_cast("decimal(38,10)").cast("string")
-    truncated = F.substring_index(expanded, ".", 1).try_cast("decimal(38,0)")
-    # numbers too wide for ten decimals are whole already
-    whole = F.coalesce(integral, truncated, scientific.try_cast("decimal(38,0)"))
-    return F.coalesce(whole.cast("string"), clean_text(value))
+    text = _col(value).cast("string")
+
+    def signed(sign: Column, digits: Column) -> Column:
+        plain = F.ltrim(digits, F.lit("0"))
+        return F.when(plain == "", "0").otherwise(F.concat(F.when(sign == "-", "-").otherwise(""), plain))
+
+    whole = F.when(text.rlike(_INTEGRAL), signed(_capture(text, _INTEGRAL), F.regexp_extract(text, _INTEGRAL, 2)))
+    sign, left, right, minus, power = (F.regexp_extract(text, _SCIENTIFIC, i) for i in range(1, 6))
+    shift = F.coalesce(F.nullif(power, F.lit("")).try_cast("int"), F.lit(0))
+    point = F.length(left) + F.when(minus == "-", -shift).otherwise(shift)
+    digits = F.concat(left, right)
+    expanded = F.when(point <= 0, "").otherwise(F.rpad(F.substring(digits, F.lit(1), point), point, F.lit("0")))
+    scientific = F.when(text.rlike(_SCIENTIFIC) & text.rlike(r"[0-9]\.?[0-9]*[eE]") & text.rlike(r"[0-9]\s*$")
+                        & (shift <= _LONGEST_CODE), signed(sign, expanded))
+    return F.coalesce(whole, scientific, clean_text(text))
 
 
 def clean_indicator_id(value: ColumnOrName) -> Column:
@@ -127,7 +146,7 @@ def spaced_number(value: ColumnOrName) -> Column:
 def decimal_comma_number(value: ColumnOrName) -> Column:
     """Number written with a decimal comma and possibly a percent sign."""
     text = F.translate(_col(value).cast("string"), ",", ".")
-    return _capture(text, _PERCENT_NUMBER).try_cast("double")
+    return _finite(_capture(text, _PERCENT_NUMBER).try_cast("double"))
 
 
 def first_token(value: ColumnOrName) -> Column:

@@ -91,17 +91,19 @@ def line_length_km(points: ColumnOrName) -> Column:
     return F.aggregate(projected, start, add_segment, lambda state: state["metres"] / 1000)
 
 
-# WKB geometry type numbers.
+# WKB geometry type numbers, and the flag bits of extended WKB.
 WKB_LINE, WKB_MULTI_LINE = 2, 5
+HAS_Z, HAS_M, HAS_SRID = 0x80000000, 0x40000000, 0x20000000
 
 
 def wkb_type(geometry: ColumnOrName) -> Column:
-    """Geometry type number of a WKB value (dimension flags removed)."""
+    """Geometry type number of a WKB value, without dimension thousands and flag bits; null for what has no head."""
     head = F.hex(F.substring(_col(geometry), 1, 5))
     word = F.substring(head, 3, 8)
     little = F.concat(*[F.substring(word, i, 2) for i in (7, 5, 3, 1)])
     number = F.conv(F.when(F.substring(head, 1, 2) == "01", little).otherwise(word), 16, 10).cast("long")
-    return (number % 1000).cast("int")
+    bare = number.bitwiseAND(F.lit(0xFFFFFFFF & ~(HAS_Z | HAS_M | HAS_SRID)))
+    return F.when(F.length(head) == 10, (bare % 1000).cast("int"))
 
 
 def is_line(geometry: ColumnOrName) -> Column:
@@ -116,12 +118,17 @@ def wkb_length_km(geometry: ColumnOrName) -> Column:
     this function, so it is shipped by value and executors need no package.
     """
     line, multi_line, xy = WKB_LINE, WKB_MULTI_LINE, _projector()
+    has_z, has_m, has_srid = HAS_Z, HAS_M, HAS_SRID
 
     def add_parts(blob: bytes, offset: int, parts: list) -> int:
         order = "<" if blob[offset] == 1 else ">"
-        kind, count = struct.unpack_from(order + "II", blob, offset + 1)
-        offset += 9
-        kind, extra = kind % 1000, (0, 1, 1, 2)[kind // 1000]
+        (word,) = struct.unpack_from(order + "I", blob, offset + 1)
+        offset += 9 if word & has_srid else 5  # a reference system number may stand before the count
+        (count,) = struct.unpack_from(order + "I", blob, offset)
+        offset += 4
+        bare = word & ~(has_z | has_m | has_srid)
+        kind, thousands = bare % 1000, bare // 1000
+        extra = int(bool(word & has_z) or thousands in (1, 3)) + int(bool(word & has_m) or thousands in (2, 3))
         if kind == line:
             dims = 2 + extra
             values = np.frombuffer(blob, order + "f8", count * dims, offset)

@@ -34,8 +34,9 @@ def contains_any(value: ColumnOrName, words) -> Column:
 
 
 def like_ci(value: ColumnOrName, text: str) -> Column:
-    """Case-insensitive "contains"; ``%`` and ``_`` in ``text`` stay wildcards."""
-    return F.lower(_col(value)).like(f"%{text.lower()}%")
+    """Case-insensitive "contains"; ``%`` and ``_`` in ``text`` stay wildcards, a backslash is itself."""
+    pattern = text.lower().replace("\\", "\\\\")
+    return F.lower(_col(value)).like(f"%{pattern}%")
 
 
 def indicator_kind(label: ColumnOrName, action_words=ACTION_WORDS) -> Column:

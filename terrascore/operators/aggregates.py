@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from terrascore.functions.bands import CRITICAL_BELOW, GOOD_FROM
 from terrascore.operators.shape import mean_of
+from terrascore.session import stage
 
 
 def rollup_two_level(
@@ -128,55 +129,47 @@ def group_means(df: DataFrame, ids: Sequence[str], groups: Mapping[str, Sequence
     )
 
 
-def facet_counts(catalogue: DataFrame, primary: str, secondary: str | None = None) -> DataFrame:
-    """Rows per need, counting primary and secondary membership once, plus "all"."""
+def facet_counts(
+    catalogue: DataFrame, primary: str, secondary: str | None = None, needs: DataFrame | None = None, key: str = "id_besoin"
+) -> DataFrame:
+    """Rows per need, counting primary and secondary membership once, plus "all".
+
+    With the dimension of ``needs`` every one of them has a row, with 0 where nothing
+    belongs to it.
+    """
     members = F.array(F.col(primary))
     if secondary:
         members = F.array_union(members, F.coalesce(F.col(secondary), F.array().cast("array<string>")))
     # "all" rides along as one more label, so the catalogue is read once
     labels = F.array_union(F.array(F.lit("all")), members)
-    return (
+    counts = (
         catalogue.select(F.explode(labels).alias("besoin"))
         .where(F.col("besoin").isNotNull())
         .groupBy("besoin")
         .agg(F.count(F.lit(1)).alias("n_indicateurs"))
     )
+    if needs is None:
+        return counts
+    every = needs.select(F.col(key).cast("string").alias("besoin"), F.lit(0).cast("long").alias("n_indicateurs"))
+    return counts.union(every).groupBy("besoin").agg(F.sum("n_indicateurs").alias("n_indicateurs"))
 
 
-def slice_bounds(df: DataFrame, order: Sequence[str], slices: int, sample_size: int = 1000) -> list[tuple]:
-    """Cut points of the order columns for about equal slices.
-
-    A fixed number of randomly chosen rows reaches the driver. They only decide
-    how even the slices are, never which rows belong to the result.
-    """
-    spec = [F.col(c).asc_nulls_first() for c in order]
-    drawn = df.select(*order).orderBy(F.rand(7)).limit(sample_size).orderBy(*spec).collect()
-    step = max(len(drawn) // slices, 1)
-    return [tuple(row) for row in drawn[step::step]][: max(slices - 1, 0)]
-
-
-def neighbours(
-    df: DataFrame, by: Sequence[str], order: Sequence[str], item: str, slices: int = 32
-) -> DataFrame:
+def neighbours(df: DataFrame, by: Sequence[str], order: Sequence[str], item: str) -> DataFrame:
     """Previous and next item of every row, and its rank, within ``by`` in ``order``.
 
-    A window over a whole group would sort a hot group in one task. Here each
-    group is cut into ordered slices; the window runs per slice, and the edge of
-    a slice takes its neighbour from a summary with one row per slice. ``order``
-    must be unique within a group and free of nulls.
+    A window over a whole group would sort a hot group in one task. Here all rows are
+    dealt into ranges of ``by`` and ``order`` by Spark, as many as the session has
+    shuffle partitions, so that a hot group covers many ranges whatever its place in
+    the order. The dealt rows are staged with the number of their range, so every
+    reading agrees on it; the window runs per range and group, and its edges take their neighbours from
+    a summary with one row per range and group. ``order`` must be unique within a group and free of nulls.
     """
-    types = {f.name: f.dataType for f in df.schema.fields}
-    bounds = slice_bounds(df, order, slices)
+    spark = df.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = df.repartitionByRange(parts, *by, *order).withColumn("_slice", F.spark_partition_id())
+    sliced = stage(dealt, "ranges")
     key = F.struct(*[F.col(c) for c in order])
 
-    def as_struct(bound):
-        return F.struct(*[F.lit(v).cast(types[c]).alias(c) for c, v in zip(order, bound)])
-
-    place = F.lit(0)
-    for bound in bounds:
-        place = place + (key >= as_struct(bound)).cast("int")
-    sliced = df.withColumn("_slice", place)
-
     inside = Window.partitionBy(*by, "_slice").orderBy(*order)
     local = sliced.withColumns(
         {

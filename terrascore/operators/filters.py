@@ -29,16 +29,22 @@ def indicators_of_year(df: DataFrame, indicator_ids: Sequence[str], year: int) -
     return df.where(F.col("id_indicateur").isin(*indicator_ids) & (F.col("annee") == year))
 
 
-def _nulls(columns: Sequence[str], combine) -> Column:
-    return reduce(combine, [F.col(c).isNull() for c in columns])
+def all_missing(columns: Sequence[str]) -> Column:
+    """Is every one of the columns null?"""
+    return reduce(and_, [F.col(c).isNull() for c in columns])
+
+
+def any_missing(columns: Sequence[str]) -> Column:
+    """Is one of the columns null?"""
+    return reduce(or_, [F.col(c).isNull() for c in columns])
 
 
 def with_all_missing(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    return df.where(_nulls(columns, and_))
+    return df.where(all_missing(columns))
 
 
 def with_any_missing(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    return df.where(_nulls(columns, or_))
+    return df.where(any_missing(columns))
 
 
 def without_missing(df: DataFrame, columns: Sequence[str], how: str = "any") -> DataFrame:

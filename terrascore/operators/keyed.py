@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from functools import reduce
 from operator import and_
 
@@ -16,25 +16,37 @@ def _same_keys(keys: Sequence[str]) -> Column:
     return reduce(and_, [F.col(f"t.{k}").eqNullSafe(F.col(f"u.{k}")) for k in keys])
 
 
-def merge_upsert(target: DataFrame | None, updates: DataFrame, keys: Sequence[str], sequence: str) -> DataFrame:
+def merge_upsert(
+    target: DataFrame | None,
+    updates: DataFrame,
+    keys: Sequence[str],
+    sequence: str,
+    defaults: Mapping[str, Column] | None = None,
+) -> DataFrame:
     """Last write wins on ``keys``; columns the batch lacks keep their old value.
 
     ``sequence`` orders the batch and is not stored. An explicit null in the
-    batch overwrites. Both sides hold each key once when they meet, so no key
-    can be hot in the join.
+    batch overwrites. In a new row a column the batch lacks has its value in
+    ``defaults`` (null without one); without a target, these columns are added. Both sides hold
+    each key once when they meet, so no key can be hot in the join.
     """
     latest = dedup_last(updates, keys, sequence).drop(sequence)
+    defaults = dict(defaults or {})
     if target is None:
-        return latest
+        absent = {name: value for name, value in defaults.items() if name not in latest.columns}
+        return latest.withColumns(absent) if absent else latest
     unknown = set(latest.columns) - set(target.columns)
     if unknown:
         raise ValueError(f"columns not in the target: {sorted(unknown)}")
-    old, new = target.alias("t"), latest.withColumn("_new", F.lit(True)).alias("u")
+    old = target.withColumn("_old", F.lit(True)).alias("t")
+    new = latest.withColumn("_new", F.lit(True)).alias("u")
     given = set(latest.columns)
 
     def value(name: str) -> Column:
         if name in given:
             merged = F.when(F.col("u._new"), F.col(f"u.{name}")).otherwise(F.col(f"t.{name}"))
+        elif name in defaults:
+            merged = F.when(F.col("t._old"), F.col(f"t.{name}")).otherwise(defaults[name])
         else:
             merged = F.col(f"t.{name}")
         return merged.cast(target.schema[name].dataType).alias(name)

@@ -44,14 +44,18 @@ def clean_str(t: Tables) -> DataFrame:
 @query(
     "clean_code",
     """SELECT p_partkey, CASE p_type WHEN 'PROMO' THEN p_partkey || 'A' WHEN 'LARGE' THEN '' || p_partkey * 100
-              WHEN 'MEDIUM' THEN NULL ELSE '' || p_partkey END AS code FROM part""",
+              WHEN 'MEDIUM' THEN NULL ELSE '' || p_partkey END AS code FROM part
+       UNION ALL SELECT -p_partkey, CASE p_type WHEN 'PROMO' THEN '' || p_partkey || repeat('0', 40) ELSE '1' END FROM part""",
 )
 def clean_code(t: Tables) -> DataFrame:
     raw = by_type(
         PROMO=F.concat(part_key(), F.lit("A")), SMALL=F.concat(part_key(), F.lit(".0")), LARGE=F.concat(part_key(), F.lit("e2")),
         MEDIUM=F.lit("nan"), other=F.concat(F.lit(" 00"), part_key(), F.lit(" ")),
     )
-    return t.part.select("p_partkey", c.clean_code(raw).alias("code"))
+    # an exponent far beyond any integer type, and digits that must be cut off, not rounded
+    wide = F.when(F.col("p_type") == "PROMO", F.concat(part_key(), F.lit("e40"))).otherwise("1.99999999999e0")
+    return t.part.select("p_partkey", c.clean_code(raw).alias("code")).union(
+        t.part.select(-F.col("p_partkey"), c.clean_code(wide)))
 
 
 @query(
@@ -76,14 +80,25 @@ def _price_text() -> Column:
     )
 
 
-@query("clean_to_int", f"SELECT p_partkey, {PRICE_SQL.format('CAST(trunc(p_retailprice) AS INTEGER)')} AS n FROM part")
+@query(
+    "clean_to_int",
+    f"""SELECT p_partkey, {PRICE_SQL.format('CAST(trunc(p_retailprice) AS INTEGER)')} AS n FROM part
+        UNION ALL SELECT -p_partkey, CASE WHEN p_size <= 25 THEN p_size * 10000000 END FROM part""",
+)
 def clean_to_int(t: Tables) -> DataFrame:
-    return t.part.select("p_partkey", c.to_int(_price_text()).alias("n"))
+    wide = F.concat("p_size", F.when(F.col("p_size") <= 25, "e0007").otherwise("e305"))
+    return t.part.select("p_partkey", c.to_int(_price_text()).alias("n")).union(t.part.select(-F.col("p_partkey"), c.to_int(wide)))
 
 
-@query("clean_to_float", f"SELECT p_partkey, {PRICE_SQL.format('p_retailprice')} AS x FROM part")
+@query(
+    "clean_to_float",
+    f"""SELECT p_partkey, {PRICE_SQL.format('p_retailprice')} AS x FROM part
+        UNION ALL SELECT -p_partkey, CASE WHEN p_size <= 25 THEN CAST(p_size || 'e305' AS DOUBLE) END FROM part""",
+)
 def clean_to_float(t: Tables) -> DataFrame:
-    return t.part.select("p_partkey", c.to_float(_price_text()).alias("x"))
+    """Large numbers stay; what overflows is no number."""
+    wide = F.concat("p_size", F.when(F.col("p_size") <= 25, "e305").otherwise("e0400"))
+    return t.part.select("p_partkey", c.to_float(_price_text()).alias("x")).union(t.part.select(-F.col("p_partkey"), c.to_float(wide)))
 
 
 @query(

@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from terrascore.functions.cleaning import to_float
 from terrascore.operators import aggregates as agg
 from terrascore.operators.filters import (
-    NO_GROUP, facet_filter, find_one, in_real_group, indicators_of_year, passes_city_rules, suggest, with_all_missing,
-    with_any_missing, without_missing,
+    NO_GROUP, all_missing, any_missing, facet_filter, find_one, in_real_group, indicators_of_year, passes_city_rules,
+    suggest,
 )
 from terrascore.operators.joins import (
     exclude_listed, fill_code, keep_known, link_arrays, star_lookup, unmatched_both, unnest_links,
@@ -60,18 +60,14 @@ def filt_in_year(t: Tables) -> DataFrame:
        UNION ALL SELECT 'some', count(*) FROM l WHERE a IS NOT NULL OR b IS NOT NULL""",
 )
 def filt_na_all_any(t: Tables) -> DataFrame:
+    """The four tests on one scan; the filters built on them are in the fixture tests."""
     zero = F.lit(0.0)
     rows = t.lineitem.select(F.nullif("l_discount", zero).alias("a"), F.nullif("l_tax", zero).alias("b"))
     pair = ["a", "b"]
-    cases = {
-        "all": with_all_missing(rows, pair), "any": with_any_missing(rows, pair),
-        "none": without_missing(rows, pair, "any"), "some": without_missing(rows, pair, "all"),
-    }
-    counted = [df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("cas"), "n") for name, df in cases.items()]
-    first, *rest = counted
-    for other in rest:
-        first = first.unionByName(other)
-    return first
+    tests = {"all": all_missing(pair), "any": any_missing(pair), "none": ~any_missing(pair), "some": ~all_missing(pair)}
+    counts = rows.agg(*[F.count_if(test).alias(name) for name, test in tests.items()])
+    cases = F.array(*[F.struct(F.lit(name).alias("cas"), F.col(f"`{name}`").alias("n")) for name in tests])
+    return counts.select(F.inline(cases))
 
 
 RULES = (
@@ -365,10 +361,12 @@ def rowwise_mean(t: Tables) -> DataFrame:
 @query(
     "facet_counts",
     """SELECT besoin, count(*) AS n_indicateurs FROM (
-         SELECT 'all' AS besoin FROM part UNION ALL SELECT p_brand FROM part UNION ALL SELECT p_type FROM part) GROUP BY 1""",
+         SELECT 'all' AS besoin FROM part UNION ALL SELECT p_brand FROM part UNION ALL SELECT p_type FROM part) GROUP BY 1
+       UNION ALL SELECT DISTINCT n_name, 0 FROM nation""",
 )
 def facet_counts(t: Tables) -> DataFrame:
-    return agg.facet_counts(_catalogue(t), "p_brand", "autres")
+    """Needs without any indicator (here the nations) have a row with 0."""
+    return agg.facet_counts(_catalogue(t), "p_brand", "autres", t.nation.select(F.col("n_name").alias("id_besoin")))
 
 
 @query("set_distinct", "SELECT DISTINCT c_nationkey, c_mktsegment FROM customer")
@@ -426,4 +424,4 @@ def sort_multi(t: Tables) -> DataFrame:
 )
 def nav_lag_lead(t: Tables) -> DataFrame:
     rows = t.part.select("p_brand", "p_type", "p_partkey")
-    return agg.neighbours(rows, ["p_brand"], ["p_type", "p_partkey"], "p_partkey", slices=8)
+    return agg.neighbours(rows, ["p_brand"], ["p_type", "p_partkey"], "p_partkey")

@@ -10,10 +10,11 @@ from terrascore.operators.contract import to_raw_values
 from terrascore.operators.keyed import insert_new, merge_upsert, split_by_reference, with_placeholders
 from terrascore.plans.driver.registry import Tables, query
 from terrascore.sources.files import (
-    link_entities, load_sheets, read_after_preamble, read_columnar, read_delimited, read_folder, read_tolerant,
+    link_entities, load_sheets, read_after_header_line, read_after_preamble, read_after_preamble_with_rejects,
+    read_columnar, read_delimited, read_folder, read_tolerant,
 )
 from terrascore.sources.records import describe_features, explode_results, extract_records, read_features, read_pages
-from terrascore.sources.tables import read_table, upsert_table, write_delimited
+from terrascore.sources.tables import read_table, upsert_stored, write_delimited
 
 
 @query("src_csv_roundtrip", "SELECT p_partkey, p_name, p_brand, p_type, p_size, p_retailprice FROM part")
@@ -74,14 +75,17 @@ def latin1(t: Tables) -> DataFrame:
     "SELECT o_orderkey, o_custkey FROM orders WHERE o_orderpriority = '1-URGENT'",
 )
 def glob_union(t: Tables) -> DataFrame:
+    """Files with their columns in two orders, and a text cell with a line break."""
     base = t.scratch("folder")
     first = F.col("o_orderstatus") == "F"
-    write_delimited(t.orders.where(first), f"{base}/rna_waldec_1", sep=";")
-    write_delimited(t.orders.where(~first), f"{base}/rna_waldec_2", sep=";")
-    write_delimited(t.orders.where(first), f"{base}/other_1", sep=";")
+    orders = t.orders.withColumn("note", F.concat(F.lit("one\ntwo; "), "o_orderstatus"))
+    names = ["o_orderkey", "note", "o_orderpriority", "o_custkey"]
+    write_delimited(orders.where(first).select(*names), f"{base}/rna_waldec_1", sep=";")
+    write_delimited(orders.where(~first).select(*reversed(names)), f"{base}/rna_waldec_2", sep=";")
+    write_delimited(orders.where(first), f"{base}/other_1", sep=";")
     df = read_folder(
         t.spark, f"{base}/rna_waldec_*", "part-*.csv", ["o_orderkey", "o_custkey"],
-        where=F.col("o_orderpriority") == "1-URGENT", sep=";",
+        where=F.col("o_orderpriority") == "1-URGENT", sep=";", multi_line=True,
     )
     return df.select(F.col("o_orderkey").cast("long"), F.col("o_custkey").cast("long"))
 
@@ -95,13 +99,13 @@ def parquet_scan(t: Tables) -> DataFrame:
 @query(
     "src_sheets",
     """SELECT 'nation' AS feuille, CAST(n_nationkey AS VARCHAR) AS code, n_name AS nom FROM nation
-       UNION ALL SELECT 'supplier', CAST(s_suppkey AS VARCHAR), s_name FROM supplier""",
+       UNION ALL SELECT 'supplier', CAST(s_suppkey AS VARCHAR), s_name || chr(10) || 'b' FROM supplier""",
 )
 def sheets(t: Tables) -> DataFrame:
-    """Two exported sheets are found, a third one is missing and skipped."""
+    """Two exported sheets are found, one of them with line breaks in its cells; a third one is missing and skipped."""
     base = t.scratch("sheets")
     write_delimited(t.nation.select(F.col("n_nationkey").alias("code"), F.col("n_name").alias("nom")), f"{base}/nation.csv")
-    write_delimited(t.supplier.select(F.col("s_suppkey").alias("code"), F.col("s_name").alias("nom")), f"{base}/supplier.csv")
+    write_delimited(t.supplier.select(F.col("s_suppkey").alias("code"), F.concat("s_name", F.lit("\nb")).alias("nom")), f"{base}/supplier.csv")
     found = load_sheets(t.spark, base, ["nation", "supplier", "absent"])
     nation, supplier = (
         df.select(F.lit(name).alias("feuille"), "code", "nom") for name, df in sorted(found.items())
@@ -237,22 +241,32 @@ def upsert_merge(t: Tables) -> DataFrame:
 
 @query(
     "upsert_table",
-    """SELECT id, annee, valeur FROM (
-         SELECT o_custkey AS id, CAST(year(o_orderdate) AS INTEGER) AS annee, o_totalprice AS valeur,
-                row_number() OVER (PARTITION BY o_custkey, year(o_orderdate)
-                                   ORDER BY o_orderstatus <> 'F' DESC, o_orderkey DESC) AS rn FROM orders) WHERE rn = 1""",
+    """WITH o AS (SELECT '' || o_custkey AS id_epci, o_orderpriority AS id_indicateur, CAST(year(o_orderdate) AS INTEGER) AS annee,
+                         o_totalprice, o_orderstatus, o_orderkey FROM orders),
+            f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id_epci, id_indicateur, annee ORDER BY o_orderkey DESC) AS rn
+                                 FROM o WHERE o_orderstatus = 'F') WHERE rn = 1),
+            n AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id_epci, id_indicateur, annee ORDER BY o_orderkey DESC) AS rn
+                                 FROM o WHERE o_orderstatus <> 'F') WHERE rn = 1)
+       SELECT coalesce(n.id_epci, f.id_epci) AS id_epci, coalesce(n.id_indicateur, f.id_indicateur) AS id_indicateur,
+              coalesce(n.annee, f.annee) AS annee, coalesce(n.o_totalprice, f.o_totalprice) AS valeur_brute,
+              CASE WHEN f.id_epci IS NOT NULL THEN 'euro' END AS unite,
+              CASE WHEN n.id_epci IS NOT NULL THEN 'Zone ' || n.id_epci END AS libelle_epci, '{}' AS meta
+       FROM f FULL JOIN n ON f.id_epci = n.id_epci AND f.id_indicateur = n.id_indicateur AND f.annee = n.annee""",
 )
-def upsert_stored(t: Tables) -> DataFrame:
-    """Two batches into a table partitioned by year; the second one wins."""
+def upsert_stored_values(t: Tables) -> DataFrame:
+    """Two batches with different columns into the value table; the second one wins where it has a column."""
     path = t.scratch("table")
     rows = t.orders.select(
-        F.col("o_custkey").alias("id"), F.year("o_orderdate").alias("annee"), F.col("o_totalprice").alias("valeur"),
+        F.col("o_custkey").cast("string").alias("id_epci"), F.col("o_orderpriority").alias("id_indicateur"),
+        F.year("o_orderdate").alias("annee"), F.col("o_totalprice").alias("valeur_brute"),
         F.col("o_orderkey").alias("seq"), "o_orderstatus",
     )
     first = F.col("o_orderstatus") == "F"
-    for batch in (rows.where(first), rows.where(~first)):
-        upsert_table(path, batch.drop("o_orderstatus"), ["id", "annee"], "seq")
-    return read_table(t.spark, path)
+    label = F.concat(F.lit("Zone "), "id_epci")
+    for batch in (rows.where(first).withColumn("unite", F.lit("euro")), rows.where(~first).withColumn("libelle_epci", label)):
+        upsert_stored(path, batch.drop("o_orderstatus"), "valeur_indicateur", "seq")
+    return read_table(t.spark, path, "valeur_indicateur").select(
+        "id_epci", "id_indicateur", "annee", "valeur_brute", "unite", "libelle_epci", "meta")
 
 
 @query(
@@ -320,3 +334,43 @@ def raw_value_contract(t: Tables) -> DataFrame:
     return to_raw_values(
         valued, "i042", F.year("o_orderdate"), "eur", "orders", group="o_custkey", value="v", note="as ordered"
     )
+
+
+@query(
+    "src_header_line",
+    """SELECT '' || c_custkey AS code, c_name AS nom, '' || c_nationkey AS pays FROM customer""",
+)
+def header_line(t: Tables) -> DataFrame:
+    """Two files with free text of their own and their columns in another order."""
+    base = t.scratch("header_line")
+    first = F.col("c_nationkey") < 12
+    shapes = {"a": ("Code;Nom;Pays", ("c_custkey", "c_name", "c_nationkey"), first), "b": ("Pays;Code;Nom", ("c_nationkey", "c_custkey", "c_name"), ~first)}
+    for name, (header, columns, part) in shapes.items():
+        head = t.spark.createDataFrame([(f"Edition {name}",), ("",), (header,)], "value string")
+        rows = t.customer.where(part).select(F.concat_ws(";", *columns).alias("value"))
+        head.coalesce(1).union(rows.coalesce(1)).coalesce(1).write.text(f"{base}/{name}")
+    df = read_after_header_line(t.spark, f"{base}/*", 2, ";")
+    return df.select(F.col("Code").alias("code"), F.col("Nom").alias("nom"), F.col("Pays").alias("pays"))
+
+
+@query(
+    "src_preamble_rejects",
+    """SELECT CASE WHEN c_mktsegment = 'FURNITURE' THEN 'rejet' ELSE 'ligne' END AS sort,
+              CASE WHEN c_mktsegment = 'FURNITURE' THEN 'x' || c_custkey ELSE lpad('' || c_custkey % 90000, 5, '0') END AS code, c_name AS nom
+       FROM customer""",
+)
+def preamble_rejects(t: Tables) -> DataFrame:
+    """Codes with blanks, without leading zeros or with a trailing ``.0`` are repaired; the rest is rejected, not lost."""
+    path = t.scratch("rejects")
+    head = t.spark.createDataFrame([("Edition",), ("Code,Nom",)], "value string")
+    number = F.col("c_custkey") % 90000
+    code = (
+        F.when(F.col("c_mktsegment") == "FURNITURE", F.concat(F.lit("x"), "c_custkey"))
+        .when(F.col("c_mktsegment") == "MACHINERY", F.concat(number.cast("string"), F.lit(".0")))
+        .when(F.col("c_mktsegment") == "BUILDING", F.concat(F.lit(" "), F.lpad(number.cast("string"), 5, "0")))
+        .otherwise(number.cast("string"))
+    )
+    head.coalesce(1).union(t.customer.select(F.concat_ws(",", code, "c_name"))).write.text(path)
+    rows, rejects = read_after_preamble_with_rejects(t.spark, path, ["Code", "Nom"])
+    return rows.select(F.lit("ligne").alias("sort"), F.col("Code").alias("code"), F.col("Nom").alias("nom")).union(
+        rejects.select(F.lit("rejet"), "Code", "Nom"))

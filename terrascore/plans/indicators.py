@@ -15,7 +15,7 @@ from terrascore.functions.cleaning import (
 )
 from terrascore.functions.geometry import is_line, wkb_length_km
 from terrascore.operators.aggregates import (
-    count_through_shared_code, mean_over_units, per, rate_per, rollup_two_level,
+    dedup_last, count_through_shared_code, mean_over_units, per, rate_per, rollup_two_level,
 )
 from terrascore.operators.contract import to_raw_values
 from terrascore.operators.filters import city_rule_table, in_group_like, in_real_group, passes_city_rules
@@ -83,19 +83,35 @@ def _publish(df: DataFrame, indicator_id: str, source: str | None, group: str =
 # --- values passed through -------------------------------------------------
 
 
+# order of a published file's lines, where a job may find a grouping twice
+LINE = "_ordre"
+
+
+def last_line(rows: DataFrame, key: str, value: str) -> DataFrame:
+    """One row per grouping, the last line of the file with a value; frames without line order stay as they are."""
+    if LINE not in rows.columns:
+        return rows
+    return dedup_last(rows.where(F.col(value).isNotNull()), [key], LINE).drop(LINE)
+
+
+def _line(rows: DataFrame) -> list[str]:
+    return [LINE] if LINE in rows.columns else []
+
+
 def indicator_i032(dwellings: DataFrame, source: str = "Observatoire des territoires") -> DataFrame:
     """Share of over-occupied dwellings, as published per grouping."""
     named = rename_known(dwellings, {"Code": "id_epci", OVERCROWDING_VALUE: "valeur_brute"})
-    values = named.select("id_epci", to_float("valeur_brute").alias("valeur_brute"))
-    return _publish(values, "i032", source, "id_epci")
+    values = named.select("id_epci", to_float("valeur_brute").alias("valeur_brute"), *_line(named))
+    return _publish(last_line(values, "id_epci", "valeur_brute"), "i032", source, "id_epci")
 
 
 def indicator_i130(records: DataFrame, source: str | None = None) -> DataFrame:
     """Childcare coverage, from flattened result pages."""
     values = records.select(
-        F.col("numepci").cast("string").alias("id_epci"), F.col("txcouv_epci").try_cast("double").alias("valeur_brute")
+        F.col("numepci").cast("string").alias("id_epci"), F.col("txcouv_epci").try_cast("double").alias("valeur_brute"),
+        *_line(records),
     )
-    return _publish(values, "i130", source, "id_epci")
+    return _publish(last_line(values, "id_epci", "valeur_brute"), "i130", source, "id_epci")
 
 
 # --- densities and shares per area -----------------------------------------
@@ -131,9 +147,9 @@ def indicator_i058(zones: DataFrame, cycleways: DataFrame, territory: Territory,
 def indicator_i113(farmland: DataFrame, territory: Territory, source: str | None = None) -> DataFrame:
     """Share of the surface that is farmland, measured in 2020 (hectares)."""
     measured = farmland.where(F.col("date_mesure").cast("string").startswith("2020")).select(
-        F.col("geocode_epci").cast("string").alias("siren"), to_float("valeur").alias("hectares")
+        F.col("geocode_epci").cast("string").alias("siren"), to_float("valeur").alias("hectares"), *_line(farmland)
     )
-    joined = surfaces(territory.communes).join(measured, "siren", "left")
+    joined = surfaces(territory.communes).join(last_line(measured, "siren", "hectares"), "siren", "left")
     values = joined.select(
         "siren", per(F.col("hectares") / 100, F.col("superficie_km2"), 100, 1).alias("valeur_brute")
     )
@@ -240,7 +256,8 @@ def indicator_i150(trips: DataFrame, territory: Territory, source: str = "i150.c
 
 
 def carpool_trips(trips: DataFrame) -> DataFrame:
-    return trips.select(F.col("territoryid").cast("string").alias("siren"), to_float("valeur").alias("n"))
+    named = trips.select(F.col("territoryid").cast("string").alias("siren"), to_float("valeur").alias("n"), *_line(trips))
+    return last_line(named, "siren", "n")
 
 
 def carpool_report(areas: DataFrame, trips: DataFrame, territory: Territory) -> DataFrame:

@@ -12,25 +12,29 @@ from terrascore.operators.keyed import require_ids, with_placeholders
 from terrascore.operators.scoring import global_scores, score_rows
 from terrascore.plans import indicators as ind
 from terrascore.plans.territory import Territory
+from terrascore.session import stage
 from terrascore.sources.files import (
     read_after_header_line, read_columnar, read_delimited, read_folder, read_link_entities,
 )
 from terrascore.sources.records import explode_results, read_pages
-from terrascore.sources.tables import upsert_table
-from terrascore.tables import KEYS, conform
-
-SEQUENCE = "_ordre"
+from terrascore.sources.tables import upsert_stored
+from terrascore.tables import conform
 
 Compute = Callable[[SparkSession, str, Territory], DataFrame]
 
 
+def _lines(rows: DataFrame) -> DataFrame:
+    """Rows with the order of their file and line, taken before anything is shuffled."""
+    return rows.withColumn(ind.LINE, F.struct(F.input_file_name(), F.monotonically_increasing_id()))
+
+
 def _preamble(spark: SparkSession, path: str, sep: str) -> DataFrame:
     return read_after_header_line(spark, path, skip=2, sep=sep)
 
 
 # Landed files below one folder, and the job that reads them.
 LANDED: dict[str, Compute] = {
-    "i032": lambda s, d, t: ind.indicator_i032(_preamble(s, f"{d}/i032.csv", ";")),
+    "i032": lambda s, d, t: ind.indicator_i032(_lines(_preamble(s, f"{d}/i032.csv", ";"))),
     "i058": lambda s, d, t: ind.indicator_i058(
         read_delimited(s, f"{d}/i058.csv"), read_columnar(s, f"{d}/amenagement_cyclable.parquet"), t
     ),
@@ -38,19 +42,19 @@ LANDED: dict[str, Compute] = {
     "i096": lambda s, d, t: ind.indicator_i096(
         read_link_entities(s, f"{d}/medias.html"), _preamble(s, f"{d}/medias.tsv", "\t"), t
     ),
-    "i113": lambda s, d, t: ind.indicator_i113(read_delimited(s, f"{d}/sau_2025.csv"), t),
-    "i130": lambda s, d, t: ind.indicator_i130(explode_results(read_pages(s, f"{d}/i130"))),
+    "i113": lambda s, d, t: ind.indicator_i113(_lines(read_delimited(s, f"{d}/sau_2025.csv")), t),
+    "i130": lambda s, d, t: ind.indicator_i130(_lines(explode_results(read_pages(s, f"{d}/i130")))),
     "i131": lambda s, d, t: ind.indicator_i131(
         read_folder(
             s, d, "rna_waldec*.csv", ["id", "position", "adrs_codeinsee", "adrs_codepostal"],
-            where=F.col("position") == "A", sep=";",
+            where=F.col("position") == "A", sep=";", multi_line=True,
         ),
         t,
     ),
     "i147": lambda s, d, t: ind.indicator_i147(_preamble(s, f"{d}/i147.csv", ","), t),
     "i148": lambda s, d, t: ind.indicator_i148(_preamble(s, f"{d}/i148.csv", ","), t),
     "i149": lambda s, d, t: ind.indicator_i149(read_delimited(s, f"{d}/i149.csv"), t),
-    "i150": lambda s, d, t: ind.indicator_i150(read_delimited(s, f"{d}/i150.csv"), t),
+    "i150": lambda s, d, t: ind.indicator_i150(_lines(read_delimited(s, f"{d}/i150.csv")), t),
     "i158": lambda s, d, t: ind.indicator_i158(read_delimited(s, f"{d}/catnat_gaspar.csv", sep=";"), t),
 }
 
@@ -61,15 +65,18 @@ def compute_indicator(spark: SparkSession, indicator_id: str, folder: str, terri
 
 
 def _store(rows: DataFrame, table: str, path: str) -> int:
-    batch = conform(rows, table, partial=True).withColumn(SEQUENCE, F.monotonically_increasing_id())
-    return upsert_table(path, batch, KEYS[table], SEQUENCE)
+    return upsert_stored(path, conform(rows, table, partial=True), table)
 
 
 def store_values(values: DataFrame, path: str, indicators: DataFrame | None = None) -> int:
-    """Upsert values into the value table; with ``indicators`` unknown ids are an error."""
+    """Upsert values into the value table; with ``indicators`` unknown ids are an error. Returns the values stored.
+
+    The job runs once: its rows are staged, then checked, then merged.
+    """
+    rows = stage(values.withColumn("date_import", F.current_timestamp()), "values")
     if indicators is not None:
-        values = require_ids(values, "id_indicateur", indicators, "id_indicateur")
-    return _store(values.withColumn("date_import", F.current_timestamp()), "valeur_indicateur", path)
+        rows = require_ids(rows, "id_indicateur", indicators, "id_indicateur")
+    return _store(rows, "valeur_indicateur", path)
 
 
 def register_indicators(indicators: DataFrame, values: DataFrame) -> DataFrame:

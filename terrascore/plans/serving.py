@@ -39,7 +39,10 @@ def score_summaries(
     wanted = areas.select("id_epci", *AREA_COLUMNS)
     if search:
         wanted = wanted.where(like_ci("libelle", search) | like_ci("id_epci", search))
-    per_area = of_year(scores, year).groupBy("id_epci").agg(
+    dated = of_year(scores, year)
+    if search:  # the areas that are not asked for are left out before anything is summed up
+        dated = dated.join(wanted.select("id_epci"), "id_epci", "left_semi")
+    per_area = dated.groupBy("id_epci").agg(
         F.avg(F.col("score_global").cast("double")).alias("score_global"),
         F.count("id_indicateur").alias("n_indicateurs"),
         F.max("updated_at").alias("updated_at"),

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import logging
 from collections.abc import Mapping
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,7 +22,8 @@ from terrascore.operators.keyed import missing_ids
 from terrascore.operators.shape import trim_headers, wide_sheet_to_long
 from terrascore.session import stage
 from terrascore.sources.files import load_sheets
-from terrascore.tables import UNDATED, conform
+from terrascore.sources.tables import read_table, upsert_stored
+from terrascore.tables import KEYS, UNDATED, conform
 
 logger = logging.getLogger(__name__)
 
@@ -208,8 +210,8 @@ def ingest_scores(sheet: DataFrame) -> DataFrame:
 
 def _long_sheet(sheet: DataFrame, value: str) -> DataFrame:
     long = wide_sheet_to_long(sheet, value, keep=(ROW,)).withColumn("annee", F.lit(UNDATED))
-    # a row may name one indicator twice (i7 and i007): the later column wins
-    order = F.struct(ROW, "_position").alias(ROW)
+    # the sheet is read column by column: of an area and indicator named twice, the later column wins, then the later row
+    order = F.struct("_position", ROW).alias(ROW)
     ordered = long.select(*[c for c in long.columns if c not in (ROW, "_position")], order)
     return dedup_last(ordered, ["id_epci", "id_indicateur", "annee"], ROW).drop(ROW)
 
@@ -250,28 +252,37 @@ def ingest_sheets(sheets: Mapping[str, DataFrame]) -> dict[str, DataFrame]:
     return tables
 
 
-def check_references(tables: Mapping[str, DataFrame]) -> None:
-    """Every value and score must name a known area and indicator."""
+def check_references(tables: Mapping[str, DataFrame], stored: Mapping[str, DataFrame] | None = None) -> None:
+    """Every value and score must name an area and an indicator of the import or of what is stored."""
+    known = {
+        name: [df.select(KEYS[name][0]) for df in (tables.get(name), (stored or {}).get(name)) if df is not None]
+        for name in ("epci", "indicateur")
+    }
     for fact in ("valeur_indicateur", "score_indicateur"):
         for dim, key in (("epci", "id_epci"), ("indicateur", "id_indicateur")):
-            if fact in tables and dim in tables:
-                unknown = [r[0] for r in missing_ids(tables[fact], key, tables[dim], key).limit(20).collect()]
+            if fact in tables and known[dim]:
+                ids = reduce(DataFrame.union, known[dim])
+                unknown = [r[0] for r in missing_ids(tables[fact], key, ids, key).limit(20).collect()]
                 if unknown:
                     raise ValueError(f"{fact}: unknown {key} {sorted(unknown)}")
 
 
 def import_folder(spark: SparkSession, folder: str, target: str) -> dict[str, DataFrame]:
-    """Load exported sheets, check them, and write one parquet table each below ``target``.
+    """Load exported sheets, check them, and merge them into one stored table each below ``target``.
 
-    Every table is computed and checked before the first one is written, so a
-    faulty workbook leaves the target untouched.
+    Rows are merged by key: what the sheets do not name stays, and so do the columns
+    they do not bring (of a score row everything but score and label). Every table is computed and
+    checked before the first one is written, so a faulty workbook leaves the target untouched.
+    Returns the stored tables that the import touched.
     """
     tables = {
-        name: stage(conform(df, name), name)
+        name: stage(conform(df, name, partial=True), name)
         for name, df in ingest_sheets(load_sheets(spark, folder, SHEETS)).items()
     }
-    check_references(tables)
+    stored = {name: read_table(spark, f"{target}/{name}", name) for name in ("epci", "indicateur")}
+    check_references(tables, stored)
     for name, df in tables.items():
-        df.write.mode("overwrite").parquet(f"{target}/{name}")
-        logger.info("table %s written", name)
-    return {name: spark.read.parquet(f"{target}/{name}") for name in tables}
+        rows = upsert_stored(f"{target}/{name}", df, name)
+        logger.info("table %s: %d rows merged", name, rows)
+    found = {name: read_table(spark, f"{target}/{name}", name) for name in tables}
+    return {name: tables[name] if df is None else df for name, df in found.items()}

@@ -9,12 +9,14 @@ from __future__ import annotations
 import csv
 import logging
 from collections.abc import Iterable, Sequence
+from functools import reduce
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from terrascore.functions.cleaning import clean_area_code, strip
 from terrascore.functions.labels import link_city, link_name, link_texts
 
 logger = logging.getLogger(__name__)
@@ -116,32 +118,90 @@ def read_after_preamble(
 ) -> DataFrame:
     """Delimited files whose header comes after some lines of free text.
 
-    Data rows are those whose key column looks like a code. That needs no line
-    order, so it works on any number of files split over any number of tasks.
+    Data rows are those whose key column holds a code, after the usual repairs (blanks,
+    a lost leading zero, a trailing ``.0``). That needs no line order, so it works on any
+    number of files split over any number of tasks. What is dropped is in
+    ``read_after_preamble_with_rejects``.
+    """
+    return read_after_preamble_with_rejects(spark, path, columns, sep, key, key_pattern, encoding)[0]
+
+
+def read_after_preamble_with_rejects(
+    spark: SparkSession,
+    path,
+    columns: Sequence[str],
+    sep: str = ",",
+    key: str | None = None,
+    key_pattern: str = AREA_CODE,
+    encoding: str = "UTF-8",
+) -> tuple[DataFrame, DataFrame]:
+    """(data rows with repaired codes, rejected rows).
+
+    Neither data nor rejected are header lines (all filled cells are column names) and
+    free text (a line with at most one filled cell). A row of several cells whose code can't be repaired is rejected, with its cells as they stand.
     """
     key = key or columns[0]
     rows = read_delimited(spark, path, sep=sep, header=False, schema=text_schema(columns), encoding=encoding)
-    return rows.where(F.col(key).rlike(key_pattern))
+    given = F.col(f"`{key}`")
+    code = F.coalesce(F.when(strip(given).rlike(key_pattern), strip(given)), clean_area_code(given))
+    fits = F.coalesce(code.rlike(key_pattern), F.lit(False))
+    cells = F.array(*[F.col(f"`{c}`") for c in columns])
+    filled = F.filter(cells, lambda c: F.trim(c) != "")
+    header = F.forall(filled, lambda c: F.trim(c).isin(*columns))
+    data = rows.where(fits).withColumn(key, code)
+    return data, rows.where(~fits & ~header & (F.size(filled) > 1))
+
+
+def files_of(spark: SparkSession, path, name_glob: str | None = None) -> list[str]:
+    """The files below a path, by name; only listed, not read."""
+    reader = spark.read.option("pathGlobFilter", name_glob) if name_glob else spark.read
+    return sorted(reader.text(path).inputFiles())
+
+
+def leading_lines(spark: SparkSession, files: Sequence[str], count: int, encoding: str = "UTF-8") -> dict[str, list[str]]:
+    """The first ``count`` lines of each file: a few lines a file reach the driver, and only its first block is read."""
+    found: dict[str, list[str]] = {f: [] for f in files}
+    for start in range(0, len(files), 64):
+        part = files[start : start + 64]
+        heads = [
+            spark.read.option("encoding", encoding).text(f).limit(count).select(F.lit(i).alias("file"), "value")
+            for i, f in enumerate(part)
+        ]
+        for row in reduce(DataFrame.unionAll, heads).collect():
+            found[part[row["file"]]].append(row["value"].removeprefix("\ufeff"))
+    return found
+
+
+def _names(line: str, sep: str) -> tuple[str, ...]:
+    names = next(csv.reader([line], delimiter=sep), [])
+    return tuple(name.strip() or f"_c{i}" for i, name in enumerate(names))
 
 
 def read_after_header_line(
     spark: SparkSession, path: str, skip: int, sep: str = ",", encoding: str = "UTF-8"
 ) -> DataFrame:
-    """One delimited file whose header is the line after ``skip`` lines of free text.
+    """Delimited files, each with its header after ``skip`` lines of free text of its own.
 
-    The few leading lines are read to learn the header; the scan then leaves out
-    lines equal to them, so it needs no line order. For many files with leading
-    lines of their own use ``read_after_preamble``.
+    The few leading lines of every file are read to learn its header; the scan leaves
+    out, in each file, lines equal to that file's leading lines, so it needs no line
+    order. Files may have their columns in different orders. A record is one line.
     """
-    lines = spark.read.option("encoding", encoding).text(path)
-    leading = [row[0] for row in lines.limit(skip + 1).collect()]
-    if len(leading) <= skip:
-        raise ValueError(f"{path}: no header after {skip} lines")
-    names = next(csv.reader([leading[skip].lstrip("\ufeff")], delimiter=sep))
-    schema = text_schema([name.strip() or f"_c{i}" for i, name in enumerate(names)])
-    rows = lines.where(~F.col("value").isin(*leading) & (F.length("value") > 0))
-    parsed = F.from_csv("value", schema.toDDL(), {"sep": sep, "quote": '"', "escape": '"'})
-    return rows.select(parsed.alias("_line")).select("_line.*")
+    heads = leading_lines(spark, files_of(spark, path), skip + 1, encoding)
+    by_header: dict[tuple[str, ...], list[str]] = {}
+    for file, lines in heads.items():
+        if len(lines) <= skip:
+            raise ValueError(f"{file}: no header after {skip} lines")
+        by_header.setdefault(_names(lines[skip], sep), []).append(file)
+    frames = []
+    for names, files in by_header.items():
+        lines = spark.read.option("encoding", encoding).text(files).where(F.length("value") > 0)
+        lines = lines.withColumn("_file", F.col("_metadata.file_path"))
+        for file in files:
+            leading = F.ltrim(F.col("value"), F.lit("\ufeff")).isin(*heads[file])
+            lines = lines.where(~(leading & (F.col("_file") == file))) if len(files) > 1 else lines.where(~leading)
+        parsed = F.from_csv("value", text_schema(names).toDDL(), {"sep": sep, "quote": '"', "escape": '"'})
+        frames.append(lines.select(parsed.alias("_line")).select("_line.*"))
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
 
 
 def read_columnar(spark: SparkSession, path, columns: Sequence[str] | None = None) -> DataFrame:
@@ -157,29 +217,40 @@ def read_folder(
     where: Column | None = None,
     sep: str = ",",
     encoding: str = "UTF-8",
+    multi_line: bool = False,
 ) -> DataFrame:
     """All files of a folder whose names match, filtered and projected in the scan.
 
-    Files may have their columns in different orders: each is read by its header.
+    Files may have their columns in different orders: each is read by its own header,
+    files of one header in one scan. A file without one of ``columns`` is an error.
+    ``multi_line`` allows line breaks inside quotes but makes a file one task.
     """
-    reader = spark.read.options(
-        sep=sep, header=True, encoding=encoding, quote='"', escape='"', pathGlobFilter=name_glob
-    )
-    df = reader.csv(folder)
-    if where is not None:
-        df = df.where(where)
-    return df.select(*columns)
+    by_header: dict[tuple[str, ...], list[str]] = {}
+    for file, lines in leading_lines(spark, files_of(spark, folder, name_glob), 1, encoding).items():
+        if lines:  # an empty file has no rows
+            by_header.setdefault(_names(lines[0], sep), []).append(file)
+    if not by_header:
+        raise ValueError(f"{folder}: no file with a header matches {name_glob}")
+    frames = []
+    for names, files in by_header.items():
+        lacking = [c for c in columns if c not in names]
+        if lacking:
+            raise ValueError(f"{files[0]}: no column {lacking}")
+        df = read_delimited(spark, files, sep, True, text_schema(names), encoding, multi_line)
+        frames.append((df if where is None else df.where(where)).select(*columns))
+    return reduce(DataFrame.unionByName, frames)
 
 
 def load_sheets(spark: SparkSession, folder: str, names: Iterable[str], sep: str = ",") -> dict[str, DataFrame]:
     """One text-typed frame per exported sheet ``<folder>/<name>.csv``.
 
-    A missing sheet is reported and left out, as with an optional workbook tab.
+    A missing sheet is reported and left out, as with an optional workbook tab. Cells
+    may hold line breaks; a sheet is therefore one task, which its size allows.
     """
     sheets: dict[str, DataFrame] = {}
     for name in names:
         try:
-            sheets[name] = read_delimited(spark, f"{folder}/{name}.csv", sep=sep)
+            sheets[name] = read_delimited(spark, f"{folder}/{name}.csv", sep=sep, multi_line=True)
         except AnalysisException as error:
             if error.getCondition() != "PATH_NOT_FOUND":
                 raise

@@ -5,10 +5,12 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
+from pyspark.sql import functions as F
 
 from terrascore.operators.keyed import merge_upsert
 from terrascore.session import stage
+from terrascore.tables import KEYS, PARTITIONS, defaults_of, schema_of
 
 
 def write_delimited(df: DataFrame, path: str, sep: str = ",", mode: str = "errorifexists") -> None:
@@ -16,48 +18,99 @@ def write_delimited(df: DataFrame, path: str, sep: str = ",", mode: str = "error
     df.write.mode(mode).options(sep=sep, header=True, quote='"', escape='"', emptyValue="").csv(path)
 
 
-def read_table(spark: SparkSession, path: str) -> DataFrame | None:
-    """The stored table, or None where nothing has been written yet."""
+def read_table(spark: SparkSession, path: str, table: str | None = None) -> DataFrame | None:
+    """The stored table, or None where nothing has been written yet.
+
+    With the name of a ``table`` its full schema is read: a column that older
+    files lack is null, and an id that looks like a number stays a text.
+    """
     try:
-        return spark.read.parquet(path)
+        found = spark.read.parquet(path)
     except AnalysisException as error:
         if error.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
             return None
         raise
+    if table is None:
+        return found
+    partitions = list(PARTITIONS.get(table, ()))
+    if partitions and found.columns[-len(partitions) :] != partitions:  # folders come last in what is read
+        raise ValueError(f"{path}: {table} is stored in folders by {partitions}, this one is not")
+    return spark.read.schema(schema_of(table)).parquet(path)
 
 
 def upsert_table(
-    path: str, updates: DataFrame, keys: Sequence[str], sequence: str, partition: str = "annee"
+    path: str,
+    updates: DataFrame,
+    keys: Sequence[str],
+    sequence: str | None,
+    partition: str | Sequence[str] = "annee",
+    table: str | None = None,
 ) -> int:
-    """Merge a batch into a parquet table partitioned by one of its key columns.
+    """Merge a batch into a parquet table, partitioned by some of its key columns (or by none).
 
-    Only the partitions named in the batch are read and rewritten. The merged
-    rows are written to the shared folder first, so the table is never
-    overwritten while it is being read and a lost executor costs only a retry.
-    Returns the number of rows in the merged partitions.
+    The batch is staged once; the few partition values that it has are collected and
+    name, as literals, the folders that are read and rewritten: all others are left
+    alone. The merged rows are written to the shared folder first, so the table is
+    never overwritten while it is being read and a lost executor costs only a retry.
+    One job at a time may write a partition. ``sequence`` tells which row of a key is the
+    last; without one a repeated key is an error. With the name of a stored ``table``
+    the table has its full schema from the first batch on, whatever columns that brings.
+    Returns the number of keys in the batch.
     """
-    if partition not in keys:
-        raise ValueError(f"partition column {partition!r} must be one of the keys")
+    partitions = [partition] if isinstance(partition, str) else list(partition)
+    if not set(partitions) <= set(keys):
+        raise ValueError(f"partition columns {partitions!r} must be among the keys")
     spark = updates.sparkSession
-    current = read_table(spark, path)
-    if current is None:
-        # a first load reads nothing it overwrites, so it is written straight away
-        _write_partitions(merge_upsert(None, updates, keys, sequence), path, partition)
-        return spark.read.parquet(path).count()
     batch = stage(updates, "batch")
-    # partition pruning at run time: the touched values are a tiny side
-    touched = batch.select(partition).distinct()
-    merged = stage(merge_upsert(current.join(touched, partition, "left_semi"), batch, keys, sequence), "merged")
-    _write_partitions(merged, path, partition)
-    return merged.count()
-
-
-def _write_partitions(df: DataFrame, path: str, partition: str) -> None:
-    """Replace the partitions ``df`` has rows for; files of even size, a hot partition split over tasks."""
-    (
-        df.hint("rebalance", partition)
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy(partition)
-        .parquet(path)
-    )
+    distinct = batch.select(*keys).distinct().count()
+    if sequence is None:
+        if batch.count() != distinct:
+            repeated = batch.groupBy(*keys).count().where(F.col("count") > 1).select(*keys).limit(5).collect()
+            raise ValueError(f"keys given twice and no order between them: {[tuple(r) for r in repeated]}")
+        sequence = "_sequence"
+        batch = batch.withColumn(sequence, F.lit(0))
+    if not distinct:
+        return 0
+    current = read_table(spark, path, table)
+    defaults = defaults_of(table) if table else None
+    if current is not None and partitions:
+        current = current.where(_one_of(partitions, batch.select(*partitions).distinct().collect()))
+    merged = merge_upsert(current, batch, keys, sequence, defaults)
+    if table:
+        merged = merged.select(*[F.col(f.name).cast(f.dataType) for f in schema_of(table).fields])
+    # a first load reads nothing that it overwrites, so it is written straight away
+    _write(merged if current is None else stage(merged, "merged"), path, partitions)
+    return distinct
+
+
+def upsert_stored(path: str, batch: DataFrame, table: str, sequence: str | None = None) -> int:
+    """Upsert into one of the library's stored tables, in its keys, schema and folders."""
+    return upsert_table(path, batch, KEYS[table], sequence, PARTITIONS.get(table, ()), table)
+
+
+def _one_of(partitions: Sequence[str], values: Sequence[Row]) -> Column:
+    """A filter of literals that picks just these partitions, so that the scan lists no others."""
+    first, *rest = partitions
+    by_first: dict = {}
+    for row in values:
+        by_first.setdefault(row[first], []).append(row)
+
+    def test(name: str, found: list) -> Column:
+        filled = sorted({v for v in found if v is not None})
+        known = F.col(name).isin(filled) if filled else F.lit(False)
+        return known | F.col(name).isNull() if None in found else known
+
+    whole = F.lit(False)
+    for value, group in by_first.items():
+        inner = _one_of(rest, group) if rest else F.lit(True)
+        whole = whole | (test(first, [value]) & inner)
+    # one test over all values of each column prunes folders where the exact one is too long to be pushed down
+    return test(first, list(by_first)) & whole
+
+
+def _write(df: DataFrame, path: str, partitions: Sequence[str]) -> None:
+    """Replace the partitions ``df`` has rows for (or all); files of even size, a hot partition split over tasks."""
+    writer = df.hint("rebalance", *partitions).write.mode("overwrite")
+    if partitions:
+        writer = writer.option("partitionOverwriteMode", "dynamic").partitionBy(*partitions)
+    writer.parquet(path)

@@ -51,12 +51,22 @@ KEYS = {
 }
 # the year of rows without a date
 UNDATED = 0
+# folders of the stored tables: a job replaces only those of its own indicator and year, so two jobs never meet
+PARTITIONS = {
+    "valeur_indicateur": ("annee", "id_indicateur"), "score_indicateur": ("annee", "id_indicateur"),
+    "score_global": ("annee",),
+}
 
 
 def schema_of(table: str) -> T.StructType:
     return T.StructType.fromDDL(COLUMNS[table])
 
 
+def defaults_of(table: str) -> dict[str, Column]:
+    """What a new row has in the columns that its batch does not bring."""
+    return {f.name: _default(table, f).cast(f.dataType) for f in schema_of(table).fields}
+
+
 def _default(table: str, field: T.StructField) -> Column:
     """Value of a column the rows do not bring."""
     if field.name in ("date_import", "created_at", "updated_at"):

@@ -149,14 +149,17 @@ def test_band_counts_treat_missing_as_zero(spark, rows):
     assert rows(agg.band_counts(df, ["k"], "s")) == [("a", 2, 2, 1)]
 
 
-@pytest.mark.parametrize("slices", [1, 4, 50])
-def test_neighbours_match_a_plain_walk(spark, rows, slices):
+@pytest.mark.parametrize("parts", [1, 4, 50])
+def test_neighbours_match_a_plain_walk(spark, rows, parts):
     random.seed(3)
+    spark.conf.set("spark.sql.shuffle.partitions", str(parts))
     # one group has most of the rows; one label is null
     data = [(random.choice(["hot"] * 8 + ["b", "c", None]), random.choice("pqr"), i) for i in range(400)]
     got = agg.neighbours(
-        spark.createDataFrame(data, "g string, t string, id int").repartition(5), ["g"], ["t", "id"], "id", slices
+        spark.createDataFrame(data, "g string, t string, id int").repartition(5), ["g"], ["t", "id"], "id"
     )
+    found = rows(got)
+    spark.conf.set("spark.sql.shuffle.partitions", "8")
     groups = defaultdict(list)
     for g, t, i in data:
         groups[g].append((t, i))
@@ -167,7 +170,18 @@ def test_neighbours_match_a_plain_walk(spark, rows, slices):
             before = items[pos - 1][1] if pos else None
             after = items[pos + 1][1] if pos + 1 < len(items) else None
             expected.append((g, t, i, before, after, pos + 1))
-    assert rows(got) == sorted(expected, key=repr)
+    assert found == sorted(expected, key=repr)
+
+
+def test_a_hot_group_low_in_the_order_covers_many_ranges(spark, monkeypatch):
+    staged = []
+    real = agg.stage
+    monkeypatch.setattr(agg, "stage", lambda df, label: staged.append(real(df, label)) or staged[-1])
+    hot = spark.range(6000).selectExpr("'hot' as g", "id")
+    rest = spark.range(3000).selectExpr("concat('g', id % 50) as g", "100000 + id as id")
+    assert agg.neighbours(hot.union(rest), ["g"], ["id"], "id").count() == 9000
+    sizes = [r["count"] for r in staged[0].where("g = 'hot'").groupBy("_slice").count().collect()]
+    assert len(sizes) >= 4 and max(sizes) <= 6000 / 3
 
 
 # --- shape -------------------------------------------------------------------
