@@ -11,6 +11,7 @@ from terrascore.plans import indicators as ind
 from terrascore.plans.driver.registry import Tables, query
 from terrascore.plans.territory import Territory, communes_outside, grouping_table, perimeter_profile, unit_profile
 from terrascore.sources.files import link_entities
+from terrascore.sources.records import explode_results
 
 CONTRACT = [c for c in RAW_VALUE_COLUMNS if c != "meta"]
 
@@ -597,3 +598,26 @@ def farmland_report(t: Tables) -> DataFrame:
     )
     report = ind.substances_report(relative, ind.farmland_by_group(areas, perimeter(t)))
     return report.withColumn("total_sau2020", F.round("total_sau2020", 2))
+
+
+@query(
+    "ind_paged_passthrough",
+    contract_sql(
+        "i130", 2023, ind.YEAR_AND_UNIT["i130"][1], None,
+        "SELECT CAST(c_custkey AS VARCHAR) AS id, c_acctbal AS v FROM customer WHERE c_mktsegment <> 'BUILDING'",
+    ),
+)
+def paged_passthrough(t: Tables) -> DataFrame:
+    """Result pages landed as JSON; a grouping given twice takes the last line, records without a value are left out."""
+    path = t.scratch("pages")
+    record = F.struct(
+        custkey().alias("numepci"), F.when(F.col("c_mktsegment") != "BUILDING", F.col("c_acctbal")).alias("txcouv_epci"))
+    earlier = F.struct(custkey().alias("numepci"), F.lit(-1.0).alias("txcouv_epci"))
+    pair = F.array(earlier, record)
+    pages = t.customer.where(F.col("c_mktsegment") != "BUILDING").select(pair.alias("results")).union(
+        t.customer.where(F.col("c_mktsegment") == "BUILDING").select(F.array(record)))
+    pages.write.json(path)
+    schema = "results array<struct<numepci: string, txcouv_epci: double>>"
+    records = explode_results(t.spark.read.schema(schema).json(path))
+    ordered = records.withColumn(ind.LINE, F.struct(F.input_file_name(), F.monotonically_increasing_id()))
+    return ind.indicator_i130(ordered).select(*CONTRACT)

@@ -14,7 +14,9 @@ from terrascore.operators.scoring import (
 from terrascore.operators.shape import pivot_needs
 from terrascore.plans import serving, sheets
 from terrascore.plans.driver.registry import Tables, query
+from terrascore.plans.jobs import store_scores
 from terrascore.session import stage
+from terrascore.sources.tables import read_table, upsert_stored, write_delimited
 
 # --- stand-ins: values, scores, dimensions -----------------------------------
 
@@ -579,3 +581,117 @@ def unpivot_partial_upsert(t: Tables) -> DataFrame:
     )
     batch = sheets.ingest_scores(sheets.sheet_rows(sheet)).withColumn("seq", F.lit(0))
     return merge_upsert(stored, batch, ["id_epci", "id_indicateur", "annee"], "seq")
+
+
+@query(
+    "ingest_objectives",
+    """SELECT '' || p_partkey AS id_objectif, CASE WHEN p_type = 'PROMO' THEN '' ELSE p_name END AS libelle,
+              CASE WHEN p_type <> 'LARGE' THEN p_brand END AS description FROM part WHERE p_type <> 'SMALL'""",
+)
+def ingest_objectives(t: Tables) -> DataFrame:
+    """Blank ids are left out, a missing label is an empty text, ``none`` is no description."""
+    key = F.concat(F.lit(" "), F.col("p_partkey").cast("string"), F.lit(" "))
+    sheet = t.part.select(
+        F.when(F.col("p_type") != "SMALL", key).otherwise("  ").alias("ID_Objectifs"),
+        F.when(F.col("p_type") == "PROMO", "NaN").otherwise(F.col("p_name")).alias(" Libellé"),
+        F.when(F.col("p_type") == "LARGE", "None").otherwise(F.col("p_brand")).alias("Description"),
+    )
+    return sheets.ingest_objectives(sheets.sheet_rows(sheet))
+
+
+@query(
+    "ingest_types",
+    """SELECT '' || p_partkey AS id_type, p_name AS libelle, CAST(NULL AS VARCHAR) AS description FROM part WHERE p_type <> 'SMALL'""",
+)
+def ingest_types(t: Tables) -> DataFrame:
+    """The id stands in one of two columns."""
+    key = F.col("p_partkey").cast("string")
+    sheet = t.part.select(
+        F.when(F.col("p_type") == "PROMO", key).alias("ID_"),
+        F.when(~F.col("p_type").isin("PROMO", "SMALL"), key).alias("ID_Type"), F.col("p_name").alias("Libellé"),
+    )
+    return sheets.ingest_types(sheets.sheet_rows(sheet))
+
+
+@query(
+    "ingest_type_links",
+    """SELECT DISTINCT 'i' || lpad('' || p_size, 3, '0') AS id_indicateur,
+              CASE p_type WHEN 'PROMO' THEN 'Typ1' ELSE 'Typ2' END AS id_type FROM part WHERE p_type IN ('PROMO', 'LARGE')""",
+)
+def ingest_type_links(t: Tables) -> DataFrame:
+    kind = F.col("p_type")
+    sheet = t.part.select(
+        F.concat(F.lit("i"), F.col("p_size").cast("string")).alias("ID_indicateurs"),
+        F.when(kind == "PROMO", "X").otherwise("").alias("Typ1_Etat"), F.when(kind == "LARGE", "1").otherwise("non").alias("Typ2_Action"),
+    )
+    known = t.spark.createDataFrame([("Typ1",), ("Typ2",)], "id_type string")
+    return sheets.type_links(sheets.sheet_rows(sheet), known).distinct()
+
+
+@query(
+    "detail_needs_stored",
+    f"""WITH s AS ({SCORES_SQL}) SELECT id_epci, id_besoin AS id, 'Besoin ' || id_besoin AS label, round(avg(CAST(round(score_besoin, 2) AS DOUBLE)), 6) AS score
+        FROM s WHERE annee = (SELECT max(annee) FROM s) AND id_besoin IS NOT NULL GROUP BY 1, 2""",
+)
+def detail_needs_stored(t: Tables) -> DataFrame:
+    """Scores stored in two batches, one of them without needs, then served from the stored table."""
+    scores = score_table(t).withColumn("updated_at", F.to_timestamp("updated_at"))
+    path = t.scratch("stored_scores")
+    store_scores(scores.drop("id_besoin", "score_besoin"), path)
+    store_scores(scores.select("id_epci", "id_indicateur", "annee", "id_besoin", "score_besoin"), path)
+    stored = read_table(t.spark, path, "score_indicateur")
+    rows = serving.detail_groups(stored, _dimension(stored, "id_besoin", "Besoin "), "id_besoin", "score_besoin")
+    return rows.withColumn("score", F.round("score", 6))
+
+
+@query(
+    "detail_all",
+    f"""WITH s AS ({SCORES_SQL}), y AS (SELECT * FROM s WHERE annee = (SELECT max(annee) FROM s)),
+             n AS (SELECT id_epci, id_besoin AS id FROM y WHERE id_besoin IS NOT NULL GROUP BY 1, 2),
+             o AS (SELECT id_epci, id_objectif AS id FROM y GROUP BY 1, 2)
+        SELECT y.id_epci, count(*) AS n_indicateurs,
+               (SELECT string_agg(id, ',' ORDER BY 'Besoin ' || id) FROM n WHERE n.id_epci = y.id_epci) AS besoins,
+               (SELECT string_agg(id, ',' ORDER BY 'Objectif ' || id) FROM o WHERE o.id_epci = y.id_epci) AS objectifs,
+               string_agg(y.id_indicateur, ',' ORDER BY y.id_indicateur) AS indicateurs
+        FROM y JOIN nation ON '' || n_nationkey = y.id_epci GROUP BY 1""",
+)
+def detail_all(t: Tables) -> DataFrame:
+    """The whole drill-down of every area, its nested arrays shown as their ids in order."""
+    scores = score_table(t)
+    dims = {key: _dimension(scores, key, prefix) for key, prefix in (
+        ("id_indicateur", ""), ("id_besoin", "Besoin "), ("id_objectif", "Objectif "), ("id_type", "Type "))}
+    found = serving.score_detail_all(scores, areas(t), dims["id_indicateur"], dims["id_besoin"], dims["id_objectif"], dims["id_type"])
+
+    def ids(name: str, key: str = "id"):
+        return F.array_join(F.transform(name, lambda x: x[key]), ",")
+
+    return found.select(
+        "id_epci", "n_indicateurs", F.nullif(ids("needs"), F.lit("")).alias("besoins"), F.nullif(ids("objectives"), F.lit("")).alias("objectifs"),
+        ids("indicators", "id_indicateur").alias("indicateurs"))
+
+
+@query(
+    "import_merge",
+    """WITH t AS (SELECT '' || c_custkey AS id_epci, 'i001' AS id_indicateur, CASE WHEN c_nationkey % 2 = 0 THEN 2024 ELSE 0 END AS annee,
+                         c_acctbal AS valeur_brute, 'api' AS source FROM customer),
+            w AS (SELECT '' || c_custkey AS id_epci, 'i001' AS id_indicateur, 0 AS annee, CAST(c_nationkey AS DOUBLE) AS valeur_brute,
+                         'Excel/Table Valeurs' AS source FROM customer WHERE c_mktsegment <> 'BUILDING')
+       SELECT coalesce(w.id_epci, t.id_epci) AS id_epci, coalesce(w.id_indicateur, t.id_indicateur) AS id_indicateur,
+              coalesce(w.annee, t.annee) AS annee, coalesce(w.valeur_brute, t.valeur_brute) AS valeur_brute,
+              coalesce(w.source, t.source) AS source, CASE WHEN t.id_epci IS NOT NULL THEN 'euro' END AS unite
+       FROM t FULL JOIN w ON t.id_epci = w.id_epci AND t.annee = w.annee""",
+)
+def import_merge(t: Tables) -> DataFrame:
+    """A sheet import into a stored value table: other years stay, and so do the columns that sheets do not bring."""
+    target, folder = t.scratch("stored"), t.scratch("sheets")
+    key = F.col("c_custkey").cast("string")
+    upsert_stored(f"{target}/valeur_indicateur", t.customer.select(
+        key.alias("id_epci"), F.lit("i001").alias("id_indicateur"),
+        F.when(F.col("c_nationkey") % 2 == 0, 2024).otherwise(0).alias("annee"), F.col("c_acctbal").alias("valeur_brute"),
+        F.lit("api").alias("source"), F.lit("euro").alias("unite")), "valeur_indicateur")
+    # the indicator has two spellings: the later column wins
+    sheet = t.customer.where(F.col("c_mktsegment") != "BUILDING").select(
+        key.alias("ID_EPCI"), F.lit("5").alias("I 1"), F.col("c_nationkey").cast("string").alias("i001"))
+    write_delimited(sheet, f"{folder}/{sheets.VALUES}.csv")
+    return sheets.import_folder(t.spark, folder, target)["valeur_indicateur"].select(
+        "id_epci", "id_indicateur", "annee", "valeur_brute", "source", "unite")

@@ -155,6 +155,39 @@ def score_detail(
     }
 
 
+def score_detail_all(
+    scores: DataFrame,
+    areas: DataFrame,
+    indicators: DataFrame,
+    needs: DataFrame,
+    objectives: DataFrame,
+    types: DataFrame,
+    year: int | None = None,
+) -> DataFrame:
+    """Drill-down of every area at once: its summary and arrays of its needs, objectives, types and indicators.
+
+    One lazy plan without an action; the arrays of an area are bounded by the dimensions and sorted by
+    label (null labels last), then id. An area without a group of a kind has an empty array.
+    """
+    def nested(rows: DataFrame, name: str, label: str, key: str) -> DataFrame:
+        columns = [c for c in rows.columns if c != "id_epci"]
+        item = F.struct(F.col(label).isNull().alias("_last"), F.col(label).alias("_label"), F.col(key).alias("_id"), F.struct(*columns).alias("item"))
+        return rows.groupBy("id_epci").agg(F.transform(F.sort_array(F.collect_list(item)), lambda x: x["item"]).alias(name))
+
+    out = score_summaries(scores, areas, year)
+    parts = {
+        "needs": (detail_groups(scores, needs, "id_besoin", "score_besoin", year), "label", "id"),
+        "objectives": (detail_groups(scores, objectives, "id_objectif", "score_objectif", year), "label", "id"),
+        "types": (detail_groups(scores, types, "id_type", "score_type", year), "label", "id"),
+        "indicators": (detail_indicators(scores, indicators, needs, objectives, types, year), "indicateur_libelle", "id_indicateur"),
+    }
+    for name, (rows, label, key) in parts.items():
+        arrays = nested(rows, name, label, key)
+        empty = F.array().cast(arrays.schema[name].dataType)
+        out = out.join(arrays, "id_epci", "left").withColumn(name, F.coalesce(name, empty))
+    return out
+
+
 def indicator_labels_view(indicators: DataFrame, links: Mapping[str, tuple[DataFrame, DataFrame, str]]) -> DataFrame:
     """Indicators with sorted label arrays; null where nothing is linked.
 

@@ -35,7 +35,8 @@ def read_table(spark: SparkSession, path: str, table: str | None = None) -> Data
     partitions = list(PARTITIONS.get(table, ()))
     if partitions and found.columns[-len(partitions) :] != partitions:  # folders come last in what is read
         raise ValueError(f"{path}: {table} is stored in folders by {partitions}, this one is not")
-    return spark.read.schema(schema_of(table)).parquet(path)
+    wanted = schema_of(table)
+    return spark.read.schema(wanted).parquet(path).select(*wanted.fieldNames())
 
 
 def upsert_table(
