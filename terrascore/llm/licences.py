@@ -97,7 +97,7 @@ LENGTHS = (2, 3)  # words of an n-gram
 GAP = 6  # words between features of one statement
 #: Training: cut-outs of each template, corpus paragraphs (documents they come from, of at most so many code points), passes, rate, seed.
 CUTS, PARAGRAPHS, DOCUMENTS, DOCUMENT_CHARS, EPOCHS, RATE, SEED = 40, 1500, 300, 20_000, 150, 4.0, 11
-#: Part of the negatives kept back that may be taken for a licence; part of a statement's word pairs that a template must have.
+#: Part of the negatives kept back that may be taken for a licence; part of the word pairs of a statement or template (the shorter) that both must have.
 MAY_ACCEPT, CONFIRM = 0.002, 0.6
 #: Bounds of the calibrated probability that a prediction needs.
 ACCEPT_LEAST, ACCEPT_MOST = 0.7, 0.95
@@ -142,7 +142,8 @@ class Classifier:
 
     def confirmed(self, words: list[str], family: str) -> bool:
         pairs = set(zip(words, words[1:], strict=False))
-        return any(len(pairs & t) >= CONFIRM * len(pairs) for t in self.template_pairs[family]) if pairs else False
+        # the shorter of the two counts: a statement may be a cut-out of a template, or have words around it
+        return any(t and len(pairs & t) >= CONFIRM * min(len(pairs), len(t)) for t in self.template_pairs[family] if pairs)
 
     def statements(self, paragraph: str) -> Iterator[tuple[int, int, list[str]]]:
         """Start, end and words of the statements in a paragraph: n-grams of the model that are close to each other."""
