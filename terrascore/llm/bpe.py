@@ -45,8 +45,14 @@ from terrascore.llm.registry import query
 CONTRACTIONS = ("'s", "'t", "'re", "'ve", "'m", "'ll", "'d")
 #: The characters that are white space to the tokenizer, as a character class.
 WHITE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
-#: Decimal digits and capital letters that the tokenizer knows and this Python's tables do not (first, last and, for
-#: capitals, the distance to the small letter).
+#: Letters, decimal digits and capitals that the tokenizer knows and this Python's tables do not (first, last and,
+#: for capitals, the distance to the small letter).
+NEWER_LETTERS = (
+    (0x1C89, 0x1C8A), (0xA7CB, 0xA7CD), (0xA7DA, 0xA7DC), (0x105C0, 0x105F3), (0x10D4A, 0x10D65), (0x10D6F, 0x10D85),
+    (0x10EC2, 0x10EC4), (0x11380, 0x11389), (0x1138B, 0x1138B), (0x1138E, 0x1138E), (0x11390, 0x113B5),
+    (0x113B7, 0x113B7), (0x113D1, 0x113D1), (0x113D3, 0x113D3), (0x11BC0, 0x11BE0), (0x13460, 0x143FA),
+    (0x16100, 0x1611D), (0x16D40, 0x16D6C), (0x18CFF, 0x18CFF), (0x1E5D0, 0x1E5ED), (0x1E5F0, 0x1E5F0),
+)
 NEWER_DIGITS = (
     (0x10D40, 0x10D49), (0x116D0, 0x116E3), (0x11BF0, 0x11BF9), (0x16130, 0x16139), (0x16D70, 0x16D79),
     (0x1CCF0, 0x1CCF9), (0x1E5F1, 0x1E5FA),
@@ -58,6 +64,18 @@ NEWER_CAPITALS = (
 )
 
 
+#: Combining marks that the tokenizer's normaliser does not know as such (first and last): it neither moves nor joins them.
+LATER_MARKS = (
+    (0x7FD, 0x7FD), (0x898, 0x89F), (0x8CA, 0x8D3), (0x9FE, 0x9FE), (0xC3C, 0xC3C), (0xD3B, 0xD3C), (0xEBA, 0xEBA),
+    (0x1715, 0x1715), (0x1ABF, 0x1ACE), (0x1DF6, 0x1DFA), (0xA82C, 0xA82C), (0x10D24, 0x10D27), (0x10EAB, 0x10EAC),
+    (0x10EFD, 0x10EFF), (0x10F46, 0x10F50), (0x10F82, 0x10F85), (0x11070, 0x11070), (0x1133B, 0x1133B),
+    (0x1145E, 0x1145E), (0x11839, 0x1183A), (0x1193D, 0x1193E), (0x11943, 0x11943), (0x119E0, 0x119E0),
+    (0x11A34, 0x11A34), (0x11A47, 0x11A47), (0x11A99, 0x11A99), (0x11D42, 0x11D42), (0x11D44, 0x11D45),
+    (0x11D97, 0x11D97), (0x11F41, 0x11F42), (0x16FF0, 0x16FF1), (0x1E08F, 0x1E08F), (0x1E130, 0x1E136),
+    (0x1E2AE, 0x1E2AE), (0x1E2EC, 0x1E2EF), (0x1E4EC, 0x1E4EF),
+)
+
+
 @cache
 def byte_letters() -> tuple[str, ...]:
     """The letter that stands for each byte: printable bytes for themselves, the others from U+0100 on."""
@@ -83,18 +101,34 @@ def _category(first: str, last: int) -> str:
 @cache
 def _piece_pattern(last: int = sys.maxunicode) -> re.Pattern:
     """Pieces of texts whose code points go up to ``last``: classes within 16 bits are looked up in a table, others in a list."""
-    letters = _category("L", last)
-    numbers = _category("N", last) + "".join(f"{chr(a)}-{chr(b)}" for a, b in NEWER_DIGITS if b <= last)
+    letters, numbers = (
+        _category(name, last) + "".join(f"{chr(a)}-{chr(b)}" for a, b in newer if b <= last)
+        for name, newer in (("L", NEWER_LETTERS), ("N", NEWER_DIGITS))
+    )
     endings = "|".join(c[1:] for c in CONTRACTIONS)
     return re.compile(f"[{letters}]+|[{numbers}]|'(?:{endings})|[^{WHITE}{letters}{numbers}]+")
 
 
+def _marks(last: int) -> re.Pattern:
+    return re.compile("([" + "".join(f"{chr(a)}-{chr(b)}" for a, b in LATER_MARKS if b <= last) + "])")
+
+
+_MARKS, _ALL_MARKS = _marks(0xFFFF), _marks(sys.maxunicode)
 _ASTRAL = re.compile("[\U00010000-\U0010ffff]")
 
 
+def composed(text: str) -> str:
+    """NFC as the tokenizer's normaliser has it: marks it does not know stand between what is put in order."""
+    if text.isascii():
+        return text
+    if _MARKS.search(text) or _ASTRAL.search(text):
+        return "".join(unicodedata.normalize("NFC", part) for part in _ALL_MARKS.split(text))
+    return unicodedata.normalize("NFC", text)
+
+
 def pieces_of(text: str) -> list[str]:
     """The pieces of a text without special tokens."""
-    plain = lowered(unicodedata.normalize("NFC", text))
+    plain = lowered(composed(text))
     return _piece_pattern(sys.maxunicode if _ASTRAL.search(plain) else 0xFFFF).findall(plain)
 
 
