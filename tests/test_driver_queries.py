@@ -2,16 +2,16 @@
 
 import contextlib
 import io
+import pathlib
 
 import pytest
 from compare import check, duck
-from conftest import TESTDATA
 
 import __spark_entry__ as entry
 from terrascore.plans.driver import QUERIES, SQL  # the llm queries have tests of their own
 
+TESTDATA = pathlib.Path("/root/testdata")
 FOLDER = str(TESTDATA / "sf0.001")
-from terrascore.plans.driver import QUERIES, SQL  # the llm queries have tests of their own
 
 pytestmark = pytest.mark.skipif(not TESTDATA.exists(), reason="driver tables not found")
 PYTHON_QUERIES = {"wkb_line_length", "ind_density_per_area"}

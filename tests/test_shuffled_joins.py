@@ -2,16 +2,17 @@
 
 import contextlib
 import io
+import pathlib
 
 import pytest
 from compare import check, duck
-from conftest import TESTDATA
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from terrascore.operators import aggregates as agg
 from terrascore.operators import joins
 
+TESTDATA = pathlib.Path("/root/testdata")
 FOLDER = str(TESTDATA / "sf0.001")
 SETTINGS = {
     "spark.sql.autoBroadcastJoinThreshold": "-1",
