@@ -132,6 +132,9 @@ def pieces_of(text: str) -> list[str]:
     return _piece_pattern(sys.maxunicode if _ASTRAL.search(plain) else 0xFFFF).findall(plain)
 
 
+SHORT = 24  # symbols up to which merging keeps a list of ranks, not a heap
+
+
 class Vocabulary:
     """Tokens, merges by rank and the sufficient lookahead of one tokenizer file (its content as text)."""
 
@@ -143,6 +146,7 @@ class Vocabulary:
         special = {t["content"]: t["id"] for t in model["added_tokens"]}
         self.special = special
         self.tokens = {i: t for t, i in (self.ids | special).items()}
+        self.packed = {t: i.to_bytes(4, "little") for t, i in (self.ids | special).items()}
         self.special_pattern = re.compile("|".join(map(re.escape, sorted(special, key=len, reverse=True)))) if special else None
         self.lookahead = sufficient_lookahead(list(self.ranks), self.end)
 
@@ -187,8 +191,8 @@ def sufficient_lookahead(merges: list[tuple[str, str]], end: str = "") -> int:
 def merged(symbols: list[str], ranks: dict[tuple[str, str], int]) -> list[str]:
     """Merge a list of symbols: always the pair of least rank, the leftmost among equals."""
     size = len(symbols)
-    if size < 2:
-        return symbols
+    if size <= SHORT:
+        return _merged_short(list(symbols), ranks)
     word, after, before = list(symbols), list(range(1, size + 1)), list(range(-1, size - 1))
     heap = [(r, i, word[i], word[i + 1]) for i in range(size - 1) if (r := ranks.get((word[i], word[i + 1]))) is not None]
     heapify(heap)
@@ -208,6 +212,22 @@ def merged(symbols: list[str], ranks: dict[tuple[str, str], int]) -> list[str]:
     return [s for s in word if s is not None]
 
 
+def _merged_short(word: list[str], ranks: dict[tuple[str, str], int]) -> list[str]:
+    """The same for few symbols, where looking through a list of ranks is faster than a heap."""
+    none = len(ranks)
+    get = ranks.get
+    found = [get(pair, none) for pair in zip(word, word[1:], strict=False)]
+    while found and (best := min(found)) < none:
+        at = found.index(best)
+        word[at] += word.pop(at + 1)
+        del found[at]
+        if at:
+            found[at - 1] = get((word[at - 1], word[at]), none)
+        if at < len(found):
+            found[at] = get((word[at], word[at + 1]), none)
+    return word
+
+
 def transduce(symbols: Iterable[str], vocabulary: Vocabulary) -> Iterator[str]:
     """Tokens of one piece, each emitted once nothing that follows can change it."""
     look, buffer, symbols = vocabulary.lookahead, [], iter(symbols)
@@ -231,14 +251,15 @@ def transduce(symbols: Iterable[str], vocabulary: Vocabulary) -> Iterator[str]:
 
 def piece_symbols(piece: str, end: str) -> Iterator[str]:
     """The symbols of a piece: a letter for each of its bytes, the last one marked as the end of a word."""
-    letters, last = byte_letters(), None
-    for char in piece:
-        for byte in char.encode("utf-8", "replace"):
-            if last is not None:
-                yield last
-            last = letters[byte]
-    if last is not None:
-        yield last + end
+    letters = byte_letters()
+    for char in piece[:-1]:
+        if char < "\x80":
+            yield letters[ord(char)]
+        else:
+            yield from map(letters.__getitem__, char.encode("utf-8", "replace"))
+    *rest, last = piece[-1].encode("utf-8", "replace")
+    yield from map(letters.__getitem__, rest)
+    yield letters[last] + end
 
 
 @cache
@@ -260,19 +281,21 @@ def lowered(text: str) -> str:
 class Encoder:
     """Encodes texts; keeps the tokens of the pieces seen last, up to a bound."""
 
-    CACHED, LONGEST = 200_000, 64
+    CACHED, LONGEST = 150_000, 64
 
     def __init__(self, vocabulary: Vocabulary):
-        self.vocabulary, self.known = vocabulary, {}
+        self.vocabulary, self.known, self.before = vocabulary, {}, {}
 
     def piece(self, piece: str) -> tuple[bytes, str]:
         """Ids of a piece as little-endian 32-bit integers, and its tokens joined by blanks."""
-        v = self.vocabulary
-        tokens = [t for t in transduce(piece_symbols(piece, v.end), v) if t in v.ids]  # there is no unknown token
-        value = np.array([v.ids[t] for t in tokens], "<u4").tobytes(), " ".join(tokens)
+        value = self.before.get(piece)
+        if value is None:
+            v = self.vocabulary
+            tokens = [t for t in transduce(piece_symbols(piece, v.end), v) if t in v.packed]  # there is no unknown token
+            value = b"".join([v.packed[t] for t in tokens]), " ".join(tokens)
         if len(piece) <= self.LONGEST:
-            if len(self.known) >= self.CACHED:
-                self.known.clear()
+            if len(self.known) >= self.CACHED:  # the pieces seen last stay for as many more
+                self.known, self.before = {}, self.known
             self.known[piece] = value
         return value
 
@@ -300,7 +323,7 @@ class Encoder:
                 if part is None:
                     p = found[at]
                     one = isinstance(p, int)
-                    parts[at] = (np.array([p], "<u4").tobytes(), v.tokens[p]) if one else self.known.get(p) or self.piece(p)
+                    parts[at] = (v.packed[v.tokens[p]], v.tokens[p]) if one else self.known.get(p) or self.piece(p)
         return parts
 
 
