@@ -84,8 +84,8 @@ def area_values(t: Tables) -> DataFrame:
     )
 
 
-def score_table(t: Tables) -> DataFrame:
-    """Scores as a stored table, which is what the serving queries read."""
+def score_table(t: Tables, staged: bool = True) -> DataFrame:
+    """Scores as a stored table, which is what the serving queries read; as a plain frame for a query that reads it once."""
     scored = min_max_scores(area_values(t))
     score = F.col("score_indicateur")
     rows = scored.select(
@@ -95,7 +95,7 @@ def score_table(t: Tables) -> DataFrame:
         F.when(F.col("priorite") == "1-URGENT", "Typ2").otherwise("Typ1").alias("id_type"),
         score.alias("score_type"), "updated_at",
     )
-    return stage(rows, "scores")
+    return stage(rows, "scores") if staged else rows
 
 
 def areas(t: Tables) -> DataFrame:
@@ -388,7 +388,7 @@ def detail_indicators(t: Tables) -> DataFrame:
         FROM ({SCORED_SQL}) JOIN ({AREAS_SQL}) USING (id_epci)""",
 )
 def score_lines(t: Tables) -> DataFrame:
-    rows = score_table(t).select("id_epci", "id_indicateur", "annee", "score_indicateur")
+    rows = score_table(t, staged=False).select("id_epci", "id_indicateur", "annee", "score_indicateur")
     return serving.score_lines_view(rows, areas(t))
 
 
@@ -418,7 +418,7 @@ def view_scores(t: Tables) -> DataFrame:
             | {"updated_at": F.lit(None).cast("string")}
         )
     )
-    view = serving.area_scores_view(score_table(t), areas(t), stored)
+    view = serving.area_scores_view(score_table(t, staged=False), areas(t), stored)
     return view.select(
         "id_epci", "epci_libelle", "departement_code", "region_code", "annee", "score_global", "score_besoin",
         "indicator_count", F.round("avg_indicator_score", 9).alias("avg_indicator_score"),

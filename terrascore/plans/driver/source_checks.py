@@ -129,7 +129,8 @@ def json_flatten(t: Tables) -> DataFrame:
     )
     pages = t.events.groupBy(F.floor(F.col("event_id") / 100).alias("page")).agg(F.collect_list(record).alias("results"))
     pages.select("results").write.json(path)
-    flat = explode_results(read_pages(t.spark, path, multi_line=False))
+    schema = "results array<struct<event_id: bigint, user: struct<id: bigint>, props: struct<k: bigint>, value: double>>"
+    flat = explode_results(read_pages(t.spark, path, schema, multi_line=False))
     return flat.select(
         "event_id", F.col("`user.id`").alias("user_id"), F.col("`props.k`").alias("k"), F.col("value").alias("valeur")
     )

@@ -28,6 +28,10 @@ def _lines(rows: DataFrame) -> DataFrame:
     return rows.withColumn(ind.LINE, F.struct(F.input_file_name(), F.monotonically_increasing_id()))
 
 
+# the fields of the paged records that the job reads; naming them saves a pass that infers all
+COVERAGE_PAGES = "results array<struct<numepci: string, txcouv_epci: string>>"
+
+
 def _preamble(spark: SparkSession, path: str, sep: str) -> DataFrame:
     return read_after_header_line(spark, path, skip=2, sep=sep)
 
@@ -43,7 +47,7 @@ LANDED: dict[str, Compute] = {
         read_link_entities(s, f"{d}/medias.html"), _preamble(s, f"{d}/medias.tsv", "\t"), t
     ),
     "i113": lambda s, d, t: ind.indicator_i113(_lines(read_delimited(s, f"{d}/sau_2025.csv")), t),
-    "i130": lambda s, d, t: ind.indicator_i130(_lines(explode_results(read_pages(s, f"{d}/i130")))),
+    "i130": lambda s, d, t: ind.indicator_i130(_lines(explode_results(read_pages(s, f"{d}/i130", COVERAGE_PAGES)))),
     "i131": lambda s, d, t: ind.indicator_i131(
         read_folder(
             s, d, "rna_waldec*.csv", ["id", "position", "adrs_codeinsee", "adrs_codepostal"],
