@@ -5,7 +5,9 @@ each word's ends. Every n-gram is hashed to a row of an embedding table, the row
 averaged over the text and a linear layer with a softmax gives the languages. Table
 and layer are trained together by stochastic gradient descent in numpy, on a bounded
 sample of labelled texts. A part of the sample is kept back to calibrate the softmax (a
-temperature) and the score below which a text is rejected.
+temperature) and the rejection: probabilities among the learned languages say nothing
+about other ones, so a text is rejected by its familiarity, the mean log frequency of
+its n-grams in the training texts of the predicted language.
 
 Texts are read whole: since averaging and the layer are linear, embedding rows times
 layer are multiplied once after training and each n-gram adds its row of logits, in
@@ -29,10 +31,8 @@ from terrascore.llm.registry import query
 LENGTHS, BUCKETS, WIDTH = (2, 3, 4), 1 << 14, 16
 #: Training: texts in the sample at most, their code points at most, passes, texts a step, learning rate, seed.
 SAMPLE, SAMPLE_CHARS, EPOCHS, BATCH, RATE, SEED = 2000, 20_000, 5, 32, 0.5, 20
-#: Part of the sample kept for calibration, and part of its rightly predicted texts that may be rejected at most.
-KEPT_BACK, MAY_REJECT = 0.2, 0.002
-#: A floor for the rejection score, as a multiple of the score of a guess among all languages.
-GUESS = 1.5
+#: Part of the sample kept for calibration, part of its rightly predicted texts that may be rejected at most, and what each n-gram counts beforehand.
+KEPT_BACK, MAY_REJECT, BEFOREHAND = 0.2, 0.002, 1e-4
 SLICE = 1 << 20  # bytes worked on at a time
 
 _FOLD = np.arange(256, dtype=np.uint8)  # ASCII letters and other scripts stay, the rest is a blank
@@ -62,20 +62,28 @@ def ngram_rows(data: np.ndarray, lengths=LENGTHS, buckets: int = BUCKETS) -> Ite
 
 @dataclass
 class Model:
-    """A trained model: languages, logits that each n-gram adds, temperature and rejection score."""
+    """A trained model: languages, logits and log frequencies that each n-gram adds, temperature and least familiarity."""
 
     languages: list[str]
     logits: np.ndarray
     bias: np.ndarray
+    common: np.ndarray
     temperature: float = 1.0
-    reject: float = 0.0
+    reject: float = -np.inf
+
+    def __post_init__(self):
+        self.adds = np.concatenate([self.logits, self.common], axis=1)
 
     def scores(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """Language probabilities of texts that lie one after the other in ``data``, each between blanks."""
-        total = np.zeros((len(offsets) - 1, len(self.languages)))
+        return self.rated(data, offsets)[0]
+
+    def rated(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Language probabilities of such texts, and how familiar each text is in each language."""
+        total = np.zeros((len(offsets) - 1, self.adds.shape[1]))
         count = np.zeros(len(offsets) - 1)
         if len(offsets) < 2:
-            return total
+            return total[:, : len(self.languages)], total[:, len(self.languages) :]
         longest, begins = max(LENGTHS), offsets[:-1]
         for start in range(0, len(data), SLICE):
             stop = min(start + SLICE, len(data))
@@ -87,12 +95,12 @@ class Model:
                 filled = cuts[cuts < len(rows)]
                 if not len(filled):
                     continue
-                add = self.logits[rows]
+                add = self.adds[rows]
                 add[~counts] = 0
                 total[first : first + len(filled)] += np.add.reduceat(add, filled, axis=0)
                 count[first : first + len(filled)] += np.add.reduceat(counts.astype(np.int64), filled)
-        mean = total / np.maximum(count, 1)[:, None] + self.bias
-        return softmax(mean / self.temperature)
+        logits, common = np.split(total / np.maximum(count, 1)[:, None], 2, axis=1)
+        return softmax((logits + self.bias) / self.temperature), common
 
 
 def softmax(x: np.ndarray) -> np.ndarray:
@@ -147,25 +155,36 @@ def train(texts: list[str], labels: list[str], epochs: int = EPOCHS, seed: int =
             layer -= rate * (hidden.T @ error)
             bias -= rate * error.sum(axis=0)
             embed -= rate * scale * (mean.T @ slope)
-    model = Model(languages, scale * (embed @ layer), bias)
+    often = np.full((BUCKETS, len(languages)), BEFOREHAND)
+    for k in used:
+        often[bags[k][0], y[k]] += bags[k][1]
+    model = Model(languages, scale * (embed @ layer), bias, np.log(often / often.sum(axis=0)).astype(np.float32))
     if len(held):
         calibrate(model, texts=[texts[i] for i in held], y=y[held])
     return model
 
 
 def calibrate(model: Model, texts: list[str], y: np.ndarray) -> None:
-    """Set the temperature of least log loss, and the score that all but ``MAY_REJECT`` of the right answers reach."""
+    """Set the temperature of least log loss, and the least familiarity.
+
+    All but ``MAY_REJECT`` of the right answers reach it. How familiar texts are in the
+    other languages shows what an unlearned one is like: where all but as many of those
+    are lower, the threshold lies midway, since few texts don't show the rarest ones.
+    """
     data, offsets = laid_out(pa.array(texts, pa.string()))
     model.temperature = 1.0
-    mean = np.log(np.maximum(model.scores(data, offsets), 1e-30))
+    found, familiar = model.rated(data, offsets)
+    mean = np.log(np.maximum(found, 1e-30))
     at = np.arange(len(y))
     losses = {t: -np.mean(np.log(np.maximum(softmax(mean / t)[at, y], 1e-12))) for t in np.geomspace(0.05, 20, 61)}
     model.temperature = float(min(losses, key=losses.get))
-    scores = softmax(mean / model.temperature)
-    right = scores.argmax(axis=1) == y
-    found = np.quantile(scores[right].max(axis=1), MAY_REJECT) if right.any() else 0.0
-    # whatever the kept-back texts reach, nothing above the floor is rejected
-    model.reject = float(min(found, GUESS / len(model.languages)))
+    best = found.argmax(axis=1)
+    right = best == y
+    if right.any():
+        own = np.quantile(familiar[at, best][right], MAY_REJECT)
+        familiar[at, best] = -np.inf
+        foreign = np.quantile(familiar[right].max(axis=1), 1 - MAY_REJECT, method="higher")
+        model.reject = float((own + foreign) / 2 if -np.inf < foreign < own else own)
 
 
 def held_out(key: str = "doc_id") -> Column:
@@ -198,8 +217,8 @@ def identify_languages(
 ) -> DataFrame:
     """``rows`` (or their columns ``keep``) with ``lang_pred``, ``score`` and ``rejected``.
 
-    ``score`` is the calibrated probability of ``lang_pred``; below the model's
-    rejection score a text is ``rejected``. A null text or one without a letter is
+    ``score`` is the calibrated probability of ``lang_pred``; a text less familiar in
+    it than the model asks for is ``rejected``. A null text or one without a letter is
     ``und`` with score 0 and rejected, as is everything if there is no model because
     nothing was labelled. Columns of ``rows`` with a result's name are replaced.
     """
@@ -218,11 +237,12 @@ def identify_languages(
         model = sent.value
         languages = np.array(model.languages)
         for batch in slices(batches, body):
-            scores = model.scores(*laid_out(batch.column(batch.num_columns - 1)))
+            scores, familiar = model.rated(*laid_out(batch.column(batch.num_columns - 1)))
             known = batch.column(batch.num_columns - 2).to_numpy(zero_copy_only=False).astype(bool)
             best = np.where(known, scores.max(axis=1), 0.0)
+            own = familiar[np.arange(len(scores)), scores.argmax(axis=1)]
             predicted = np.where(known, languages[scores.argmax(axis=1)], "und")
-            results = [pa.array(predicted.tolist(), pa.string()), pa.array(best), pa.array(~known | (best < model.reject))]
+            results = [pa.array(predicted.tolist(), pa.string()), pa.array(best), pa.array(~known | (own < model.reject))]
             yield pa.RecordBatch.from_arrays([batch.column(i) for i in range(len(kept))] + results, [*kept, *names])
 
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[:-2]]

@@ -1,6 +1,7 @@
 """Secret scans against the stated patterns, language identification on held-out texts."""
 
 import hashlib
+import random
 import re
 import zlib
 
@@ -82,6 +83,21 @@ def test_held_out_accuracy(spark, sf, model):
     assert sum(r["rejected"] for r in got) <= 0.01 * len(got)
 
 
+def test_texts_in_no_learned_language_are_rejected(spark, sf, docs_of):
+    docs = spark.read.parquet(f"{sf.replace('0.001', '0.01')}/documents.parquet").where(languages.has_letter(languages.F.col("text")))
+    r = random.Random(3)
+    odd = [" ".join("".join(r.choices("abcdefghijklmnopqrstuvwxyz", k=7)) for _ in range(60)) for _ in range(20)]
+    odd += ["for (int i = 0; i < n; i++) { buf[i] ^= key[i % klen]; memcpy(dst + i, &buf[i], sizeof(buf[0])); } " * 3]
+    for left_out in ("fr", "de"):
+        model = languages.fit(docs.where(f"lang <> '{left_out}'"))
+        got = languages.identify_languages(docs, model).where(languages.held_out()).select("lang", "rejected").collect()
+        strange = [x["rejected"] for x in got if x["lang"] == left_out]
+        clean = [x["rejected"] for x in got if x["lang"] != left_out]
+        assert len(strange) > 20 and sum(strange) >= 0.95 * len(strange), (left_out, sum(strange), len(strange))
+        assert sum(clean) <= 0.02 * len(clean), (left_out, sum(clean), len(clean))
+        assert all(x["rejected"] for x in languages.identify_languages(docs_of(*enumerate(odd)), model).collect())
+
+
 def test_prediction_is_of_the_text_alone(docs_of, model):
     text = "the " * 50
     rows = [(1, text, "fr", "a"), (2, text, None, "b"), (None, text, "xx", None), (3, None, "en", "a"), (4, "12 !?", "en", "a"), (5, "", "en", "a"),
