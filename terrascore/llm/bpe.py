@@ -31,7 +31,8 @@ from bisect import bisect_left
 from collections.abc import Iterable, Iterator
 from functools import cache
 from heapq import heapify, heappop, heappush
-from itertools import islice
+from itertools import islice, repeat
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -126,10 +127,10 @@ def composed(text: str) -> str:
     return unicodedata.normalize("NFC", text)
 
 
-def pieces_of(text: str) -> list[str]:
-    """The pieces of a text without special tokens."""
+def pieces_of(text: str) -> Iterator[str]:
+    """The pieces of a text without special tokens, one after the other."""
     plain = lowered(composed(text))
-    return _piece_pattern(sys.maxunicode if _ASTRAL.search(plain) else 0xFFFF).findall(plain)
+    return map(itemgetter(0), _piece_pattern(sys.maxunicode if _ASTRAL.search(plain) else 0xFFFF).finditer(plain))
 
 
 SHORT = 24  # symbols up to which merging keeps a list of ranks, not a heap
@@ -146,6 +147,7 @@ class Vocabulary:
         special = {t["content"]: t["id"] for t in model["added_tokens"]}
         self.special = special
         self.tokens = {i: t for t, i in (self.ids | special).items()}
+        self.spaced = {i: " " + t for i, t in self.tokens.items()}
         self.packed = {t: i.to_bytes(4, "little") for t, i in (self.ids | special).items()}
         self.special_pattern = re.compile("|".join(map(re.escape, sorted(special, key=len, reverse=True)))) if special else None
         self.lookahead = sufficient_lookahead(list(self.ranks), self.end)
@@ -281,24 +283,25 @@ def lowered(text: str) -> str:
 class Encoder:
     """Encodes texts; keeps the tokens of the pieces seen last, up to a bound."""
 
-    CACHED, LONGEST = 150_000, 64
+    CACHED, LONGEST, BLOCK = 150_000, 64, 1024
 
     def __init__(self, vocabulary: Vocabulary):
         self.vocabulary, self.known, self.before = vocabulary, {}, {}
 
-    def piece(self, piece: str) -> tuple[bytes, str]:
-        """Ids of a piece as little-endian 32-bit integers, and its tokens joined by blanks."""
+    def piece(self, piece: str) -> bytes:
+        """Ids of a piece of at most ``LONGEST`` characters, as little-endian 32-bit integers."""
         value = self.before.get(piece)
         if value is None:
-            v = self.vocabulary
-            tokens = [t for t in transduce(piece_symbols(piece, v.end), v) if t in v.packed]  # there is no unknown token
-            value = b"".join([v.packed[t] for t in tokens]), " ".join(tokens)
-        if len(piece) <= self.LONGEST:
-            if len(self.known) >= self.CACHED:  # the pieces seen last stay for as many more
-                self.known, self.before = {}, self.known
-            self.known[piece] = value
+            value = b"".join(self.tokens(piece))
+        if len(self.known) >= self.CACHED:  # the pieces seen last stay for as many more
+            self.known, self.before = {}, self.known
+        self.known[piece] = value
         return value
 
+    def tokens(self, piece: str) -> Iterator[bytes]:
+        packed = self.vocabulary.packed
+        return (packed[t] for t in transduce(piece_symbols(piece, self.vocabulary.end), self.vocabulary) if t in packed)  # there is no unknown token
+
     def pieces(self, text: str) -> Iterator[str | int]:
         """Pieces of a text, and the ids of special tokens, in order."""
         at, v = 0, self.vocabulary
@@ -310,21 +313,44 @@ class Encoder:
 
     def encode(self, text: str) -> np.ndarray:
         """Ids of a text."""
-        return np.frombuffer(b"".join(ids for ids, _ in self.parts(text)), "<u4")
+        return np.frombuffer(b"".join(self.blocks(text)), "<u4")
 
-    def parts(self, text: str) -> list[tuple[bytes, str]]:
-        """For each piece its ids and its tokens."""
+    def blocks(self, text: str) -> Iterator[bytes]:
+        """Ids of a text in blocks of bounded size, each given once it is stable."""
         v = self.vocabulary
         special = v.special_pattern and v.special_pattern.search(text)
-        found = list(self.pieces(text)) if special else pieces_of(text)
-        parts = list(map(self.known.get, found))
-        if None in parts:
-            for at, part in enumerate(parts):
-                if part is None:
-                    p = found[at]
-                    one = isinstance(p, int)
-                    parts[at] = (v.packed[v.tokens[p]], v.tokens[p]) if one else self.known.get(p) or self.piece(p)
-        return parts
+        pieces = iter(self.pieces(text) if special else pieces_of(text))
+        while found := list(islice(pieces, self.BLOCK)):
+            parts = list(map(self.known.get, found))
+            if None in parts:
+                ready = []
+                for p, part in zip(found, parts, strict=True):
+                    if isinstance(p, int):
+                        part = v.packed[v.tokens[p]]
+                    elif len(p) > self.LONGEST:
+                        yield b"".join(ready)
+                        ready, ids = [], self.tokens(p)
+                        while block := b"".join(islice(ids, self.BLOCK)):
+                            yield block
+                        continue
+                    elif part is None:
+                        part = self.known.get(p)
+                        part = self.piece(p) if part is None else part
+                    ready.append(part)
+                parts = ready
+            yield b"".join(parts)
+
+    def digests(self, text: str, keep: bool = True) -> tuple[int, str, str, bytes]:
+        """Number of ids, digest of the ids, digest of the text they decode to, and the ids if they are to be kept."""
+        count, of_ids, of_text, kept, decoder = 0, hashlib.sha256(), hashlib.sha256(), [], Decoder(self.vocabulary)
+        for block in self.blocks(text):
+            count += len(block) // 4
+            of_ids.update(block)
+            of_text.update(decoder.feed_all(np.frombuffer(block, "<u4").tolist()).encode())
+            if keep:
+                kept.append(block)
+        of_text.update(decoder.close().encode())
+        return count, of_ids.hexdigest(), of_text.hexdigest(), b"".join(kept)
 
 
 class Decoder:
@@ -362,6 +388,15 @@ class Decoder:
         self.gap = closed
         return out + data.decode("utf-8", "replace")
 
+    def feed_all(self, ids: list[int]) -> str:
+        """What feeding these ids one by one gives."""
+        if not self.plain:
+            return "".join(map(self.feed, ids))
+        out = "".join(map(self.vocabulary.spaced.get, ids, repeat("")))
+        if out and not self.begun:
+            self.begun, out = True, out[1:]
+        return out
+
     def close(self) -> str:
         """What is left at the end: a character that has begun but not ended."""
         left, self.pending = self.pending, b""
@@ -400,8 +435,8 @@ def encode_texts(rows: DataFrame, path: str, text: str = "text", keep: list[str]
     ``ids_sha256`` is of the ids as little-endian unsigned 32-bit integers,
     ``decoded_sha256`` of the UTF-8 text that the ids decode to. A null or empty text
     has no tokens and decodes to an empty text. Columns of ``rows`` with a result's
-    name are replaced. Whole texts are encoded; a task holds a few MB of texts at a time, a bounded number of known pieces and the
-    vocabulary.
+    name are replaced. Whole texts are encoded; a task holds a few MB of texts at a time, a bounded number of known pieces and of ids (all
+    of the texts' ids only where they are asked for), and the vocabulary.
     """
     made = [f.split(" ")[0] for f in RESULT.split(", ")]
     kept = [c for c in (rows.columns if keep is None else keep) if c not in made]
@@ -415,12 +450,10 @@ def encode_texts(rows: DataFrame, path: str, text: str = "text", keep: list[str]
         for batch in slices(batches, body):
             counts, digests, decoded, values = [], [], [], []
             for value in batch.column(batch.num_columns - 1).to_pylist():
-                parts = encoder.parts(value)
-                part_ids, tokens = zip(*parts) if parts else ((), ())
-                raw = b"".join(part_ids)
-                counts.append(len(raw) // 4)
-                digests.append(hashlib.sha256(raw).hexdigest())
-                decoded.append(hashlib.sha256(" ".join(filter(None, tokens)).encode()).hexdigest())
+                count, digest, text_digest, raw = encoder.digests(value, ids)
+                counts.append(count)
+                digests.append(digest)
+                decoded.append(text_digest)
                 if ids:
                     values.append(raw)
             columns = [batch.column(i) for i in range(batch.num_columns - 1)] + [pa.array(counts, pa.int64())]

@@ -40,6 +40,30 @@ def test_same_as_the_library(library, vocabulary):
         assert "".join(map(decoder.feed, ids)) == library.decode(ids, skip_special_tokens=False)
 
 
+def test_digests_are_of_decoded_ids(library):
+    own = bpe.Vocabulary(bpe.read_vocabulary(bpe.vocabulary_path()))
+    encoder = bpe.Encoder(own)
+    for text in samples():
+        ids = library.encode(text, add_special_tokens=False).ids
+        raw = np.array(ids, "<u4").tobytes()
+        plain = library.decode(ids, skip_special_tokens=False)
+        want = (len(ids), hashlib.sha256(raw).hexdigest(), hashlib.sha256(plain.encode()).hexdigest())
+        assert encoder.digests(text) == (*want, raw) and encoder.digests(text, keep=False) == (*want, b"")
+        one = bpe.Decoder(own)
+        assert bpe.Decoder(own).feed_all(ids) == "".join(map(one.feed, ids))
+    before = encoder.digests("hello world")
+    own.spaced[encoder.encode("world")[0].item()] = " wrong"  # a wrong step from id to text shows, though the pieces are known
+    after = encoder.digests("hello world")
+    assert before[1] == after[1] and before[2] != after[2]
+
+
+def test_ids_come_in_bounded_blocks(vocabulary):
+    encoder = bpe.Encoder(vocabulary)
+    for text in ("one two three, " * 20_000, "aeinrsto" * 20_000):
+        sizes = [len(b) for b in encoder.blocks(text)]
+        assert max(sizes) <= 4 * encoder.BLOCK * 4 and sum(sizes) == 4 * len(encoder.encode(text)) and len(sizes) > 10
+
+
 def test_buffer_is_bounded(vocabulary, monkeypatch):
     seen, real = [], bpe.merged
     monkeypatch.setattr(bpe, "merged", lambda symbols, ranks: seen.append(len(symbols)) or real(symbols, ranks))
