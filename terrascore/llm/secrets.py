@@ -2,9 +2,10 @@
 
 Text that people write falls into few, long tokens of a byte-pair vocabulary; a random
 string falls into many short ones. Among runs of the characters that keys are made of,
-those with few characters for each token are reported as ``random``, after what is
-known not to be secret has been left out: digests of the usual lengths, UUIDs, and
-identifiers, that is words, paths, dates and numbers joined by separators.
+those with few characters for each token, as a whole or over a stretch, are reported as
+``random``, after what is known not to be secret has been left out: digests of the usual
+lengths, UUIDs, and identifiers, that is words, paths, dates and numbers joined by
+separators.
 """
 
 from __future__ import annotations
@@ -12,9 +13,10 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from functools import cache
-from itertools import chain
+from itertools import accumulate, chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -39,8 +41,13 @@ DIGEST_LENGTHS = (32, 40, 56, 64, 96, 128)
 RANDOM_LEAST, RATIO, BLOCK = 20, 2.0, 1024
 _RUN = re.compile(rf"[A-Za-z0-9+/_=-]{{{RANDOM_LEAST},}}")
 _UUID = re.compile("[0-9A-Fa-f]{8}-(?:[0-9A-Fa-f]{4}-){3}[0-9A-Fa-f]{12}")
-_PART = r"(?:[A-Z]?[a-z]+|[A-Z]+|[0-9]{1,8})"
+# a word as long as a candidate may be random
+_LETTERS = f"{{1,{RANDOM_LEAST - 1}}}(?![A-Za-z])"
+_PART = rf"(?:[A-Z]?[a-z]{_LETTERS}|[A-Z]{_LETTERS}|[0-9]{{1,8}})"
 _WORDS = re.compile(rf"[-_/+=]*{_PART}(?:[-_/+=]+{_PART})*[-_/+=]*")  # words and numbers between separators
+_DIGEST = "|".join(f"[0-9A-Fa-f]{{{n}}}" for n in DIGEST_LENGTHS)
+_INNER = re.compile(rf"(?<![A-Za-z0-9])(?:{_UUID.pattern}|{_DIGEST})(?![A-Za-z0-9])")  # UUIDs and digests within a run
+_SEPARATOR = re.compile("[-_/+=]")
 _CAMEL = re.compile(r"[a-z]*(?:[A-Z][a-z]{2,})+[0-9]{0,4}")
 
 
@@ -48,8 +55,6 @@ def is_known(run: str) -> bool:
     """A digest, a UUID or an identifier: nothing to report, however it falls into tokens."""
     if len(run) in DIGEST_LENGTHS and all(c in "0123456789abcdef" for c in run.lower()):
         return True
-    if not any(map(str.isdigit, run)) and (run.islower() or run.isupper() or run.istitle()):
-        return True  # a long word, or words of one case joined
     return bool(_UUID.fullmatch(run) or _WORDS.fullmatch(run) or _CAMEL.fullmatch(run))
 
 
@@ -62,22 +67,75 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
-def random_spans(text: str, encode, taken: list[tuple[int, int, int]], ratio: float = RATIO) -> list[tuple[int, int, int]]:
-    """(start, kind, end) of runs with fewer than ``ratio`` characters per token, apart from ``taken`` spans.
+def random_spans(text: str, sizes, taken: list[tuple[int, int, int]], ratio: float = RATIO) -> list[tuple[int, int, int]]:
+    """(start, kind, end) of stretches of runs with fewer than ``ratio`` characters per token; ``taken`` spans are cut out.
 
-    ``encode`` gives the tokens of a string. A long run is measured whole, in blocks.
+    ``sizes`` gives the lengths of the tokens of a string. A run is measured whole, in
+    blocks, and where that does not report it, stretch by stretch.
     """
     out = []
     for m in _RUN.finditer(text):
-        start, end = m.span()
-        if is_known(m[0]) or any(s < end and start < e for s, _, e in taken):
-            continue
-        tokens = sum(len(encode(m[0][at : at + BLOCK])) for at in range(0, end - start, BLOCK))
-        if (end - start) / tokens < ratio:
-            out.append((start, 3, end))
+        for start, end in _rest(m.start(), m.end(), [(s, e) for s, _, e in taken]):
+            run = text[start:end]
+            if is_known(run):
+                continue
+            tokens = _sizes(run, sizes)
+            if len(run) / len(tokens) < ratio:
+                out.append((start, 3, end))
+                continue
+            for a, b in _rest(0, len(run), [x.span() for x in _INNER.finditer(run)]):
+                found = tokens if b - a == len(run) else _sizes(run[a:b], sizes)
+                out += [(start + a + s, 3, start + a + e) for s, e in _stretches(run[a:b], found, ratio)]
     return out
 
 
+def _sizes(run: str, sizes) -> list[int]:
+    return [n for at in range(0, len(run), BLOCK) for n in sizes(run[at : at + BLOCK])]
+
+
+def _rest(start: int, end: int, taken: list[tuple[int, int]]) -> Iterator[tuple[int, int]]:
+    """What sorted spans leave of ``start`` to ``end``, if long enough for a random string."""
+    for s, e in taken:
+        if s < end and start < e:
+            if s - start >= RANDOM_LEAST:
+                yield start, s
+            start = max(start, e)
+    if end - start >= RANDOM_LEAST:
+        yield start, end
+
+
+def _stretches(run: str, tokens: list[int], ratio: float) -> list[tuple[int, int]]:
+    """Stretches where windows of tokens, as short as a random string may be, have fewer than ``ratio`` characters a token.
+
+    A stretch goes on to the separators around it, so that no end of a key is left.
+    """
+    ends = [0, *accumulate(tokens)]
+    found, j = [], 0
+    for i in range(len(tokens)):
+        while j < len(tokens) and ends[j] - ends[i] < RANDOM_LEAST:
+            j += 1
+        if ends[j] - ends[i] < RANDOM_LEAST:
+            break
+        if ends[j] - ends[i] < ratio * (j - i):
+            if found and ends[i] <= found[-1][1]:
+                found[-1] = (found[-1][0], ends[j])
+            else:
+                found.append((ends[i], ends[j]))
+    if not found:
+        return []
+    cuts = [x.start() for x in _SEPARATOR.finditer(run)]
+    wide: list[tuple[int, int]] = []
+    for s, e in found:
+        before, after = bisect_right(cuts, s), bisect_left(cuts, e)
+        s = cuts[before - 1] + 1 if before else 0
+        e = cuts[after] if after < len(cuts) else len(run)
+        if wide and s <= wide[-1][1]:
+            wide[-1] = (wide[-1][0], max(e, wide[-1][1]))
+        else:
+            wide.append((s, e))
+    return [(s, e) for s, e in wide if not is_known(run[s:e])]
+
+
 def read_ranks(path: str) -> bytes:
     """A vocabulary file of ranks, under a few MB: it is sent to the tasks as it is."""
     with open(path, "rb") as file:
@@ -98,7 +156,7 @@ def find_secrets(
     """``rows`` (or their columns ``keep``) with counts, a digest and the spans of secrets.
 
     ``n_assign``, ``n_access`` and ``n_hex`` count the stated patterns, ``n_random`` the
-    runs that token efficiency adds; ``base_sha256`` is the digest of the stated spans
+    stretches of runs that token efficiency adds; ``base_sha256`` is the digest of the stated spans
     and ``spans`` lists all, each as ``kind:start:end`` in code points, end exclusive,
     by start and then kind, joined by commas. An added span never overlaps a stated
     one. With ``redact``, ``redacted`` is the text with every span (overlapping ones
@@ -115,12 +173,16 @@ def find_secrets(
     source = rows.select(*[F.col(f"`{c}`") for c in kept], text_or_empty(f"`{text}`").alias(body))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = _encoding(sent.value, pattern).encode_ordinary
+        encoding = _encoding(sent.value, pattern)
+
+        def sizes(run: str) -> list[int]:
+            return list(map(len, encoding.decode_tokens_bytes(encoding.encode_ordinary(run))))
+
         for batch in slices(batches, body):
             out = []
             for value in batch.column(batch.num_columns - 1).to_pylist():
                 base = base_spans(value)
-                spans = sorted(chain(base, random_spans(value, encode, base)))
+                spans = sorted(chain(base, random_spans(value, sizes, base)))
                 counts = [sum(k == kind for _, k, _ in spans) for kind in range(len(KINDS))]
                 digest = hashlib.sha256(_listed(base).encode()).hexdigest()
                 out.append((*counts, digest, _listed(spans), *([replaced(value, spans)] if redact else ())))
