@@ -8,8 +8,10 @@ strange words around, negatives are paragraphs of the corpus (a bounded sample)
 temperature and the probability below which a prediction is ``unknown``. A prediction
 stands if enough of the statement's word pairs also occur in one template of the family.
 
-In a paragraph, features that follow each other closely form one statement, so that a
-statement inside a long paragraph is found at its place and two in one paragraph are two.
+In a paragraph, features that follow each other closely form one stretch, so that a
+statement inside a long paragraph is found at its place. A stretch that holds most of the
+word pairs of templates of several families, each at a place of its own, is that many
+statements; those of one family that follow each other closely are one.
 """
 
 from __future__ import annotations
@@ -145,6 +147,38 @@ class Classifier:
         # the shorter of the two counts: a statement may be a cut-out of a template, or have words around it
         return any(t and len(pairs & t) >= CONFIRM * min(len(pairs), len(t)) for t in self.template_pairs[family] if pairs)
 
+    def found(self, words: list[str]) -> tuple[list[tuple[int, int, str, float]], bool]:
+        """Confirmed statements of a stretch, each with its first and last word, family and probability; whether none confirms a family."""
+        family, p, confirmed = self.predict(words)
+        whole = [(0, len(words) - 1, family, p)] if confirmed else []
+        split: list[tuple[int, int, str, float]] = []
+        for a, b, f, q in self.parts(words):
+            if split and split[-1][2] == f:
+                split[-1] = (split[-1][0], b, f, max(q, split[-1][3]))
+            else:
+                split.append((a, b, f, q))
+        families = {f for _, _, f, _ in split}
+        if not confirmed or len(families) > 1 and family in families:
+            return split, family != UNKNOWN and not split
+        return sorted(whole + split) if families - {family} else whole, False
+
+    def parts(self, words: list[str]) -> list[tuple[int, int, str, float]]:
+        """Places in order where most pairs of a template lie and its family is predicted."""
+        pairs = list(zip(words, words[1:], strict=False))
+        options, held = [], set(pairs)
+        for family, templates in self.template_pairs.items():
+            for t in templates:
+                if t and len(held & t) >= CONFIRM * len(t):
+                    gain, a, b = _densest(pairs, t)
+                    if len(t.intersection(pairs[a : b + 1])) >= CONFIRM * len(t):
+                        options.append((-gain, a, b + 1, family))
+        for _, a, b, family in sorted(options):
+            name, p, confirmed = self.predict(words[a : b + 1])
+            if confirmed and name == family:
+                later = [(b + 1 + x, b + 1 + y, f, q) for x, y, f, q in self.parts(words[b + 1 :])]
+                return [*self.parts(words[:a]), (a, b, family, p), *later]
+        return []
+
     def statements(self, paragraph: str) -> Iterator[tuple[int, int, list[str]]]:
         """Start, end and words of the statements in a paragraph: n-grams of the model that are close to each other."""
         words = words_of(paragraph)
@@ -164,6 +198,18 @@ class Classifier:
         self.pairs = {g for g in self.feature if len(g) == 2}
 
 
+def _densest(pairs: list[tuple[str, str]], template: frozenset) -> tuple[int, int, int]:
+    """Gain, first and last of the run of pairs with most new pairs of a template, those that are not counted against it."""
+    best, gain, start, seen = (0, 0, -1), 0, 0, set()
+    for i, pair in enumerate(pairs):
+        if gain <= 0:
+            gain, start, seen = 0, i, set()
+        gain += 1 if pair in template and pair not in seen else -1
+        seen.add(pair)
+        best = max(best, (gain, start, i), key=lambda x: x[0])
+    return best
+
+
 def _softmax(x: np.ndarray) -> np.ndarray:
     x = np.exp(x - x.max(axis=-1, keepdims=True))
     return x / x.sum(axis=-1, keepdims=True)
@@ -257,10 +303,10 @@ def scan_licences(rows: DataFrame, model: Classifier, text: str = "text", keep:
                 found, unknown, at = [], 0, 0
                 for paragraph in value.split("\n"):
                     for start, end, words in model.statements(paragraph):
-                        family, p, confirmed = model.predict(words)
-                        if confirmed:
-                            found.append((at + start, at + end, family, p))
-                        unknown += family != UNKNOWN and not confirmed
+                        stated, strange = model.found(words)
+                        places = [m.span() for m in WORD.finditer(paragraph.lower(), start, end)] if stated else []
+                        found += [(at + places[a][0], at + places[b][1], family, p) for a, b, family, p in stated]
+                        unknown += strange
                     at += len(paragraph) + 1
                 out.append((
                     ",".join(sorted({f for _, _, f, _ in found})), len(found), unknown,

@@ -39,6 +39,26 @@ def test_statements_and_others(docs_of, model):
     assert licences.scan_licences(docs_of((1, "a")).where("false"), model).collect() == []
 
 
+def test_several_licences_on_one_line(docs_of, model):
+    lines = {
+        "Licensed under the Apache License, Version 2.0. Released under the MIT License.": "Apache,MIT",
+        "Licensed under the MIT License or the Apache License, Version 2.0, of the two": "Apache,MIT",
+        "Code: released under the BSD 3-Clause License. Texts: licensed under CC BY-SA 4.0. Data: licensed under CC BY-NC 4.0.": "BSD,CC-BY-NC,CC-BY-SA",
+        " ".join(licences.TEMPLATES["Apache"]): "Apache",
+        licences.TEMPLATES["AGPL"][0] + ", either version 3 of the License, or (at your option) any later version.": "AGPL",
+        licences.TEMPLATES["LGPL"][0] + ", either version 2.1 of the License, or (at your option) any later version.": "LGPL",
+        " ".join(licences.TEMPLATES["GPL"][i] for i in (0, 2)): "GPL",
+    }
+    got = {r["doc_id"]: r for r in licences.scan_licences(docs_of(*enumerate(lines)), model).collect()}
+    for i, (line, want) in enumerate(lines.items()):
+        assert got[i]["licences"] == want and got[i]["n_statements"] == want.count(",") + 1, line
+    for name, word in (("Apache", "Apache"), ("MIT", "MIT")):
+        spans = [x.split(":") for x in got[0]["spans"].split(",")]
+        at = next((int(a), int(b)) for f, a, b in spans if f == name)
+        text = got[0]["text"][at[0] : at[1]]
+        assert word in text and not ("Apache" in text and "MIT" in text)
+
+
 def test_training_without_documents(docs_of):
     empty = docs_of((1, "a")).where("false")
     found = licences.train(licences.sample_paragraphs(empty, "doc_id", "text")).predict(licences.words_of("Released under the MIT License."))
