@@ -3,6 +3,7 @@
 from terrascore.llm import (  # noqa: F401  (registers the queries)
     bpe,
     chats,
+    clusters,
     fingerprints,
     languages,
     licences,
