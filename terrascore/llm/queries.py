@@ -10,6 +10,7 @@ from terrascore.llm import (  # noqa: F401  (registers the queries)
     mixing,
     neardup,
     neighbours,
+    private,
     repair,
     secrets,
     sharding,
