@@ -26,7 +26,7 @@ _NUMBER = r"([+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?)"
 _PLAIN_NUMBER = rf"(?U)^\s*{_NUMBER}\s*$"
 _PERCENT_NUMBER = rf"(?U)^\s*{_NUMBER}\s?%?\s*$"
 # sign, digits before and after the point, exponent (more than nine digits of it make no code)
-_SCIENTIFIC = r"(?U)^\s*([+-]?)0*([0-9]*)\.?([0-9]*)[eE]([+-]?)0*([0-9]{0,9})\s*$"
+_SCIENTIFIC = r"(?U)^\s*([+-]?)(?=\.?[0-9])0*([0-9]*)\.?([0-9]*)[eE]([+-]?)(?=[0-9])0*([0-9]{0,9})\s*$"
 _INTEGRAL = r"(?U)^\s*([+-]?)0*([0-9]+?)(?:\.0)?\s*$"
 _INDICATOR = r"(?Ui)^\s*(?:i\s*(?=[0-9])|(?=[0-9]+\s*$))([0-9 ]+?)\s*$"
 _SPACES = " \u00a0\u202f"
@@ -78,8 +78,8 @@ def to_int(value: ColumnOrName) -> Column:
     return to_float(value).try_cast("int")
 
 
-# digits of an expanded code that are still written out
-_LONGEST_CODE = 400
+# Fixed value: a number of more digits than this is no code and stays as it is written.
+MOST_DIGITS = 4300
 
 
 def clean_code(value: ColumnOrName) -> Column:
@@ -87,22 +87,29 @@ def clean_code(value: ColumnOrName) -> Column:
 
     Whole numbers lose leading zeros and a trailing ``.0``; scientific notation is
     expanded and truncated, digit by digit, so that no digit is rounded however long the code is;
-    anything else (``2A004``) stays as it is, and so does an exponent beyond any code.
+    anything else (``2A004``) stays as it is, and so does a number of more than ``MOST_DIGITS`` digits.
     """
     text = _col(value).cast("string")
 
-    def signed(sign: Column, digits: Column) -> Column:
-        plain = F.ltrim(digits, F.lit("0"))
-        return F.when(plain == "", "0").otherwise(F.concat(F.when(sign == "-", "-").otherwise(""), plain))
-
-    whole = F.when(text.rlike(_INTEGRAL), signed(_capture(text, _INTEGRAL), F.regexp_extract(text, _INTEGRAL, 2)))
-    sign, left, right, minus, power = (F.regexp_extract(text, _SCIENTIFIC, i) for i in range(1, 6))
-    shift = F.coalesce(F.nullif(power, F.lit("")).try_cast("int"), F.lit(0))
-    point = F.length(left) + F.when(minus == "-", -shift).otherwise(shift)
-    digits = F.concat(left, right)
-    expanded = F.when(point <= 0, "").otherwise(F.rpad(F.substring(digits, F.lit(1), point), point, F.lit("0")))
-    scientific = F.when(text.rlike(_SCIENTIFIC) & text.rlike(r"[0-9]\.?[0-9]*[eE]") & text.rlike(r"[0-9]\s*$")
-                        & (shift <= _LONGEST_CODE), signed(sign, expanded))
+    def expanded(parts: Column) -> Column:
+        sign, left, right, minus, power = (parts[i] for i in range(5))
+        digits = F.concat(left, right)
+        zeros = F.length(digits) - F.length(F.ltrim(digits, F.lit("0")))
+        shift = F.coalesce(power.try_cast("int"), F.lit(0))
+        point = F.length(left) + F.when(minus == "-", -shift).otherwise(shift)
+        cut = F.ltrim(F.rpad(F.substring(digits, F.lit(1), point), point, F.lit("0")), F.lit("0"))
+        return (
+            F.when((zeros == F.length(digits)) | (point <= zeros), "0")
+            .when(point - zeros <= MOST_DIGITS, F.concat(F.when(sign == "-", "-").otherwise(""), cut))
+        )
+
+    # each pattern is run once: what it captures is put between marks and taken apart
+    plain = F.ltrim(F.regexp_replace(text, _INTEGRAL, "$1$2"), F.lit("+"))
+    whole = F.when(text.rlike(_INTEGRAL) & (F.length(text) <= MOST_DIGITS), F.when(plain == "-0", "0").otherwise(plain))
+    marked = F.regexp_replace(text, _SCIENTIFIC, "\x01$1\x01$2\x01$3\x01$4\x01$5")
+    scientific = F.when(
+        (text.contains("e") | text.contains("E")) & marked.startswith("\x01") & ~text.startswith("\x01"),
+        F.transform(F.array(F.split(F.substring(marked, 2, 1 << 30), "\x01")), expanded)[0])
     return F.coalesce(whole, scientific, clean_text(text))
 
 

@@ -337,31 +337,44 @@ def raw_value_contract(t: Tables) -> DataFrame:
     )
 
 
+FILES = 4
+
+
 @query(
     "src_header_line",
     """SELECT '' || c_custkey AS code, c_name AS nom, '' || c_nationkey AS pays FROM customer""",
 )
 def header_line(t: Tables) -> DataFrame:
-    """Two files with free text of their own and their columns in another order."""
+    """Files of two shapes: free text of their own, and their columns in another order."""
     base = t.scratch("header_line")
     first = F.col("c_nationkey") < 12
     shapes = {"a": ("Code;Nom;Pays", ("c_custkey", "c_name", "c_nationkey"), first), "b": ("Pays;Code;Nom", ("c_nationkey", "c_custkey", "c_name"), ~first)}
     for name, (header, columns, part) in shapes.items():
-        head = t.spark.createDataFrame([(f"Edition {name}",), ("",), (header,)], "value string")
-        rows = t.customer.where(part).select(F.concat_ws(";", *columns).alias("value"))
-        head.coalesce(1).union(rows.coalesce(1)).coalesce(1).write.text(f"{base}/{name}")
-    df = read_after_header_line(t.spark, f"{base}/*", 2, ";")
+        # a few files of each shape, written side by side, each with its leading lines first
+        dealt = t.customer.where(part).select(F.pmod("c_custkey", F.lit(FILES)).alias("file"), F.concat_ws(";", *columns).alias("value"), F.lit(3).alias("n"))
+        head = t.spark.range(FILES).select(
+            F.col("id").alias("file"), F.posexplode(F.array(F.lit(f"Edition {name}"), F.lit(""), F.lit(header))).alias("n", "value"))
+        lines = head.select("file", "value", "n").union(dealt.select("file", "value", "n"))
+        lines.repartition(FILES, "file").sortWithinPartitions("file", "n").select("value", "file").write.partitionBy("file").text(f"{base}/{name}")
+    df = read_after_header_line(t.spark, f"{base}/*/*", 2, ";")
     return df.select(F.col("Code").alias("code"), F.col("Nom").alias("nom"), F.col("Pays").alias("pays"))
 
 
 @query(
     "src_preamble_rejects",
-    """SELECT CASE WHEN c_mktsegment = 'FURNITURE' THEN 'rejet' ELSE 'ligne' END AS sort,
-              CASE WHEN c_mktsegment = 'FURNITURE' THEN 'x' || c_custkey ELSE lpad('' || c_custkey % 90000, 5, '0') END AS code, c_name AS nom
+    """SELECT CASE WHEN c_mktsegment = 'FURNITURE' OR c_custkey % 90000 = 0 AND c_mktsegment <> 'BUILDING'
+                   THEN 'rejet' ELSE 'ligne' END AS sort,
+              CASE WHEN c_mktsegment = 'FURNITURE' THEN 'x' || c_custkey
+                   WHEN c_custkey % 90000 = 0 AND c_mktsegment = 'MACHINERY' THEN '0.0'
+                   WHEN c_custkey % 90000 = 0 AND c_mktsegment <> 'BUILDING' THEN '0'
+                   ELSE lpad('' || c_custkey % 90000, 5, '0') END AS code, c_name AS nom
        FROM customer""",
 )
 def preamble_rejects(t: Tables) -> DataFrame:
-    """Codes with blanks, without leading zeros or with a trailing ``.0`` are repaired; the rest is rejected, not lost."""
+    """Codes with blanks, without leading zeros or with a trailing ``.0`` are repaired; the rest is rejected, not lost.
+
+    A bare ``0`` or ``0.0`` stands for a missing code and is rejected; ``00000`` is a code.
+    """
     path = t.scratch("rejects")
     head = t.spark.createDataFrame([("Edition",), ("Code,Nom",)], "value string")
     number = F.col("c_custkey") % 90000

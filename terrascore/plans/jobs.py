@@ -32,13 +32,13 @@ def _lines(rows: DataFrame) -> DataFrame:
 COVERAGE_PAGES = "results array<struct<numepci: string, txcouv_epci: string>>"
 
 
-def _preamble(spark: SparkSession, path: str, sep: str) -> DataFrame:
-    return read_after_header_line(spark, path, skip=2, sep=sep)
+def _preamble(spark: SparkSession, path: str, sep: str, order: str | None = None) -> DataFrame:
+    return read_after_header_line(spark, path, skip=2, sep=sep, order=order)
 
 
 # Landed files below one folder, and the job that reads them.
 LANDED: dict[str, Compute] = {
-    "i032": lambda s, d, t: ind.indicator_i032(_lines(_preamble(s, f"{d}/i032.csv", ";"))),
+    "i032": lambda s, d, t: ind.indicator_i032(_preamble(s, f"{d}/i032.csv", ";", ind.LINE)),
     "i058": lambda s, d, t: ind.indicator_i058(
         read_delimited(s, f"{d}/i058.csv"), read_columnar(s, f"{d}/amenagement_cyclable.parquet"), t
     ),

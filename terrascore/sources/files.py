@@ -8,9 +8,11 @@ from __future__ import annotations
 
 import csv
 import logging
-from collections.abc import Iterable, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 from functools import reduce
+from urllib.parse import unquote
 
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,6 +20,7 @@ from pyspark.sql import types as T
 
 from terrascore.functions.cleaning import clean_area_code, strip
 from terrascore.functions.labels import link_city, link_name, link_texts
+from terrascore.session import settings, stage
 
 logger = logging.getLogger(__name__)
 
@@ -152,24 +155,46 @@ def read_after_preamble_with_rejects(
     return data, rows.where(~fits & ~header & (F.size(filled) > 1))
 
 
-def files_of(spark: SparkSession, path, name_glob: str | None = None) -> list[str]:
-    """The files below a path, by name; only listed, not read."""
-    reader = spark.read.option("pathGlobFilter", name_glob) if name_glob else spark.read
-    return sorted(reader.text(path).inputFiles())
+def leading_lines(spark: SparkSession, path, count: int, encoding: str = "UTF-8", name_glob: str | None = None) -> DataFrame:
+    """The first ``count`` lines of every file: ``file, number`` (from 0)``, value``, staged.
 
+    One job however many files there are: a file is one task, which reads its first lines and no more.
+    """
 
-def leading_lines(spark: SparkSession, files: Sequence[str], count: int, encoding: str = "UTF-8") -> dict[str, list[str]]:
-    """The first ``count`` lines of each file: a few lines a file reach the driver, and only its first block is read."""
-    found: dict[str, list[str]] = {f: [] for f in files}
-    for start in range(0, len(files), 64):
-        part = files[start : start + 64]
-        heads = [
-            spark.read.option("encoding", encoding).text(f).limit(count).select(F.lit(i).alias("file"), "value")
-            for i, f in enumerate(part)
-        ]
-        for row in reduce(DataFrame.unionAll, heads).collect():
-            found[part[row["file"]]].append(row["value"].removeprefix("\ufeff"))
-    return found
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        done = 0
+        for batch in batches:
+            part = batch.slice(0, count - done)
+            numbers = pa.array(range(done, done + part.num_rows), pa.int32())
+            yield pa.RecordBatch.from_arrays([part.column(0), numbers, part.column(1)], ["file", "number", "value"])
+            done += part.num_rows
+            if done == count:
+                return
+
+    reader = spark.read.option("encoding", encoding)
+    lines = (reader.option("pathGlobFilter", name_glob) if name_glob else reader).text(path)
+    named = lines.select("_metadata.file_path", F.ltrim("value", F.lit("\ufeff")).alias("value"))
+    whole = 1 << 50  # no file is as large: none is cut, and no two share a task
+    with settings(spark, {
+        "spark.sql.files.maxPartitionBytes": whole, "spark.sql.files.openCostInBytes": whole,
+        "spark.sql.execution.arrow.maxRecordsPerBatch": count,
+    }):
+        return stage(named.mapInArrow(first, "file string, number int, value string"), "heads")
+
+
+def _by_header(heads: DataFrame, number: int) -> tuple[list[str], str | None]:
+    """The different lines of this number, and a file that has none; few lines, as files share their shape."""
+    headers = heads.groupBy("file").agg(F.max(F.when(F.col("number") == number, F.col("value"))).alias("header"))
+    found = headers.groupBy("header").agg(F.min("file").alias("file")).collect()
+    return sorted(r["header"] for r in found if r["header"] is not None), next((r["file"] for r in found if r["header"] is None), None)
+
+
+def _files_with(heads: DataFrame, number: int, header: str, path, alone: bool):
+    """The path itself if all its files have this header, else those that do: no more names than the scan's own list of files."""
+    if alone:
+        return path
+    rows = heads.where((F.col("number") == number) & (F.col("value") == header)).select("file").collect()
+    return sorted(unquote(r["file"]) for r in rows)
 
 
 def _names(line: str, sep: str) -> tuple[str, ...]:
@@ -178,29 +203,31 @@ def _names(line: str, sep: str) -> tuple[str, ...]:
 
 
 def read_after_header_line(
-    spark: SparkSession, path: str, skip: int, sep: str = ",", encoding: str = "UTF-8"
+    spark: SparkSession, path: str, skip: int, sep: str = ",", encoding: str = "UTF-8", order: str | None = None
 ) -> DataFrame:
     """Delimited files, each with its header after ``skip`` lines of free text of its own.
 
-    The few leading lines of every file are read to learn its header; the scan leaves
-    out, in each file, lines equal to that file's leading lines, so it needs no line
-    order. Files may have their columns in different orders. A record is one line.
+    The leading lines of all files are read in one job to learn their headers. The scan leaves
+    out lines of a file's first block that equal one of that file's leading lines: one join on file and line,
+    however many files there are, and no line order is needed. Files may have their columns in different orders.
+    A record is one line. Files without any line have no rows. ``order`` names a column for the place of the line: its
+    file, and a number that grows within it.
     """
-    heads = leading_lines(spark, files_of(spark, path), skip + 1, encoding)
-    by_header: dict[tuple[str, ...], list[str]] = {}
-    for file, lines in heads.items():
-        if len(lines) <= skip:
-            raise ValueError(f"{file}: no header after {skip} lines")
-        by_header.setdefault(_names(lines[skip], sep), []).append(file)
+    heads = leading_lines(spark, path, skip + 1, encoding)
+    headers, short = _by_header(heads, skip)
+    if short is not None or not headers:
+        raise ValueError(f"{short or path}: no header after {skip} lines")
+    leading = heads.select(F.col("file").alias("_of"), F.col("value").alias("_leading"))
     frames = []
-    for names, files in by_header.items():
-        lines = spark.read.option("encoding", encoding).text(files).where(F.length("value") > 0)
-        lines = lines.withColumn("_file", F.col("_metadata.file_path"))
-        for file in files:
-            leading = F.ltrim(F.col("value"), F.lit("\ufeff")).isin(*heads[file])
-            lines = lines.where(~(leading & (F.col("_file") == file))) if len(files) > 1 else lines.where(~leading)
-        parsed = F.from_csv("value", text_schema(names).toDDL(), {"sep": sep, "quote": '"', "escape": '"'})
-        frames.append(lines.select(parsed.alias("_line")).select("_line.*"))
+    for header in headers:
+        files = _files_with(heads, skip, header, path, len(headers) == 1)
+        lines = spark.read.option("encoding", encoding).text(files).where(F.length("value") > 0).select(
+            "value", F.col("_metadata.file_path").alias("_file"), F.monotonically_increasing_id().alias("_place"),
+            F.when(F.col("_metadata.file_block_start") == 0, F.ltrim("value", F.lit("\ufeff"))).alias("_early"))
+        lines = lines.join(leading, (F.col("_file") == F.col("_of")) & (F.col("_early") == F.col("_leading")), "left_anti")
+        parsed = F.from_csv("value", text_schema(_names(header, sep)).toDDL(), {"sep": sep, "quote": '"', "escape": '"'})
+        place = [F.struct("_file", "_place").alias(order)] if order else []
+        frames.append(lines.select(parsed.alias("_line"), *place).select("_line.*", *([order] if order else [])))
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
 
 
@@ -221,22 +248,24 @@ def read_folder(
 ) -> DataFrame:
     """All files of a folder whose names match, filtered and projected in the scan.
 
-    Files may have their columns in different orders: each is read by its own header,
-    files of one header in one scan. A file without one of ``columns`` is an error.
+    Files may have their columns in different orders: each is read by its own header, which one job learns for all
+    of them, and files of one header are one scan. A file without one of ``columns`` is an error.
     ``multi_line`` allows line breaks inside quotes but makes a file one task.
     """
-    by_header: dict[tuple[str, ...], list[str]] = {}
-    for file, lines in leading_lines(spark, files_of(spark, folder, name_glob), 1, encoding).items():
-        if lines:  # an empty file has no rows
-            by_header.setdefault(_names(lines[0], sep), []).append(file)
-    if not by_header:
+    heads = leading_lines(spark, folder, 1, encoding, name_glob)
+    headers, _ = _by_header(heads, 0)
+    if not headers:
         raise ValueError(f"{folder}: no file with a header matches {name_glob}")
     frames = []
-    for names, files in by_header.items():
+    for header in headers:
+        names = _names(header, sep)
         lacking = [c for c in columns if c not in names]
         if lacking:
-            raise ValueError(f"{files[0]}: no column {lacking}")
-        df = read_delimited(spark, files, sep, True, text_schema(names), encoding, multi_line)
+            raise ValueError(f"{folder}: no column {lacking} in a file that starts with {header!r}")
+        files = _files_with(heads, 0, header, folder, len(headers) == 1)
+        reader = spark.read.option("pathGlobFilter", name_glob).schema(text_schema(names)).options(
+            sep=sep, header=True, encoding=encoding, quote='"', escape='"', multiLine=multi_line)
+        df = reader.csv(files)
         frames.append((df if where is None else df.where(where)).select(*columns))
     return reduce(DataFrame.unionByName, frames)
 

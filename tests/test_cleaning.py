@@ -62,3 +62,9 @@ def test_first_non_empty(spark, rows, texts):
 def test_json_keeps_nulls(spark, texts):
     df = texts(["a", "b"], ["1", None])
     assert df.select(c.json_object("a", "b")).first()[0] == '{"a":"1","b":null}'
+
+
+def test_codes_of_many_digits_are_written_out(spark):
+    values = ["1e401", "12.5e3", "-7E2", "1e4299", "1e4300", "0e9999", "5e-3", "-0", "+5", "e5", "1e", "2A004", " 007.0 ", "1.99e0", "1e9999999999"]
+    got = [r[0] for r in spark.createDataFrame([(v,) for v in values], "v string").select(c.clean_code("v")).collect()]
+    assert got == ["1" + "0" * 401, "12500", "-700", "1" + "0" * 4299, "1e4300", "0", "0", "0", "5", "e5", "1e", "2A004", "7", "1", "1e9999999999"]
