@@ -193,15 +193,27 @@ def held_out(key: str = "doc_id") -> Column:
 
 
 def sample_texts(rows: DataFrame, key: str, text: str, lang: str, most: int = SAMPLE) -> tuple[list[str], list[str]]:
-    """At most about ``most`` lower-case labelled texts, of at most ``SAMPLE_CHARS`` code points, drawn by a hash."""
+    """At most about ``most`` lower-case labelled texts, of at most ``SAMPLE_CHARS`` code points, drawn by a hash.
+
+    Only texts that can be learned from are counted. Languages share the sample evenly; what one with few
+    texts leaves goes to the others, so that a rare language is learned from all it has.
+    """
     usable = rows.where(
         F.col(f"`{key}`").isNotNull() & ~held_out(key) & F.col(f"`{lang}`").isNotNull()
         & (F.char_length(F.col(f"`{text}`")) <= SAMPLE_CHARS) & has_letter(F.col(f"`{text}`"))
     )
-    steps = 1 << 30
-    share = min(1.0, most / max(1, rows.count()))
-    drawn = usable.where(F.pmod(F.xxhash64(F.col(f"`{key}`"), F.lit(SEED)), F.lit(steps)) < int(share * steps)).select(
-        F.lower(F.col(f"`{text}`").cast("string")).alias("t"), F.col(f"`{lang}`").cast("string").alias("l"),
+    name = F.col(f"`{lang}`").cast("string")
+    counted = sorted((r["n"], r["l"]) for r in usable.groupBy(name.alias("l")).agg(F.count(F.lit(1)).alias("n")).collect())  # a row a language
+    steps, left, parts = 1 << 30, float(most), []
+    for at, (n, language) in enumerate(counted):
+        wanted = min(float(n), left / (len(counted) - at))
+        left -= wanted
+        parts += [F.lit(language), F.lit(int(wanted / n * steps))]
+    if not parts:
+        return [], []
+    place = F.pmod(F.xxhash64(F.col(f"`{key}`"), F.lit(SEED)), F.lit(steps))
+    drawn = usable.where(place < F.try_element_at(F.create_map(*parts), name)).select(
+        F.lower(F.col(f"`{text}`").cast("string")).alias("t"), name.alias("l"),
         F.xxhash64(F.col(f"`{key}`"), F.lit(SEED)).alias("h"),
     ).collect()
     drawn.sort(key=lambda r: (r["h"], r["t"], r["l"]))

@@ -73,9 +73,20 @@ def random_spans(text: str, sizes, taken: list[tuple[int, int, int]], ratio: flo
     ``sizes`` gives the lengths of the tokens of a string. A run is measured whole, in
     blocks, and where that does not report it, stretch by stretch.
     """
-    out = []
+    cut: list[tuple[int, int]] = []
+    for s, _, e in taken:  # as spans apart from each other
+        if cut and s <= cut[-1][1]:
+            cut[-1] = (cut[-1][0], max(e, cut[-1][1]))
+        else:
+            cut.append((s, e))
+    out, at = [], 0
     for m in _RUN.finditer(text):
-        for start, end in _rest(m.start(), m.end(), [(s, e) for s, _, e in taken]):
+        while at < len(cut) and cut[at][1] <= m.start():
+            at += 1
+        last = at
+        while last < len(cut) and cut[last][0] < m.end():
+            last += 1
+        for start, end in _rest(m.start(), m.end(), cut[at:last]):
             run = text[start:end]
             if is_known(run):
                 continue

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import time
 import re
 import zlib
 
@@ -160,3 +161,14 @@ def test_language_stage(docs_of, spark, sf):
     out = languages.language_stage(spark, more, sf)
     assert out.columns == docs.columns
     assert out.count() >= 0.98 * docs.count() and out.where("doc_id >= 1000000").count() == 0
+
+
+def test_stated_spans_are_cut_out_in_one_pass():
+    piece = "token=abcdefgh12 x /home/projects/application/configuration/production/ "
+    text = piece * 8000
+    base = secrets.base_spans(text)
+    before = time.process_time()
+    secrets.random_spans(text, lambda run: [4] * (len(run) // 4 + 1), base)
+    assert len(base) == 8000 and time.process_time() - before < 10
+    glued = "token=" + "ab12" * 6 + ".key/" + "Zq8" * 9
+    assert secrets.random_spans(glued, lambda run: [1] * len(run), secrets.base_spans(glued)) == []
