@@ -88,12 +88,13 @@ def mix_sources(
     equal in key and text have one hash: the mix takes all of them or none. A null
     source is a source of its own; a null text has size 0; an empty table gives an
     empty result. Other columns pass through; columns of ``rows`` that bear the name
-    of a result column are replaced. The narrow columns are staged once, so that the
-    texts are read once however many passes follow.
+    of a result column are replaced. Source, size and hash are staged, so that the passes read no
+    text. With ``keep``, only these columns pass through, and they are staged as
+    well: then the texts are read once.
     """
-    made = ("size", "source_size", "target", "taken")
-    kept = [F.col(f"`{c}`") for c in rows.columns if c not in made]
-    h, s = fresh(rows, "hash", "source")
+    made = ("size", "source_size", "target", "repeats", "taken")
+    kept = [F.col(f"`{c}`") for c in (rows.columns if keep is None else keep) if c not in made]
+    h, s, of, whole, upto = fresh(rows, "hash", "source", "of", "whole", "upto")
     measured = rows.select(
         *kept,
         word_count(F.col(f"`{text}`")).alias("size"),
@@ -106,10 +107,11 @@ def mix_sources(
     narrow = narrow if keep is not None else stage(narrow, "mix")
     sizes = narrow.groupBy("source").agg(F.sum("size").alias("source_size"))
     goals = source_targets(sizes, "source", "source_size", weights, share, most)
-    cut = _thresholds(narrow, goals, most).withColumnRenamed("source", "__cut_source")  # one row per source
+    cut = _thresholds(narrow, goals, most).select(  # one row per source
+        F.col("source").alias(of), "source_size", "target", F.col("__whole").alias(whole), F.col("__upto").alias(upto))
 
-    joined = measured.join(cut, F.col(s).eqNullSafe(F.col("__cut_source")), "left")
-    repeats = (F.col("__whole") + F.when(F.col(h) <= F.col("__upto"), 1).otherwise(0)).cast("int")
+    joined = measured.join(cut, F.col(s).eqNullSafe(F.col(of)), "left")
+    repeats = (F.col(whole) + F.when(F.col(h) <= F.col(upto), 1).otherwise(0)).cast("int")
     return joined.select(
         *kept, "size", "source_size", "target", repeats.alias("repeats"),
         (F.col("size") * repeats).cast("long").alias("taken"),
@@ -214,7 +216,8 @@ def op4_mix_sources(spark, sf_dir):
 
 def mix_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them: not at all, once or twice."""
-    mixed = mix_sources(docs, WEIGHTS, SHARE, MOST)
-    (copy,) = fresh(mixed, "copy")
-    repeated = mixed.withColumn(copy, F.explode(F.array_repeat(F.lit(True), F.col("repeats"))))
-    return repeated.select(*[F.col(f"`{c}`") for c in docs.columns])
+    # whole rows in one column, so that no column of theirs bears the name of a result
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "doc_id", "source", "text")
+    mixed = mix_sources(rows, WEIGHTS, SHARE, MOST)
+    repeated = mixed.select("row", F.explode(F.array_repeat(F.lit(True), F.col("repeats"))))
+    return repeated.select("row.*")

@@ -109,3 +109,11 @@ def test_shard_weights_and_odd_rows(docs_of, spark):
     assert shard_rows(docs_of((1, "a")).where("false"), [1.0]).count() == 0
     with pytest.raises(ValueError):
         shard_rows(docs_of((1, "a")), [0.0])
+
+
+def test_columns_named_like_results_pass_the_stage(docs_of, spark):
+    docs = docs_of((1, "a b c", "en", "x"), (2, "d e", "en", "x"), (3, "f", "en", None), extra="repeats size target taken row")
+    out = mix_stage(spark, docs, "")
+    assert out.columns == docs.columns and {r["repeats"] for r in out.collect()} == {"x"}
+    mixed = mix_sources(docs, (5, 2, 1), keep=["doc_id", "row"])
+    assert mixed.columns == ["doc_id", "row", "size", "source_size", "target", "repeats", "taken"] and mixed.count() == 3
