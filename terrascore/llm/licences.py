@@ -107,7 +107,7 @@ KEPT_BACK = 0.25
 
 
 def words_of(text: str) -> list[str]:
-    return WORD.findall(text.lower())
+    return [w.lower() for w in WORD.findall(text)]  # word by word: lower case may be longer than the text
 
 
 def ngrams(words: list[str]) -> Iterator[tuple[str, ...]]:
@@ -184,7 +184,7 @@ class Classifier:
         words = words_of(paragraph)
         if self.pairs.isdisjoint(zip(words, words[1:], strict=False)):
             return
-        places = [m.span() for m in WORD.finditer(paragraph.lower())]
+        places = [m.span() for m in WORD.finditer(paragraph)]
         start = end = None
         for i, pair in enumerate(zip(words, words[1:], strict=False)):
             if pair in self.pairs:
@@ -304,7 +304,7 @@ def scan_licences(rows: DataFrame, model: Classifier, text: str = "text", keep:
                 for paragraph in value.split("\n"):
                     for start, end, words in model.statements(paragraph):
                         stated, strange = model.found(words)
-                        places = [m.span() for m in WORD.finditer(paragraph.lower(), start, end)] if stated else []
+                        places = [m.span() for m in WORD.finditer(paragraph, start, end)] if stated else []
                         found += [(at + places[a][0], at + places[b][1], family, p) for a, b, family, p in stated]
                         unknown += strange
                     at += len(paragraph) + 1

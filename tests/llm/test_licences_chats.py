@@ -125,3 +125,12 @@ def test_odd_conversations(spark, frame):
     got = {(r["conv_id"], r["turn"], r["role"]): r["status"] for r in QUERIES["op9_format_chats"](spark, folder).collect()}
     assert got == {(1, 0, "user"): "invalid", (1, 1, "assistant"): "linked", (2, None, "user"): "unlinked", (None, 0, "user"): "unlinked",
                    (3, 0, None): "message", (3, 1, "tool"): "message"}
+
+
+def test_spans_count_characters_of_the_text_as_it_is(docs_of):
+    model = licences.train(["an ordinary paragraph about the weather in the hills", "les uns et les autres vont au marché"])
+    notice = "Released under the MIT License."
+    text = "İİİİ " + notice
+    (row,) = licences.scan_licences(docs_of((1, text)), model).collect()
+    family, start, end = row["spans"].split(":")
+    assert (family, text[int(start) : int(end)]) == ("MIT", notice[:-1])
