@@ -14,7 +14,7 @@ from terrascore.operators.scoring import (
 from terrascore.operators.shape import pivot_needs
 from terrascore.plans import serving, sheets
 from terrascore.plans.driver.registry import Tables, query
-from terrascore.plans.jobs import store_scores
+from terrascore.plans.jobs import rescore_changed, store_scores, store_values
 from terrascore.session import stage
 from terrascore.sources.tables import read_table, upsert_stored, write_delimited
 
@@ -330,6 +330,17 @@ def list_page(t: Tables) -> DataFrame:
     return _rounded(serving.list_scores(score_table(t), areas(t), limit=10, offset=5, order_by="score"))
 
 
+@query(
+    "list_scores_after",
+    f"""SELECT * FROM ({LIST_SQL}{GROUP_SQL}) WHERE libelle > (SELECT max(n_name) FROM nation WHERE n_regionkey = 1)
+        OR (libelle = (SELECT max(n_name) FROM nation WHERE n_regionkey = 1) AND id_epci > '12') ORDER BY libelle, id_epci LIMIT 10""",
+)
+def list_page_after(t: Tables) -> DataFrame:
+    """The page after the last name of a region, found without the pages before it."""
+    last = t.nation.where(F.col("n_regionkey") == 1).agg(F.max("n_name")).first()[0]
+    return _rounded(serving.list_scores_after(score_table(t), areas(t), (last, "12"), limit=10))
+
+
 @query(
     "list_scores_search",
     f"{LIST_SQL} AND (lower(libelle) LIKE '%n_1%' OR lower(id_epci) LIKE '%n_1%'){GROUP_SQL} ORDER BY libelle, id_epci LIMIT 50",
@@ -644,6 +655,42 @@ def detail_needs_stored(t: Tables) -> DataFrame:
     return rows.withColumn("score", F.round("score", 6))
 
 
+PRICES_SQL = """SELECT CAST(c_nationkey AS VARCHAR) AS id_epci, o_orderpriority AS id_indicateur, CAST(year(o_orderdate) AS INTEGER) AS annee,
+        CAST(sum(CAST(round(o_totalprice * 100) AS BIGINT)) AS DOUBLE) / (count(*) * 100) AS v
+    FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY ALL"""
+
+
+@query(
+    "rescore_changed",
+    f"""WITH p AS (SELECT id_epci, id_indicateur, annee,
+                      CASE WHEN id_indicateur <> '1-URGENT' THEN v WHEN id_epci = '2' THEN NULL WHEN id_epci LIKE '1%' THEN 2 * v ELSE v END AS v
+               FROM ({PRICES_SQL}))
+        SELECT id_epci, id_indicateur, annee, v AS valeur_brute,
+               round((v - min(v) OVER w) / greatest(max(v) OVER w - min(v) OVER w, 1e-9) * 100, 2) AS score
+        FROM p WINDOW w AS (PARTITION BY id_indicateur, annee)""",
+)
+def rescore_after_a_batch(t: Tables) -> DataFrame:
+    """All values stored and scored; then a batch changes one indicator, and only that one is scored again."""
+    cents = F.round(F.col("o_totalprice") * 100).cast("long")
+    values = (
+        t.orders.join(t.customer, F.col("o_custkey") == F.col("c_custkey"))
+        .groupBy(F.col("c_nationkey").cast("string").alias("id_epci"), F.col("o_orderpriority").alias("id_indicateur"), F.year("o_orderdate").alias("annee"))
+        .agg((F.sum(cents).cast("double") / (F.count(F.lit(1)) * 100)).alias("valeur_brute"))
+    )
+    values = stage(values, "prices")
+    values_path, scores_path = t.scratch("values"), t.scratch("scores")
+    store_values(values, values_path)
+    rescore_changed(values, values_path, scores_path)
+    urgent = values.where(F.col("id_indicateur") == "1-URGENT")
+    changed = F.when(F.col("id_epci").like("1%"), 2 * F.col("valeur_brute"))
+    batch = urgent.where(F.col("id_epci").like("1%") | (F.col("id_epci") == "2")).withColumn("valeur_brute", changed)
+    store_values(batch, values_path)
+    rescore_changed(batch, values_path, scores_path)
+    keys = ["id_epci", "id_indicateur", "annee"]
+    scores = read_table(t.spark, scores_path, "score_indicateur").select(*keys, F.col("score_indicateur").cast("double").alias("score"))
+    return read_table(t.spark, values_path, "valeur_indicateur").select(*keys, "valeur_brute").join(scores, keys)
+
+
 @query(
     "detail_all",
     f"""WITH s AS ({SCORES_SQL}), y AS (SELECT * FROM s WHERE annee = (SELECT max(annee) FROM s)),

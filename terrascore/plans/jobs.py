@@ -12,12 +12,12 @@ from terrascore.operators.keyed import require_ids, with_placeholders
 from terrascore.operators.scoring import global_scores, score_rows
 from terrascore.plans import indicators as ind
 from terrascore.plans.territory import Territory
-from terrascore.session import stage
+from terrascore.session import staged
 from terrascore.sources.files import (
     read_after_header_line, read_columnar, read_delimited, read_folder, read_link_entities,
 )
 from terrascore.sources.records import explode_results, read_pages
-from terrascore.sources.tables import upsert_stored
+from terrascore.sources.tables import read_touched, upsert_stored
 from terrascore.tables import conform
 
 Compute = Callable[[SparkSession, str, Territory], DataFrame]
@@ -77,10 +77,10 @@ def store_values(values: DataFrame, path: str, indicators: DataFrame | None = No
 
     The job runs once: its rows are staged, then checked, then merged.
     """
-    rows = stage(values.withColumn("date_import", F.current_timestamp()), "values")
-    if indicators is not None:
-        rows = require_ids(rows, "id_indicateur", indicators, "id_indicateur")
-    return _store(rows, "valeur_indicateur", path)
+    with staged(values.withColumn("date_import", F.current_timestamp()), "values") as rows:
+        if indicators is not None:
+            rows = require_ids(rows, "id_indicateur", indicators, "id_indicateur")
+        return _store(rows, "valeur_indicateur", path)
 
 
 def register_indicators(indicators: DataFrame, values: DataFrame) -> DataFrame:
@@ -98,6 +98,26 @@ def store_scores(scores: DataFrame, path: str) -> int:
     return _store(scores.withColumn("updated_at", F.current_timestamp()), "score_indicateur", path)
 
 
+def rescore_changed(batch: DataFrame, values_path: str, scores_path: str) -> int:
+    """Score again the indicators and years that a stored batch of values names, and no others.
+
+    A value moves the scores of its own indicator and year only, and both tables lie in folders by these two:
+    just the named folders are read and rewritten, whatever else is stored. A value that the batch set to null
+    loses its score. Returns the number of scores written; 0 where nothing is stored.
+    """
+    spark, keys = batch.sparkSession, ["id_epci", "id_indicateur", "annee"]
+    with staged(conform(batch, "valeur_indicateur", partial=True).select(*keys), "changes") as changes:
+        touched = read_touched(spark, values_path, "valeur_indicateur", changes)
+        if touched is None:
+            return 0
+        scored = score_rows(touched)
+        stored = read_touched(spark, scores_path, "score_indicateur", changes)
+        if stored is not None:  # only a score that exists can be lost
+            gone = touched.where(F.col("valeur_brute").isNull()).select(*keys)
+            scored = scored.unionByName(gone.join(stored.select(*keys), keys, "left_semi"), allowMissingColumns=True)
+        return store_scores(scored, scores_path)
+
+
 def score_areas(
     scores: DataFrame, needs: DataFrame, objectives: DataFrame, types: DataFrame
 ) -> DataFrame:

@@ -18,6 +18,16 @@ from terrascore.operators.joins import star_lookup
 
 MAX_PAGE, DEFAULT_PAGE = 2000, 50
 AREA_COLUMNS = ("libelle", "departement_code", "region_code")
+# groups of a drill-down: their name, id, label and score
+GROUPS = (
+    ("needs", "id_besoin", "besoin_libelle", "score_besoin"),
+    ("objectives", "id_objectif", "objectif_libelle", "score_objectif"),
+    ("types", "id_type", "type_libelle", "score_type"),
+)
+DETAIL_COLUMNS = (
+    "id_indicateur", "indicateur_libelle", "score_indicateur",
+    *[name for _, key, label, score in GROUPS for name in (key, label, score)],
+)
 
 
 def latest_year(scores: DataFrame) -> DataFrame:
@@ -78,6 +88,41 @@ def list_scores(
     return rows.orderBy(*list_order(order_by)).offset(offset).limit(limit)
 
 
+def list_scores_after(
+    scores: DataFrame,
+    areas: DataFrame,
+    after: tuple | None = None,
+    search: str | None = None,
+    limit: int = DEFAULT_PAGE,
+    order_by: str = "name",
+    year: int | None = None,
+) -> DataFrame:
+    """The page that follows a row: a page far down costs what the first one costs, and none is read before it.
+
+    ``after`` is (value ordered by, id_epci) of the last row of the page before, None for the first page; the
+    value is that row's label, score or code. Areas that come or go between two pages neither repeat nor hide
+    others. Scores are ordered and compared to nine places, below which a mean depends on the order of addition.
+    """
+    if not 1 <= limit <= MAX_PAGE:
+        raise ValueError(f"limit must be within 1..{MAX_PAGE}")
+    rows = score_summaries(scores, areas, year, search)
+    by_score = order_by == "score"
+    if by_score:
+        key = F.round("score_global", 9)
+    else:
+        key = F.col("id_epci" if order_by == "code" else "libelle")
+    if after is not None:
+        value, last = after
+        later_id = F.col("id_epci") > last
+        if value is None:
+            rows = rows.where(key.isNull() & later_id)
+        else:
+            value = F.round(F.lit(float(value)), 9) if by_score else F.lit(value)
+            beyond = key < value if by_score else key > value
+            rows = rows.where(beyond | key.isNull() | ((key == value) & later_id))
+    return rows.orderBy(key.desc_nulls_last() if by_score else key.asc_nulls_last(), F.col("id_epci").asc_nulls_last()).limit(limit)
+
+
 def detail_groups(scores: DataFrame, dimension: DataFrame, key: str, score: str, year: int | None = None) -> DataFrame:
     """Mean score per area and need (objective, type): (id_epci, id, label, score).
 
@@ -111,12 +156,7 @@ def detail_indicators(
             _renamed(types, "id_type", "type_libelle"),
         ],
     )
-    return joined.select(
-        "id_epci", "id_indicateur", "indicateur_libelle", "score_indicateur",
-        "id_besoin", "besoin_libelle", "score_besoin",
-        "id_objectif", "objectif_libelle", "score_objectif",
-        "id_type", "type_libelle", "score_type",
-    )
+    return joined.select("id_epci", *DETAIL_COLUMNS)
 
 
 def _renamed(dim: DataFrame, key: str, name: str) -> tuple[DataFrame, str, str]:
@@ -135,14 +175,15 @@ def score_detail(
 ) -> dict[str, DataFrame]:
     """Drill-down of one area as five frames; an unknown area is an error.
 
-    The year is resolved over all scores, then the area filter reaches the scan.
+    One action resolves the year over all scores and finds the area; the frames themselves are lazy.
     """
-    if year is None:
-        year = latest_year(scores).first()[0]
     own = scores.where(F.col("id_epci") == id_epci)
-    summary = score_summaries(own, areas, year)
-    if summary.isEmpty():
+    wanted = F.lit(year) if year is not None else latest_year(scores).scalar()
+    known = own.where(F.col("annee") == wanted).join(areas.select("id_epci"), "id_epci", "left_semi").select("annee").first()
+    if known is None:
         raise ValueError(f"unknown area: {id_epci}")
+    year = known[0]
+    summary = score_summaries(own, areas, year)
     by_label = [F.col("label").asc_nulls_last(), F.col("id")]
     return {
         "summary": summary,
@@ -166,26 +207,52 @@ def score_detail_all(
 ) -> DataFrame:
     """Drill-down of every area at once: its summary and arrays of its needs, objectives, types and indicators.
 
-    One lazy plan without an action; the arrays of an area are bounded by the dimensions and sorted by
-    label (null labels last), then id. An area without a group of a kind has an empty array.
+    One lazy plan without an action. The scores of a year are read once and cross the network once: an area's
+    lines, as many as there are indicators, meet in one array, and the means of its groups are taken inside it,
+    in the order of the lines, so that they do not depend on the partitioning. Arrays are sorted by label (null
+    labels last), then id. An area without a group of a kind has an empty array. A dimension holds each id once.
     """
-    def nested(rows: DataFrame, name: str, label: str, key: str) -> DataFrame:
-        columns = [c for c in rows.columns if c != "id_epci"]
-        item = F.struct(F.col(label).isNull().alias("_last"), F.col(label).alias("_label"), F.col(key).alias("_id"), F.struct(*columns).alias("item"))
-        return rows.groupBy("id_epci").agg(F.transform(F.sort_array(F.collect_list(item)), lambda x: x["item"]).alias(name))
-
-    out = score_summaries(scores, areas, year)
-    parts = {
-        "needs": (detail_groups(scores, needs, "id_besoin", "score_besoin", year), "label", "id"),
-        "objectives": (detail_groups(scores, objectives, "id_objectif", "score_objectif", year), "label", "id"),
-        "types": (detail_groups(scores, types, "id_type", "score_type", year), "label", "id"),
-        "indicators": (detail_indicators(scores, indicators, needs, objectives, types, year), "indicateur_libelle", "id_indicateur"),
-    }
-    for name, (rows, label, key) in parts.items():
-        arrays = nested(rows, name, label, key)
-        empty = F.array().cast(arrays.schema[name].dataType)
-        out = out.join(arrays, "id_epci", "left").withColumn(name, F.coalesce(name, empty))
-    return out
+    lines = star_lookup(
+        of_year(scores, year).select(
+            "id_epci", "updated_at", "score_global", "id_indicateur", "score_indicateur", *[c for _, key, _, score in GROUPS for c in (key, score)]
+        ),
+        required=[],
+        optional=[
+            (indicators.select("id_indicateur", F.col("libelle").alias("indicateur_libelle"), F.lit(True).alias("_known")),) + 2 * ("id_indicateur",),
+            *[_renamed(dim, key, label) for dim, (_, key, label, _) in zip((needs, objectives, types), GROUPS)],
+        ],
+    )
+    line = F.struct(
+        F.col("indicateur_libelle").isNull().alias("_last"), F.col("indicateur_libelle").alias("_label"),
+        F.col("id_indicateur").alias("_id"), "_known", F.struct(*DETAIL_COLUMNS).alias("item"),
+    )
+    per_area = lines.groupBy("id_epci").agg(
+        F.avg(F.col("score_global").cast("double")).alias("score_global"),
+        F.count("id_indicateur").alias("n_indicateurs"),
+        F.max("updated_at").alias("updated_at"),
+        F.sort_array(F.collect_list(line)).alias("_lines"),
+    )
+    return per_area.join(areas.select("id_epci", *AREA_COLUMNS), "id_epci").select(
+        "id_epci", *AREA_COLUMNS, "score_global", "n_indicateurs", "updated_at",
+        *[_group_means("_lines", key, label, score).alias(name) for name, key, label, score in GROUPS],
+        F.transform(F.filter("_lines", lambda x: x["_known"]), lambda x: x["item"]).alias("indicators"),
+    )
+
+
+def _group_means(lines: str, key: str, label: str, score: str) -> Column:
+    """Mean score per id of a kind of group, from an area's array of lines: structs of id, label, score."""
+    items = F.filter(F.transform(lines, lambda x: x["item"]), lambda x: x[key].isNotNull())
+    ids = F.transform(items, lambda x: F.struct(x[label].isNull().alias("_last"), x[label].alias("label"), x[key].alias("id")))
+
+    def mean(group: Column) -> Column:
+        own = F.filter(items, lambda x: (x[key] == group["id"]) & x[score].isNotNull())
+        total = F.aggregate(own, F.lit(0.0), lambda sum_, x: sum_ + x[score].cast("double"))
+        return total / F.nullif(F.size(own), F.lit(0))
+
+    return F.transform(
+        F.sort_array(F.array_distinct(ids)),
+        lambda g: F.struct(g["id"].alias("id"), g["label"].alias("label"), mean(g).alias("score")),
+    )
 
 
 def indicator_labels_view(indicators: DataFrame, links: Mapping[str, tuple[DataFrame, DataFrame, str]]) -> DataFrame:

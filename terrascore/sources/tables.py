@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from terrascore.operators.keyed import merge_upsert
-from terrascore.session import stage
+from terrascore.session import staged
 from terrascore.tables import KEYS, PARTITIONS, defaults_of, schema_of
 
 
@@ -49,11 +49,11 @@ def upsert_table(
 ) -> int:
     """Merge a batch into a parquet table, partitioned by some of its key columns (or by none).
 
-    The batch is staged once; the few partition values that it has are collected and
-    name, as literals, the folders that are read and rewritten: all others are left
+    The batch is staged once. One job over it counts its keys and finds repeated ones and the few partition
+    values that it has: these name, as literals, the folders that are read and rewritten; all others are left
     alone. The merged rows are written to the shared folder first, so the table is
-    never overwritten while it is being read and a lost executor costs only a retry.
-    One job at a time may write a partition. ``sequence`` tells which row of a key is the
+    never overwritten while it is being read and a lost executor costs only a retry. Both copies are
+    deleted at the end. One job at a time may write a partition. ``sequence`` tells which row of a key is the
     last; without one a repeated key is an error. With the name of a stored ``table``
     the table has its full schema from the first batch on, whatever columns that brings.
     Returns the number of keys in the batch.
@@ -61,27 +61,31 @@ def upsert_table(
     partitions = [partition] if isinstance(partition, str) else list(partition)
     if not set(partitions) <= set(keys):
         raise ValueError(f"partition columns {partitions!r} must be among the keys")
-    spark = updates.sparkSession
-    batch = stage(updates, "batch")
-    distinct = batch.select(*keys).distinct().count()
-    if sequence is None:
-        if batch.count() != distinct:
-            repeated = batch.groupBy(*keys).count().where(F.col("count") > 1).select(*keys).limit(5).collect()
-            raise ValueError(f"keys given twice and no order between them: {[tuple(r) for r in repeated]}")
-        sequence = "_sequence"
-        batch = batch.withColumn(sequence, F.lit(0))
-    if not distinct:
-        return 0
-    current = read_table(spark, path, table)
-    defaults = defaults_of(table) if table else None
-    if current is not None and partitions:
-        current = current.where(_one_of(partitions, batch.select(*partitions).distinct().collect()))
-    merged = merge_upsert(current, batch, keys, sequence, defaults)
-    if table:
-        merged = merged.select(*[F.col(f.name).cast(f.dataType) for f in schema_of(table).fields])
-    # a first load reads nothing that it overwrites, so it is written straight away
-    _write(merged if current is None else stage(merged, "merged"), path, partitions)
-    return distinct
+    with staged(updates, "batch") as batch:
+        per_key = batch.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
+        found = per_key.groupBy(*partitions).agg(F.count(F.lit(1)).alias("_keys"), F.max("_rows").alias("_most")).collect()
+        n_keys = sum(row["_keys"] for row in found)
+        if not n_keys:
+            return 0
+        if sequence is None:
+            if any(row["_most"] > 1 for row in found):
+                repeated = per_key.where(F.col("_rows") > 1).select(*keys).limit(5).collect()
+                raise ValueError(f"keys given twice and no order between them: {[tuple(r) for r in repeated]}")
+            sequence = "_sequence"
+            batch = batch.withColumn(sequence, F.lit(0))
+        current = read_table(updates.sparkSession, path, table)
+        defaults = defaults_of(table) if table else None
+        if current is not None and partitions:
+            current = current.where(_one_of(partitions, found))
+        merged = merge_upsert(current, batch, keys, sequence, defaults)
+        if table:
+            merged = merged.select(*[F.col(f.name).cast(f.dataType) for f in schema_of(table).fields])
+        if current is None:  # a first load reads nothing that it overwrites, so it is written straight away
+            _write(merged, path, partitions)
+        else:
+            with staged(merged, "merged") as rows:
+                _write(rows, path, partitions)
+    return n_keys
 
 
 def upsert_stored(path: str, batch: DataFrame, table: str, sequence: str | None = None) -> int:
@@ -89,6 +93,14 @@ def upsert_stored(path: str, batch: DataFrame, table: str, sequence: str | None
     return upsert_table(path, batch, KEYS[table], sequence, PARTITIONS.get(table, ()), table)
 
 
+def read_touched(spark: SparkSession, path: str, table: str, batch: DataFrame) -> DataFrame | None:
+    """The folders of a stored table that a batch has rows for, or None where nothing has been written yet."""
+    stored, partitions = read_table(spark, path, table), PARTITIONS[table]
+    if stored is None:
+        return None
+    return stored.where(_one_of(partitions, batch.select(*partitions).distinct().collect()))
+
+
 def _one_of(partitions: Sequence[str], values: Sequence[Row]) -> Column:
     """A filter of literals that picks just these partitions, so that the scan lists no others."""
     first, *rest = partitions

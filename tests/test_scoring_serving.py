@@ -131,6 +131,53 @@ def test_score_detail(tables, rows):
         serving.score_detail(**tables, id_epci="4")
 
 
+def test_the_whole_drill_down(tables, rows):
+    found = {r["id_epci"]: r for r in serving.score_detail_all(**tables).collect()}
+    assert found.keys() == {"1", "2", "3"}
+    one = found["1"]
+    assert (one["score_global"], one["n_indicateurs"], one["updated_at"]) == (20.0, 2, "2024-03-01")
+    assert [tuple(g) for g in one["types"]] == [("t1", "État", 2.0), ("t9", None, 8.0)]
+    assert [i["id_indicateur"] for i in one["indicators"]] == ["i2", "i1"]
+    assert [tuple(g) for g in found["3"]["needs"]] == [("n1", "Eau", 80.0)] and found["3"]["score_global"] is None
+    # an indicator that the dimension lacks counts in the means and is no line; the area's groups stay
+    fewer = tables | {"indicators": tables["indicators"].where("id_indicateur = 'i1'")}
+    one = serving.score_detail_all(**fewer).where("id_epci = '1'").first()
+    assert [i["id_indicateur"] for i in one["indicators"]] == ["i1"] and one["n_indicateurs"] == 2 and len(one["types"]) == 2
+    # without a need there is no group; scores that are null give a null mean
+    bare = tables | {"scores": tables["scores"].withColumns({"id_besoin": F.lit(None).cast("string"), "score_type": F.lit(None).cast("double")})}
+    one = serving.score_detail_all(**bare).where("id_epci = '1'").first()
+    assert one["needs"] == [] and [g["score"] for g in one["types"]] == [None, None]
+    assert serving.score_detail_all(**(tables | {"scores": tables["scores"].where("false")})).count() == 0
+
+
+def test_the_drill_down_reads_the_scores_once(spark, tables, tmp_path):
+    path = str(tmp_path / "scores")
+    tables["scores"].write.parquet(path)
+    stored = tables | {"scores": spark.read.parquet(path)}
+    plan = serving.score_detail_all(**stored, year=2024)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1
+
+
+@pytest.mark.parametrize("order_by,key", [("name", "libelle"), ("score", "score_global"), ("code", "id_epci")])
+def test_pages_that_continue(spark, order_by, key):
+    # repeated and missing names and scores
+    places = [(str(k), None if k % 5 == 0 else f"n{k % 3}", "d", "r") for k in range(23)]
+    areas = spark.createDataFrame(places, "id_epci string, libelle string, departement_code string, region_code string")
+    lines = [(str(k), "i", 2024, None if k % 7 == 0 else float(k % 4), "u") for k in range(23)]
+    scores = spark.createDataFrame(lines, "id_epci string, id_indicateur string, annee int, score_global double, updated_at string")
+    whole = [r["id_epci"] for r in serving.list_scores(scores, areas, limit=100, order_by=order_by).collect()]
+    seen, after = [], None
+    for _ in range(20):
+        page = serving.list_scores_after(scores, areas, after, limit=4, order_by=order_by).collect()
+        if not page:
+            break
+        seen += [r["id_epci"] for r in page]
+        after = (page[-1][key], page[-1]["id_epci"])
+    assert seen == whole and len(whole) == 23
+    with pytest.raises(ValueError):
+        serving.list_scores_after(scores, areas, limit=0)
+
+
 def test_views(spark, tables, rows):
     links = spark.createDataFrame([("i1", "n1"), ("i1", "n2")], "id_indicateur string, id_besoin string")
     needs = spark.createDataFrame([("n1", "Eau"), ("n2", "Air")], "id_besoin string, libelle string")

@@ -1,5 +1,6 @@
 """Stored tables: one layout, full schema, only the named partitions touched; imports merge."""
 
+import pathlib
 import struct
 
 import pytest
@@ -11,7 +12,7 @@ from terrascore.functions.labels import like_ci
 from terrascore.plans import jobs, sheets
 from terrascore.plans.serving import score_summaries
 from terrascore.sources import files
-from terrascore.session import settings
+from terrascore.session import settings, shared_dir
 from terrascore.sources.tables import _one_of, read_table, upsert_stored
 from terrascore.tables import schema_of
 
@@ -182,3 +183,36 @@ def test_headers_of_many_files_are_one_job(spark, rows, tmp_path):
     found = rows(got, "Code", "Nom")
     assert len(found) == 501 and ("00499", "n499") in found and ("00000", "n0") in found
     assert ("Edition 7", None) in found  # a line of another file's head is data here
+
+
+def test_only_changed_indicators_are_scored_again(spark, rows, tmp_path):
+    stored, scores = str(tmp_path / "v"), tmp_path / "s"
+    first = values(spark, *((str(k), i, 2024, float(k)) for k in range(3) for i in ("i1", "i2")))
+    assert jobs.rescore_changed(first, stored, str(scores)) == 0  # nothing is stored yet
+    jobs.store_values(first, stored)
+    assert jobs.rescore_changed(first, stored, str(scores)) == 6
+    before = files_below(scores, "i2")
+    batch = values(spark, ("1", "i1", 2024, 4.0), ("2", "i1", 2024, None))
+    jobs.store_values(batch, stored)
+    assert jobs.rescore_changed(batch, stored, str(scores)) == 3
+    assert files_below(scores, "i2") == before and before
+    got = read_table(spark, str(scores), "score_indicateur").select("id_indicateur", "id_epci", F.col("score_global").cast("double"))
+    assert rows(got.where("id_indicateur = 'i1'"), "id_epci", "score_global") == [("0", 0.0), ("1", 100.0), ("2", None)]
+    assert rows(got.where("id_indicateur = 'i2'"), "id_epci", "score_global") == [("0", 0.0), ("1", 50.0), ("2", 100.0)]
+
+
+def test_an_upsert_leaves_no_scratch_files(spark, tmp_path):
+    folder = pathlib.Path(shared_dir(spark).removeprefix("file:"))
+    before = set(folder.rglob("*.parquet"))
+    for value in (1.0, 2.0):
+        jobs.store_values(values(spark, ("1", "i1", 2024, value)), str(tmp_path / "v"))
+    with pytest.raises(ValueError):
+        jobs.store_values(values(spark, ("1", "i1", 2024, 1.0), ("1", "i1", 2024, 2.0)), str(tmp_path / "v"))
+    assert set(folder.rglob("*.parquet")) == before
+
+
+def test_a_local_session_without_a_folder_gets_one(spark, monkeypatch):
+    real = type(spark.conf).get
+    monkeypatch.setattr(type(spark.conf), "get", lambda conf, key, *rest: None if key == "spark.checkpoint.dir" else real(conf, key, *rest))
+    own = shared_dir(spark)
+    assert own == shared_dir(spark) and pathlib.Path(own).is_dir()
