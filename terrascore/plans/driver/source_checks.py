@@ -13,7 +13,7 @@ from terrascore.sources.files import (
     link_entities, load_sheets, read_after_header_line, read_after_preamble, read_after_preamble_with_rejects,
     read_columnar, read_delimited, read_folder, read_tolerant,
 )
-from terrascore.sources.records import describe_features, explode_results, extract_records, read_features, read_pages
+from terrascore.sources.records import describe_features, explode_results, extract_records, read_features, read_pages, read_results
 from terrascore.sources.tables import read_table, upsert_stored, write_delimited
 
 
@@ -136,6 +136,27 @@ def json_flatten(t: Tables) -> DataFrame:
     )
 
 
+@query(
+    "json_results",
+    """SELECT event_id, CASE WHEN event_type = 'click' THEN '' || user_id ELSE 'u' || user_id END AS code,
+              CASE WHEN event_type = 'click' THEN user_id END AS user_id,
+              CASE WHEN event_type <> 'error' THEN value END AS valeur
+       FROM events""",
+)
+def json_results(t: Tables) -> DataFrame:
+    """Pages whose records have several shapes: fields that only some have, numbers beside texts; no schema is given."""
+    path = t.scratch("results")
+    click = F.col("event_type") == "click"
+    numbered = F.to_json(F.struct("event_id", F.col("user_id").alias("code"), F.struct(F.col("user_id").alias("id")).alias("user"), "value"))
+    value = F.when(F.col("event_type") != "error", F.col("value")).alias("value")
+    named = F.to_json(F.struct("event_id", F.concat(F.lit("u"), "user_id").alias("code"), value))
+    records = t.events.select(F.floor(F.col("event_id") / 100).alias("page"), F.when(click, numbered).otherwise(named).alias("record"))
+    pages = records.groupBy("page").agg(F.array_join(F.collect_list("record"), ",").alias("records"))
+    pages.select(F.concat(F.lit('{"results":['), "records", F.lit("]}"))).write.text(path)
+    flat = read_results(t.spark, path, multi_line=False)
+    return flat.select("event_id", "code", F.col("`user.id`").alias("user_id"), F.col("value").alias("valeur"))
+
+
 @query(
     "json_extract_default",
     """SELECT coalesce(CASE WHEN event_type = 'click' THEN CAST(user_id AS VARCHAR) END,
@@ -217,6 +238,27 @@ def _features(t: Tables) -> DataFrame:
     return read_features(t.spark, path, multi_line=False)
 
 
+@query("src_geojson_split", """SELECT 'c' || c_custkey AS code, c_name AS nom, c_mktsegment || '}' AS nature,
+              CASE WHEN c_nationkey > 3 THEN 'Point' END AS forme FROM customer""")
+def geojson_split(t: Tables) -> DataFrame:
+    """Whole files of one collection each, one feature a line, read in as many tasks as the files have blocks."""
+    path = t.scratch("geojson_split")
+    point = F.when(F.col("c_nationkey") > 3, F.struct(F.lit("Point").alias("type"), F.array("c_acctbal", "c_acctbal").alias("coordinates")))
+    kind = F.concat("c_mktsegment", F.lit("}"))  # a brace that closes nothing
+    properties = F.struct(F.concat(F.lit("c"), "c_custkey").alias("code"), F.col("c_name").alias("nom"), kind.alias("nature"))
+    feature = F.to_json(F.struct(point.alias("geometry"), properties.alias("properties"), F.lit("Feature").alias("type")), {"ignoreNullFields": "false"})
+    dealt = t.customer.select(F.floor(F.col("c_custkey") / 5000).alias("file"), F.lit(1).alias("n"), F.concat(F.lit(","), feature).alias("value"))
+    # the first element is no feature, so that every line of features can begin with a comma
+    frame = F.inline(F.array(
+        F.struct(F.lit(0).alias("n"), F.lit('{"type":"FeatureCollection","crs":{"properties":{"name":"x"}},"features":[{"type":"Note"}').alias("value")),
+        F.struct(F.lit(2).alias("n"), F.lit("]}").alias("value")),
+    ))
+    lines = dealt.union(dealt.select("file").distinct().select("file", frame))
+    lines.repartition("file").sortWithinPartitions("file", "n").select("value", "file").write.partitionBy("file").text(path)
+    found = describe_features(read_features(t.spark, f"{path}/*"))
+    return found.select("code", "nom", "nature", F.col("geometry_type").alias("forme"))
+
+
 # --- keyed writes ------------------------------------------------------------
 
 

@@ -1,10 +1,11 @@
 import json
+from random import Random
 
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from terrascore.session import scratch_path, shared_dir, stage
+from terrascore.session import scratch_path, settings, shared_dir, stage
 from terrascore.sources import files, records
 from terrascore.sources.tables import read_table, upsert_table, write_delimited
 
@@ -92,6 +93,84 @@ def test_geojson_features(spark, rows, tmp_path):
     assert rows(df, "code", "nom", "nature") == [("", "Inconnu", "EPCI"), ("200", "A", "EPCI"), ("300", "B", "CC")]
 
 
+def test_pages_of_several_shapes_are_read_once(spark, rows, tmp_path):
+    pages = [
+        {"results": [{"a": 1, "geo": {"dep": "01"}, "x": 1.5, "only": None}, {"a": 2}]},
+        {"results": [{"a": "trois", "geo": {"reg": 84}, "x": 2, "OBJECT<": True, "tags": ["u", 1]}], "total": 1},
+        {"results": []}, {"total": 0}, {"results": None},
+    ]
+    for i, page in enumerate(pages):
+        (tmp_path / f"{i}.json").write_text(json.dumps(page, indent=1))
+    spark.sparkContext.setJobGroup("results", "")
+    flat = records.read_results(spark, str(tmp_path))
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("results")) == 1
+    spark.sparkContext.setJobGroup("tests", "")
+    assert dict(flat.dtypes) == {
+        "OBJECT<": "boolean", "a": "string", "geo.dep": "string", "geo.reg": "bigint", "only": "string",
+        "tags": "array<string>", "x": "double",
+    }
+    assert rows(flat, "a", "x", "`geo.dep`", "`geo.reg`", "`OBJECT<`", "tags") == sorted(
+        [("1", 1.5, "01", None, None, None), ("2", None, None, None, None, None), ("trois", 2.0, None, 84, True, ["u", "1"])],
+        key=repr,
+    )
+    given = records.read_results(spark, str(tmp_path), "results array<struct<x: double>>")
+    assert rows(given) == [(1.5,), (2.0,), (None,)]
+
+
+def test_pages_without_records_or_without_sense(spark, tmp_path):
+    (tmp_path / "a.json").write_text('{"results": []}')
+    assert records.read_results(spark, str(tmp_path)).columns == []
+    (tmp_path / "b.json").write_text('{"results": [1, "x"]}')
+    with pytest.raises(ValueError, match="no objects"):
+        records.read_results(spark, str(tmp_path))
+    (tmp_path / "b.json").write_text('{"results": [')
+    with pytest.raises(Exception, match="(?i)malformed"):
+        records.read_results(spark, str(tmp_path))
+
+
+def _collection(random, n, indent=None):
+    """A collection whose strings hold all that could be taken for structure."""
+    words = ['}', '{', '"', "\\", '\\"', "[", "]", "Feature", '"features":[{', "é", "\n", '}],"x":[{', ""]
+    features = []
+    for i in range(n):
+        texts = {random.choice("abc") + str(k): "".join(random.choices(words, k=random.randrange(5))) for k in range(3)}
+        shape = {"type": "Polygon", "coordinates": [[[i / 2, 1.0], [2.0, 3.0]]]} if i % 3 else None
+        feature = {"type": "Feature", "properties": {"code": str(i), **texts}, "geometry": shape}
+        features.append(dict(sorted(feature.items(), reverse=i % 2 == 0)))
+    named = {"type": "name", "properties": {"name": "}{", "list": [{"type": "Feature", "properties": {"code": "no"}}]}, "b": {"type": "Feature"}}
+    return json.dumps(
+        {
+            "type": "FeatureCollection", "name": "a}b", "crs": named, "links": [{"rel": "}"}, {}], "features": features,
+            "after": [{"type": "Other", "x": [{}]}],
+        },
+        indent=indent, ensure_ascii=False,
+    )
+
+
+@pytest.mark.parametrize("block", [100, 3000, 1 << 20])
+def test_one_collection_over_many_tasks(spark, rows, tmp_path, block):
+    random = Random(block)
+    bodies = [_collection(random, 25), _collection(random, 15, indent=2) + "\n", _collection(random, 0), '{"features":[]}']
+    for i, body in enumerate(bodies):
+        (tmp_path / f"{i}.geojson").write_text(body, encoding="utf-8")
+    expected = [
+        (json.dumps(f["properties"], sort_keys=True), (f["geometry"] or {}).get("type"))
+        for body in bodies for f in json.loads(body)["features"]
+    ]
+    with settings(spark, {"spark.sql.files.maxPartitionBytes": block, "spark.sql.files.openCostInBytes": 0}):
+        df = records.read_features(spark, str(tmp_path))
+        got = [(json.dumps(p, sort_keys=True), kind) for p, kind in df.select("properties", "geometry_type").collect()]
+        spread = spark.read.option("lineSep", "}").text(str(tmp_path)).rdd.getNumPartitions()
+    assert sorted(got, key=repr) == sorted(expected, key=repr)
+    assert block > 3000 or spread > len(bodies)
+
+
+def test_a_collection_that_ends_too_soon_is_an_error(spark, tmp_path):
+    (tmp_path / "a.geojson").write_text('{"features":[{"type":"Feature","properties":{"a":"1"},"geometry":null},{"type":"Fea')
+    with pytest.raises(Exception, match="ends inside an element"):
+        records.read_features(spark, str(tmp_path)).collect()
+
+
 def test_shared_folder_and_stage(spark, rows, texts):
     assert scratch_path(spark, "x").startswith(shared_dir(spark))
     df = texts(["a"], ["1"], ["2"])
