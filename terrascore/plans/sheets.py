@@ -22,7 +22,8 @@ from terrascore.operators.keyed import missing_ids
 from terrascore.operators.shape import trim_headers, wide_sheet_to_long
 from terrascore.session import stage
 from terrascore.sources.files import load_sheets
-from terrascore.sources.tables import read_table, upsert_stored
+from terrascore.sources.tables import read_table
+from terrascore.sources.together import recover, upsert_together
 from terrascore.tables import KEYS, UNDATED, conform
 
 logger = logging.getLogger(__name__)
@@ -272,17 +273,18 @@ def import_folder(spark: SparkSession, folder: str, target: str) -> dict[str, Da
 
     Rows are merged by key: what the sheets do not name stays, and so do the columns
     they do not bring (of a score row everything but score and label). Every table is computed and
-    checked before the first one is written, so a faulty workbook leaves the target untouched.
+    checked before the first one is written, so a faulty workbook leaves the target untouched, and all
+    tables are changed or none: a failure between two of them takes back what was written.
     Returns the stored tables that the import touched.
     """
+    recover(spark, target)
     tables = {
         name: stage(conform(df, name, partial=True), name)
         for name, df in ingest_sheets(load_sheets(spark, folder, SHEETS)).items()
     }
     stored = {name: read_table(spark, f"{target}/{name}", name) for name in ("epci", "indicateur")}
     check_references(tables, stored)
-    for name, df in tables.items():
-        rows = upsert_stored(f"{target}/{name}", df, name)
+    for name, rows in upsert_together(spark, target, tables).items():
         logger.info("table %s: %d rows merged", name, rows)
     found = {name: read_table(spark, f"{target}/{name}", name) for name in tables}
     return {name: tables[name] if df is None else df for name, df in found.items()}

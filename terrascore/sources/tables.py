@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from contextlib import ExitStack, contextmanager
+from typing import NamedTuple
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Row, SparkSession
@@ -39,34 +41,38 @@ def read_table(spark: SparkSession, path: str, table: str | None = None) -> Data
     return spark.read.schema(wanted).parquet(path).select(*wanted.fieldNames())
 
 
-def upsert_table(
+class Merge(NamedTuple):
+    """A batch merged into what is stored, not written yet."""
+
+    keys: int  # of the batch
+    rows: DataFrame | None  # None where the batch is empty
+    found: Sequence[Row]  # the partition values that the rows replace
+
+
+@contextmanager
+def merged(
     path: str,
     updates: DataFrame,
     keys: Sequence[str],
     sequence: str | None,
     partition: str | Sequence[str] = "annee",
     table: str | None = None,
-) -> int:
-    """Merge a batch into a parquet table, partitioned by some of its key columns (or by none).
+) -> Iterator[Merge]:
+    """The rows that ``upsert_table`` writes; where something is stored they are staged, so it may be replaced inside.
 
-    The batch is staged once. One job over it counts its keys and finds repeated ones and the few partition
-    values that it has: these name, as literals, the folders that are read and rewritten; all others are left
-    alone. The merged rows are written to the shared folder first, so the table is
-    never overwritten while it is being read and a lost executor costs only a retry. Both copies are
-    deleted at the end. One job at a time may write a partition. ``sequence`` tells which row of a key is the
-    last; without one a repeated key is an error. With the name of a stored ``table``
-    the table has its full schema from the first batch on, whatever columns that brings.
-    Returns the number of keys in the batch.
+    The staged copies are deleted at the end.
     """
     partitions = [partition] if isinstance(partition, str) else list(partition)
     if not set(partitions) <= set(keys):
         raise ValueError(f"partition columns {partitions!r} must be among the keys")
-    with staged(updates, "batch") as batch:
+    with ExitStack() as copies:
+        batch = copies.enter_context(staged(updates, "batch"))
         per_key = batch.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
         found = per_key.groupBy(*partitions).agg(F.count(F.lit(1)).alias("_keys"), F.max("_rows").alias("_most")).collect()
         n_keys = sum(row["_keys"] for row in found)
         if not n_keys:
-            return 0
+            yield Merge(0, None, [])
+            return
         if sequence is None:
             if any(row["_most"] > 1 for row in found):
                 repeated = per_key.where(F.col("_rows") > 1).select(*keys).limit(5).collect()
@@ -77,15 +83,37 @@ def upsert_table(
         defaults = defaults_of(table) if table else None
         if current is not None and partitions:
             current = current.where(_one_of(partitions, found))
-        merged = merge_upsert(current, batch, keys, sequence, defaults)
+        rows = merge_upsert(current, batch, keys, sequence, defaults)
         if table:
-            merged = merged.select(*[F.col(f.name).cast(f.dataType) for f in schema_of(table).fields])
-        if current is None:  # a first load reads nothing that it overwrites, so it is written straight away
-            _write(merged, path, partitions)
-        else:
-            with staged(merged, "merged") as rows:
-                _write(rows, path, partitions)
-    return n_keys
+            rows = rows.select(*[F.col(f.name).cast(f.dataType) for f in schema_of(table).fields])
+        if current is not None:  # a first load reads nothing that it overwrites, so it is written straight away
+            rows = copies.enter_context(staged(rows, "merged"))
+        yield Merge(n_keys, rows, found)
+
+
+def upsert_table(
+    path: str,
+    updates: DataFrame,
+    keys: Sequence[str],
+    sequence: str | None,
+    partition: str | Sequence[str] = "annee",
+    table: str | None = None,
+) -> int:
+    """Merge a batch into a parquet table, partitioned by some of its key columns (or by none).
+
+    The batch is staged once. One job over it counts its keys and finds repeated ones and the few partition
+    values that it has: these name, as literals, the folders that are read and rewritten; all others are left
+    alone. The merged rows are written to the shared folder first, so the table is
+    never overwritten while it is being read and a lost executor costs only a retry. Both copies are
+    deleted at the end. One job at a time may write a partition. ``sequence`` tells which row of a key is the
+    last; without one a repeated key is an error. With the name of a stored ``table``
+    the table has its full schema from the first batch on, whatever columns that brings.
+    Returns the number of keys in the batch.
+    """
+    with merged(path, updates, keys, sequence, partition, table) as merge:
+        if merge.rows is not None:
+            write_merged(merge.rows, path, partition)
+    return merge.keys
 
 
 def upsert_stored(path: str, batch: DataFrame, table: str, sequence: str | None = None) -> int:
@@ -121,8 +149,9 @@ def _one_of(partitions: Sequence[str], values: Sequence[Row]) -> Column:
     return test(first, list(by_first)) & whole
 
 
-def _write(df: DataFrame, path: str, partitions: Sequence[str]) -> None:
+def write_merged(df: DataFrame, path: str, partition: str | Sequence[str]) -> None:
     """Replace the partitions ``df`` has rows for (or all); files of even size, a hot partition split over tasks."""
+    partitions = [partition] if isinstance(partition, str) else list(partition)
     writer = df.hint("rebalance", *partitions).write.mode("overwrite")
     if partitions:
         writer = writer.option("partitionOverwriteMode", "dynamic").partitionBy(*partitions)

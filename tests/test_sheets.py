@@ -2,6 +2,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from terrascore.plans import sheets as s
+from terrascore.sources import together
+from terrascore.sources.tables import read_table
 
 SHEETS = {
     s.NEEDS: "ID_besoins ,Libellé,Type_de_besoins,Catégorie,Description\nn1,Eau,,Vitaux,d\nn2,Air,Induits,Vitaux,\n,x,,,\nn1,Eau douce,,Vitaux,d2\n",
@@ -64,6 +66,62 @@ def test_nothing_is_written_when_a_reference_is_unknown(spark, folder, tmp_path)
     assert not target.exists()
 
 
+def _stored(spark, target):
+    dated = ("date_import", "created_at", "updated_at")
+    found = {p.name: read_table(spark, str(p), p.name) for p in sorted(target.iterdir()) if not p.name.startswith("_")}
+    return {name: sorted(map(repr, df.drop(*dated).collect())) for name, df in found.items() if df is not None}
+
+
+CHANGED = {s.AREAS: SHEETS[s.AREAS].replace("200.0,01,A", "200.0,01,B"), s.VALUES: "ID_EPCI,i007,I 9\n200,5,6\n201,7,8\n"}
+
+
+FACTS = {name: None for name in SHEETS if name not in (s.INDICATORS, s.AREAS, s.VALUES)}
+
+
+@pytest.mark.parametrize("writes, lost_driver", [(1, False), (2, True)])
+def test_an_import_that_fails_half_way_changes_nothing(spark, folder, tmp_path, monkeypatch, writes, lost_driver):
+    target, done = tmp_path / "out", []
+    s.import_folder(spark, folder(**FACTS), str(target))
+    before = _stored(spark, target)
+    write, recover = together.write_merged, together.recover
+
+    def failing(rows, path, partition):
+        if len(done) == writes:
+            if lost_driver:  # nobody is left to put anything back
+                monkeypatch.setattr(together, "recover", lambda *_: 0)
+            raise OSError("disk full")
+        done.append(path)
+        write(rows, path, partition)
+
+    monkeypatch.setattr(together, "write_merged", failing)
+    with pytest.raises(OSError, match="disk full"):
+        s.import_folder(spark, folder(**FACTS, **CHANGED), str(target))
+    if lost_driver:
+        assert recover(spark, str(target)) == 1
+    assert _stored(spark, target) == before
+    assert list((target / "_aside").iterdir()) == []
+
+    monkeypatch.undo()
+    s.import_folder(spark, folder(**FACTS, **CHANGED), str(target))
+    after = _stored(spark, target)
+    assert after != before and len(after["valeur_indicateur"]) == 5
+    assert recover(spark, str(target)) == 0 and _stored(spark, target) == after
+
+
+def test_a_first_import_that_fails_leaves_no_table(spark, folder, tmp_path, monkeypatch):
+    target, write = tmp_path / "out", together.write_merged
+
+    def failing(rows, path, partition):
+        if path.endswith("valeur_indicateur"):
+            raise OSError("disk full")
+        write(rows, path, partition)
+
+    monkeypatch.setattr(together, "write_merged", failing)
+    with pytest.raises(OSError):
+        s.import_folder(spark, folder(**FACTS), str(target))
+    assert _stored(spark, target) == {}
+
+
 def test_missing_sheets_are_left_out(spark, folder, tmp_path):
     missing = {name: None for name in SHEETS if name not in (s.NEEDS, s.AREAS)}
     assert set(s.import_folder(spark, folder(**missing), str(tmp_path / "out"))) == {"besoin", "epci"}
