@@ -4,7 +4,8 @@ Features are word 2- and 3-grams that occur in the templates; all others weigh n
 so that the model is sparse and a paragraph without any is unknown whatever its
 length. A multinomial logistic regression over licence families and ``unknown`` is
 trained in numpy: positives are cut-outs of the templates with words left out or
-strange words around, negatives are paragraphs of the corpus (a bounded sample) and mixed-up template words. Kept-back examples calibrate a
+strange words around, negatives are paragraphs of the corpus (a bounded sample), templates whose family's
+own words are replaced by strange ones if it is short, and mixed-up template words. Kept-back examples calibrate a
 temperature and the probability below which a prediction is ``unknown``. A prediction
 stands if enough of the statement's word pairs also occur in one template of the family.
 
@@ -16,7 +17,9 @@ statements; those of one family that follow each other closely are one.
 
 from __future__ import annotations
 
+import heapq
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -98,12 +101,14 @@ WORD = re.compile(r"[^\W_]+")
 LENGTHS = (2, 3)  # words of an n-gram
 GAP = 6  # words between features of one statement
 #: Training: cut-outs of each template, corpus paragraphs (documents they come from, of at most so many code points), passes, rate, seed.
-CUTS, PARAGRAPHS, DOCUMENTS, DOCUMENT_CHARS, EPOCHS, RATE, SEED = 40, 1500, 300, 20_000, 150, 4.0, 11
-#: Part of the negatives kept back that may be taken for a licence; part of the word pairs of a statement or template (the shorter) that both must have.
-MAY_ACCEPT, CONFIRM = 0.002, 0.6
-#: Bounds of the calibrated probability that a prediction needs.
-ACCEPT_LEAST, ACCEPT_MOST = 0.7, 0.95
-KEPT_BACK = 0.25
+CUTS, PARAGRAPHS, DOCUMENTS, DOCUMENT_CHARS, EPOCHS, RATE, SEED = 40, 1500, 300, 20_000, 400, 6.0, 11
+#: Parts of the negatives kept back that may be taken for a licence and of the positives that may be missed: the threshold lies
+#: halfway between, or where the first is kept. Part of the word pairs of a statement or template (the shorter) that both must have.
+MAY_ACCEPT, MAY_MISS, CONFIRM = 0.002, 0.02, 0.6
+#: Words of a statement for each of its template, at most; words between two parts of one statement, at most.
+LONGEST, APART = 2, 64
+#: Training: versions of each template of at most so many words without its family's own words; part of the examples kept back.
+STRIPPED, SHORT, KEPT_BACK = 20, 12, 0.25
 
 
 def words_of(text: str) -> list[str]:
@@ -145,7 +150,10 @@ class Classifier:
     def confirmed(self, words: list[str], family: str) -> bool:
         pairs = set(zip(words, words[1:], strict=False))
         # the shorter of the two counts: a statement may be a cut-out of a template, or have words around it
-        return any(t and len(pairs & t) >= CONFIRM * min(len(pairs), len(t)) for t in self.template_pairs[family] if pairs)
+        return any(
+            len(words) <= LONGEST * (len(t) + 1) and len(pairs & t) >= CONFIRM * min(len(pairs), len(t))
+            for t in self.template_pairs[family] if t and pairs
+        )
 
     def found(self, words: list[str]) -> tuple[list[tuple[int, int, str, float]], bool]:
         """Confirmed statements of a stretch, each with its first and last word, family and probability; whether none confirms a family."""
@@ -153,7 +161,7 @@ class Classifier:
         whole = [(0, len(words) - 1, family, p)] if confirmed else []
         split: list[tuple[int, int, str, float]] = []
         for a, b, f, q in self.parts(words):
-            if split and split[-1][2] == f:
+            if split and split[-1][2] == f and a - split[-1][1] <= APART:
                 split[-1] = (split[-1][0], b, f, max(q, split[-1][3]))
             else:
                 split.append((a, b, f, q))
@@ -163,21 +171,57 @@ class Classifier:
         return sorted(whole + split) if families - {family} else whole, False
 
     def parts(self, words: list[str]) -> list[tuple[int, int, str, float]]:
-        """Places in order where most pairs of a template lie and its family is predicted."""
+        """Places in order where most pairs of a template lie and its family is predicted; where some overlap, the one with most.
+
+        One pass finds the pairs of all templates. A place is at most twice as long as its template, so that what
+        overlaps and is looked at again is bounded as well.
+        """
         pairs = list(zip(words, words[1:], strict=False))
-        options, held = [], set(pairs)
-        for family, templates in self.template_pairs.items():
-            for t in templates:
-                if t and len(held & t) >= CONFIRM * len(t):
-                    gain, a, b = _densest(pairs, t)
-                    if len(t.intersection(pairs[a : b + 1])) >= CONFIRM * len(t):
-                        options.append((-gain, a, b + 1, family))
-        for _, a, b, family in sorted(options):
+        hits: dict[int, list[int]] = {}
+        for i, pair in enumerate(pairs):
+            for t in self.holders.get(pair, ()):
+                hits.setdefault(t, []).append(i)
+        waiting = [run for t, at in hits.items() for run in self.runs(t, pairs, at)]
+        heapq.heapify(waiting)
+        taken: list[tuple[int, int, str, float]] = []
+        while waiting:
+            _, a, b, t = heapq.heappop(waiting)
+            # those that end at or after its start and start at or before its end
+            first, last = bisect_left(taken, a, key=lambda x: x[1]), bisect_right(taken, b, key=lambda x: x[0])
+            over = taken[first:last]
+            if over:  # what the others leave of it
+                for lo, hi in zip([a, *(x[1] + 1 for x in over)], [*(x[0] - 1 for x in over), b], strict=True):
+                    at = hits[t]
+                    for run in self.runs(t, pairs, at[bisect_left(at, lo) : bisect_left(at, hi)]):
+                        heapq.heappush(waiting, run)
+                continue
             name, p, confirmed = self.predict(words[a : b + 1])
-            if confirmed and name == family:
-                later = [(b + 1 + x, b + 1 + y, f, q) for x, y, f, q in self.parts(words[b + 1 :])]
-                return [*self.parts(words[:a]), (a, b, family, p), *later]
-        return []
+            if confirmed and name == self.templates[t][0]:
+                taken.insert(first, (a, b, name, p))
+        return taken
+
+    def runs(self, t: int, pairs: list[tuple[str, str]], at: list[int]) -> Iterator[tuple[int, int, int, int]]:
+        """Runs that hold most pairs of a template, from the places of its pairs: less its gain, first and last word, template.
+
+        A new pair of the template counts for a run, any other against it; a run ends where it gains most, and the next
+        one is sought from there.
+        """
+        size, k = len(self.templates[t][1]), 0
+        while len(at) - k >= CONFIRM * size:
+            gain, seen, before = 0, set(), at[k] - 1
+            best = (0, k, 0)
+            for j in range(k, len(at)):
+                gain -= at[j] - before - 1
+                if gain <= 0 and seen or len(seen) == size:
+                    break
+                gain += -1 if pairs[at[j]] in seen else 1
+                seen.add(pairs[at[j]])
+                before = at[j]
+                if gain > best[0]:
+                    best = (gain, j, len(seen))
+            if best[2] >= CONFIRM * size:
+                yield -best[0], at[k], at[best[1]] + 1, t
+            k = best[1] + 1
 
     def statements(self, paragraph: str) -> Iterator[tuple[int, int, list[str]]]:
         """Start, end and words of the statements in a paragraph: n-grams of the model that are close to each other."""
@@ -196,18 +240,11 @@ class Classifier:
 
     def __post_init__(self):
         self.pairs = {g for g in self.feature if len(g) == 2}
-
-
-def _densest(pairs: list[tuple[str, str]], template: frozenset) -> tuple[int, int, int]:
-    """Gain, first and last of the run of pairs with most new pairs of a template, those that are not counted against it."""
-    best, gain, start, seen = (0, 0, -1), 0, 0, set()
-    for i, pair in enumerate(pairs):
-        if gain <= 0:
-            gain, start, seen = 0, i, set()
-        gain += 1 if pair in template and pair not in seen else -1
-        seen.add(pair)
-        best = max(best, (gain, start, i), key=lambda x: x[0])
-    return best
+        self.templates = [(f, t) for f, all_of in self.template_pairs.items() for t in all_of if t]
+        self.holders: dict[tuple[str, str], list[int]] = {}
+        for i, (_, t) in enumerate(self.templates):
+            for pair in t:
+                self.holders.setdefault(pair, []).append(i)
 
 
 def _softmax(x: np.ndarray) -> np.ndarray:
@@ -234,9 +271,22 @@ def train(paragraphs: list[str], seed: int = SEED) -> Classifier:
             at = int(rng.integers(0, len(words) - size + 1))
             kept = [w for w in words[at : at + size] if size < 8 or rng.random() > 0.05]
             examples.append((some(int(rng.integers(0, 6)), strange) + kept + some(int(rng.integers(0, 6)), strange), families.index(family)))
+    ordinary = len(examples)
     for p in paragraphs[:PARAGRAPHS]:
         examples.append((words_of(p), len(families)))
-    for _ in range(len(examples) // 2):  # words of licences in no order are no licence
+    stripped = len(examples)
+    used_by = {w: {f for f, t in texts if w in t} for w in vocabulary}
+    pairs_of = {f: [frozenset(zip(words, words[1:], strict=False)) for g, words in texts if g == f] for f in families}
+    judge = Classifier(families, {}, np.zeros(0), np.zeros(0), template_pairs=pairs_of)
+    # a short statement without what names its family is no licence that is known, unless it is another's
+    for family, words in texts:
+        own = [len(used_by[w]) == 1 for w in words]
+        for _ in range(STRIPPED if len(words) <= SHORT and any(own) else 0):
+            bare = [some(1, strange)[0] if x else w for x, w in zip(own, words, strict=True)]
+            if not any(judge.confirmed(bare, f) for f in families if f != family):
+                examples.append((some(int(rng.integers(0, 6)), strange) + bare + some(int(rng.integers(0, 6)), strange), len(families)))
+    mixed = len(examples)
+    for _ in range(ordinary):  # words of licences in no order are no licence
         examples.append((some(int(rng.integers(3, 15)), vocabulary + ["of", "the", "and", "is"] * 10), len(families)))
     x = np.zeros((len(examples), len(feature)), np.float32)
     for row, (words, _) in enumerate(examples):
@@ -246,8 +296,9 @@ def train(paragraphs: list[str], seed: int = SEED) -> Classifier:
     held, used = order[: int(len(y) * KEPT_BACK)], order[int(len(y) * KEPT_BACK) :]
     classes = len(families) + 1
     target = np.eye(classes, dtype=np.float32)[y]
-    share = 1 / (classes * np.maximum(1, np.bincount(y[used], minlength=classes)))
-    row_weight = share[y[used]].astype(np.float32)[:, None]
+    # every family weighs the same, and so do the three kinds of negatives
+    kind = y + np.searchsorted([stripped, mixed], np.arange(len(y)), side="right")
+    row_weight = (1 / (np.bincount(kind[used])[kind[used]] * (classes + 2))).astype(np.float32)[:, None]
     w, b = np.zeros((len(feature), classes), np.float32), np.zeros(classes, np.float32)
     for _ in range(EPOCHS):
         error = (_softmax(x[used] @ w + b) - target[used]) * row_weight
@@ -258,12 +309,17 @@ def train(paragraphs: list[str], seed: int = SEED) -> Classifier:
     losses = {t: -np.mean(np.log(np.maximum(_softmax(logits / t)[at, y[held]], 1e-12))) for t in np.geomspace(0.02, 5, 41)}
     temperature = min(losses, key=losses.get)
     p = _softmax(logits / temperature)
-    wrong = p[y[held] == len(families), :-1].max(axis=1)
-    accept = float(np.clip(np.quantile(wrong, 1 - MAY_ACCEPT) if len(wrong) else 0, ACCEPT_LEAST, ACCEPT_MOST))
-    return Classifier(
-        families, feature, w.astype(np.float64), b.astype(np.float64), float(temperature), accept,
-        {f: [frozenset(zip(words, words[1:], strict=False)) for g, words in texts if g == f] for f in families},
-    )
+    # how probable the families are that templates confirm, in examples of none and of their own
+    wrong, right = [0.0], [1.0]
+    for i, q, best in zip(held, p, p[:, :-1].argmax(axis=1), strict=True):
+        confirmed = judge.confirmed(examples[i][0], families[best])
+        if y[i] == len(families):
+            wrong.append(q[best] if confirmed else 0.0)
+        elif confirmed and y[i] == best:
+            right.append(q[best])
+    least, most = np.quantile(wrong, 1 - MAY_ACCEPT), np.quantile(right, MAY_MISS)
+    accept = float(least + most) / 2 if least < most else float(least)
+    return Classifier(families, feature, w.astype(np.float64), b.astype(np.float64), float(temperature), accept, pairs_of)
 
 
 def sample_paragraphs(rows: DataFrame, key: str, text: str) -> list[str]:

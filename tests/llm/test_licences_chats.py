@@ -1,6 +1,8 @@
 """Licence scans on held-out statements, chat formatting on small conversations."""
 
 import json
+import random
+import time
 
 import pytest
 
@@ -59,6 +61,61 @@ def test_several_licences_on_one_line(docs_of, model):
         assert word in text and not ("Apache" in text and "MIT" in text)
 
 
+def test_spans_where_lower_case_is_longer(docs_of, model):
+    text = "İİİİ Released under the MIT License."
+    assert licences.scan_licences(docs_of((1, text)), model).first()["spans"] == "MIT:5:35"
+
+
+def test_what_only_speaks_of_licences(docs_of, model):
+    texts = [
+        "Licensed under the Foo License, Version 2.0.", "Released under the terms of the Bar license.", "Licensed under the Quux Public License 1.5.",
+        "The MIT campus and the Apache helicopter are on the photograph", "Mozilla was founded to write a public web browser",
+        "You may obtain a copy of the map at the desk", "the general public licence fee was raised by the lesser council",
+    ]
+    got = licences.scan_licences(docs_of(*enumerate(texts)), model).collect()
+    assert [(r["text"], r["spans"]) for r in got if r["licences"]] == []
+
+
+def test_statements_against_all_windows(model):
+    """Every template that stands whole in a line is found at its place, and what is found holds most of one of its family's."""
+    rng = random.Random(5)
+    every = [(f, licences.words_of(t)) for f, all_of in licences.TEMPLATES.items() for t in all_of]
+    loose = sorted({w for _, t in every for w in t})
+    for _ in range(60):
+        words, planted = [], []
+        for family, t in rng.sample(every, 3):
+            words += [rng.choice(loose + ["und", "les"] * 40) for _ in range(rng.randrange(70, 90))]
+            planted.append((family, len(words), len(words) + len(t) - 1))
+            words += t
+        found = model.parts(words)
+        assert all(x[1] < y[0] for x, y in zip(found, found[1:], strict=False))
+        for family, a, b in planted:
+            assert any(f == family and x <= b and y >= a for x, y, f, _ in found), (family, words[a : b + 1], found)
+        for x, y, f, _ in found:
+            pairs = set(zip(words[x:y], words[x + 1 : y + 1], strict=True))
+            assert any(len(pairs & t) >= licences.CONFIRM * len(t) for t in model.template_pairs[f])
+
+
+@pytest.mark.parametrize("kind", ["words of templates in any order", "statements one after the other"])
+def test_a_long_line_takes_time_in_proportion(model, kind):
+    rng = random.Random(3)
+    every = [t for all_of in licences.TEMPLATES.values() for t in all_of]
+    loose = [w for t in every for w in t.split()]
+
+    def took(size):
+        parts, length = [], 0
+        while length < size:
+            parts.append(rng.choice(every if kind.startswith("statements") else loose))
+            length += len(parts[-1]) + 1
+        line, start = " ".join(parts), time.process_time()
+        for _, _, words in model.statements(line):
+            model.found(words)
+        return time.process_time() - start
+
+    took(100_000)
+    assert took(1_000_000) < 3.5 * took(500_000)
+
+
 def test_training_without_documents(docs_of):
     empty = docs_of((1, "a")).where("false")
     found = licences.train(licences.sample_paragraphs(empty, "doc_id", "text")).predict(licences.words_of("Released under the MIT License."))
