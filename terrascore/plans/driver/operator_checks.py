@@ -18,6 +18,7 @@ from terrascore.operators.scoring import group_means_of_needs
 from terrascore.plans.driver.registry import Tables, query
 from terrascore.plans.driver.scoring_checks import TERRITORIES_SQL, territories
 from terrascore.plans.serving import area_by_code, weakest_first
+from terrascore.sources.search import find_one_indexed, suggest_indexed, write_search_index
 
 # --- filters -----------------------------------------------------------------
 
@@ -137,6 +138,30 @@ def search_one(t: Tables) -> DataFrame:
     return find_one(areas, "12", "code", "nom")
 
 
+def _search_index(t: Tables) -> str:
+    path = t.scratch("search")
+    write_search_index(t.customer, path, "c_custkey", "c_name")
+    return path
+
+
+@query(
+    "search_suggest_indexed",
+    """SELECT '' || c_custkey AS code, c_name AS name FROM customer
+       WHERE lower(c_name) LIKE '%er#%042%' OR '' || c_custkey LIKE '%er#%042%' ORDER BY name, code LIMIT 8""",
+)
+def search_suggest_indexed(t: Tables) -> DataFrame:
+    return suggest_indexed(t.spark, _search_index(t), "ER#%042")
+
+
+@query(
+    "search_one_indexed",
+    """SELECT '' || c_custkey AS code, c_name AS name FROM customer
+       WHERE '' || c_custkey = '42' OR lower(c_name) LIKE '%42%' ORDER BY ('' || c_custkey = '42') DESC, name, code LIMIT 1""",
+)
+def search_one_indexed(t: Tables) -> DataFrame:
+    return find_one_indexed(t.spark, _search_index(t), "42")
+
+
 # --- joins -------------------------------------------------------------------
 
 
