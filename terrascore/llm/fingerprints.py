@@ -6,6 +6,9 @@ inner substrings is that of the first or the last one. Whether a k-mer is an anc
 depends on its own words alone, so that a shared passage gives the same anchors in
 every text, and one of any ``K - S + 1`` k-mers in a row is an anchor. Native
 expressions only: arrays of hashes, with sliding minima made by doubling.
+
+A text of fewer than ``K`` words, or of very long ones (an unspaced script, an encoded
+run), is a run of code points instead of words.
 """
 
 from __future__ import annotations
@@ -20,6 +23,7 @@ S = 2  # words of an inner substring
 SPAN = 8  # inner substrings of a k-mer: a power of two
 K = SPAN + S - 1
 BLANK = r"\s+"
+LONG = 64  # code points of a word, in the mean: from there on a text is taken by code points
 #: Neighbouring documents meet in ranges of ids: so many ranges for each shuffle partition, and at most so many.
 RANGES_EACH, RANGES_MOST, SAMPLE_EACH = 4, 16384, 24
 
@@ -32,9 +36,11 @@ def _shifted(values: Column, by: int) -> Column:
 def anchors(text: Column) -> Column:
     """``array<struct<pos int, hash long>>``: closed syncmers in order; ``pos`` is that of their first word, from 0.
 
-    A text without any (one of fewer than ``K`` words, for the most part) has one
-    anchor at -1, the hash of the whole text; so do the null and the empty text.
+    A text of fewer than ``K`` words or of ``LONG`` or more code points a word is taken by code points, blanks
+    at its ends left out. A text without anchors (one of fewer than ``K`` code points) has one
+    at -1, the hash of the whole text; so do the null and the empty text.
     """
+    plain = F.trim(F.coalesce(text, F.lit("")))
     whole = F.array(F.struct(F.lit(-1).alias("pos"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("hash")))
 
     def of_words(words: Column) -> Column:
@@ -49,7 +55,11 @@ def anchors(text: Column) -> Column:
         return F.transform(edge, lambda i: F.struct(
             i.alias("pos"), F.xxhash64(F.slice(words, i + 1, F.lit(K))).alias("hash")))
 
-    return _let(_let(F.split(F.trim(F.coalesce(text, F.lit(""))), BLANK), of_words),
+    def units(words: Column) -> Column:
+        by_words = (F.size(words) >= K) & (F.char_length(plain) < LONG * F.size(words))
+        return F.when(by_words, words).otherwise(F.split(plain, ""))
+
+    return _let(_let(_let(F.split(plain, BLANK), units), of_words),
                 lambda a: F.when(F.size(a) > 0, a).otherwise(whole))
 
 

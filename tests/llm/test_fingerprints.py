@@ -1,6 +1,7 @@
 """Closed syncmers against a plain Python version."""
 
 import hashlib
+import random
 
 from pyspark.sql import functions as F
 
@@ -41,6 +42,22 @@ def test_short_and_empty_texts(spark):
     assert same == 1 / 3
 
 
+def test_short_and_unspaced_texts_have_several_anchors(spark):
+    rng = random.Random(1)
+    han = "".join(chr(rng.randrange(0x4E00, 0x9FA5)) for _ in range(3200))
+    smileys = "".join(chr(rng.randrange(0x1F600, 0x1F640)) for _ in range(200))
+    rows = [(0, han), (1, han[:1600] + han[:1600]), (2, "eight words or fewer are a short text"), (3, "x" * 500), (4, smileys), (5, "abcdefgh"), (6, " abcdefgh ")]
+    got = {r["i"]: r["a"] for r in spark.createDataFrame(rows, "i int, t string").select("i", anchors(F.col("t")).alias("a")).collect()}
+    for i, text in ((0, han), (4, smileys), (2, rows[2][1])):
+        inner = [r[0] for r in spark.createDataFrame([(k, *p) for k, p in enumerate(zip(text, text[1:], strict=False))], "k int, a string, b string").orderBy(
+            "k").select(F.xxhash64("a", "b")).collect()]
+        windows = [inner[k : k + SPAN] for k in range(len(text) - K + 1)]
+        assert [a["pos"] for a in got[i]] == [k for k, w in enumerate(windows) if min(w) in (w[0], w[-1])]
+    assert len({a["hash"] for a in got[0]} & {a["hash"] for a in got[1]}) > 1600 // SPAN - 2
+    assert len(got[3]) == 500 - K + 1 and len({a["hash"] for a in got[3]}) == 1
+    assert [a["pos"] for a in got[5]] == [a["pos"] for a in got[6]] == [-1]
+
+
 def edited(texts):
     out = {}
     ids = sorted(texts)
