@@ -12,10 +12,10 @@ similarity. A text with an empty coordinate throws on, to twice the rank.
 Coordinates are joined in bands. In a bucket every member is first compared with its
 central one, which joins most of a group of copies. What links have not joined then is
 compared inside bounded leaves: a bucket that fits is a leaf, and all pairs of different
-components in it are checked; a larger one is split by further coordinates of the
-signature, deeper the larger it is, in several trees, so that a similar pair meets in some
-leaf, and its leaves are treated alike. A leaf gives at most one link less than it has
-components, so nothing grows with the square of a group.
+components in it are checked. A leaf gives at most one link less than it has
+components. Members of larger buckets are joined by their rarest shingles instead: the
+common ones of a similar pair begin early in both texts' shingles, rarest first, so that
+a pair which has none there is not similar, and no similar pair is left out.
 
 Every link is checked on the texts' bags of 32-bit shingle hashes.
 """
@@ -29,6 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from terrascore.llm.base import fresh, slices, stage, table
 from terrascore.llm.components import components
@@ -40,8 +41,8 @@ WORDS, SIMILAR = 5, 0.8
 BANDS, ROWS = 26, 6
 #: What a leaf may hold: members, and bytes of bags; so few members are one whatever their size.
 LEAF, LEAF_BYTES, FEW = 1024, 8 << 20, 16
-#: Coordinates by which a bucket is split for each time that halving it would be needed.
-DEEPER = 1.25
+#: What rounding may take from a bound on units of weight.
+SLACK = 1e-6
 #: Bytes of words worked on at a time, and rows of an Arrow batch (each may hold two bags).
 SLICE, BATCH = 1 << 19, 128
 SEED = 0x9E3779B97F4A7C15
@@ -164,18 +165,13 @@ def weighted_jaccard(a: np.ndarray, b: np.ndarray) -> float:
 
 
 def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Band keys, and a byte of each coordinate; both mean nothing for a text without words."""
+    """Band keys, which mean nothing for a text without words."""
     for batch in slices(batches, "words", SLICE):
         value, number = shingles([t.encode() for t in batch.column(3).to_pylist()])
-        signatures = dart_signatures(value, number)
-        keys = band_keys(signatures)
+        keys = band_keys(dart_signatures(value, number))
         bands = pa.ListArray.from_arrays(
             pa.array(np.arange(len(keys) + 1, dtype=np.int32) * BANDS), pa.array(keys.reshape(-1)))
-        with np.errstate(over="ignore"):
-            short = (mix(signatures.view(np.uint64)) >> np.uint64(56)).astype(np.uint8)
-        yield pa.RecordBatch.from_arrays(
-            [*batch.columns[:3], bands, pa.array([x.tobytes() for x in short], pa.binary())],
-            ["id", "mark", "digest", "bands", "coordinates"])
+        yield pa.RecordBatch.from_arrays([*batch.columns[:3], bands], ["id", "mark", "digest", "bands"])
 
 
 def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -194,6 +190,20 @@ def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.float64())], ["a", "b", "similarity"])
 
 
+def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Nodes with every unit of their weight: a shingle's hash, and below it the times that the text had it before."""
+    for batch in slices(batches, "bag", SLICE):
+        bags = [np.frombuffer(b, np.uint32) for b in batch.column(1).to_pylist()]
+        number = np.array([len(b) for b in bags])
+        token, text = np.concatenate(bags), np.repeat(np.arange(len(bags)), number)
+        new = np.ones(len(token), bool)
+        new[1:] = (token[1:] != token[:-1]) | (text[1:] != text[:-1])
+        layer = ramp(np.diff(np.append(np.flatnonzero(new), len(token))))
+        unit = (token.astype(np.uint64) << np.uint64(32) | layer.astype(np.uint64)).view(np.int64)
+        units = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(number)]), pa.int32()), pa.array(unit))
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(number, pa.int64()), units], ["node", "size", "units"])
+
+
 def leaf_links(roots: list[int], bags: list[bytes], similar: float) -> list[tuple[int, int, float]]:
     """Links that join the components of a leaf, as places of members; every pair of different components is compared.
 
@@ -286,10 +296,10 @@ def text_classes(rows: DataFrame, key: str, text: str, similar: float, mark: Col
     said = texts.select("id", "mark", words_of(F.col("text")).alias("words"))
     with settings(spark, {"spark.sql.execution.arrow.maxRecordsPerBatch": BATCH}):
         signed = stage(said.select("id", "mark", F.when(F.col("words") != "", F.md5("words")).alias("digest"), "words").mapInArrow(
-            _signed, "id long, mark long, digest string, bands array<long>, coordinates binary"), "signed")
+            _signed, "id long, mark long, digest string, bands array<long>"), "signed")
         nodes = stage(signed.where(F.col("digest").isNotNull()).groupBy("digest").agg(
-            F.min("id").alias("least"), F.min(F.struct("id", "mark")).alias("row"), F.first("bands").alias("bands"),
-            F.first("coordinates").alias("coordinates")).withColumn("node", F.monotonically_increasing_id()), "nodes")
+            F.min("id").alias("least"), F.min(F.struct("id", "mark")).alias("row"), F.first("bands").alias("bands")
+        ).withColumn("node", F.monotonically_increasing_id()), "nodes")
         members = nodes.select(F.explode("bands").alias("key"), "node")
         sizes = members.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
         met = stage(members.join(sizes, "key"), "met")
@@ -320,22 +330,14 @@ def _linked(texts: DataFrame, nodes: DataFrame, met: DataFrame, similar: float)
     links = _verified(bags, _stars(met), similar)
     roots = components(links)
     sizes = bags.select("node", F.octet_length("bag").alias("size"))
-    buckets = met.select("key", "node")
-    while True:
-        members = _open(buckets, roots, sizes)
-        if not members.limit(1).count():
-            break
-        fits = (F.col("n") <= LEAF) & ((F.col("bytes") <= LEAF_BYTES) | (F.col("n") <= FEW))
-        leaves = members.where(fits).join(bags, "node").select("key", "node", "root", "bag").repartition("key").sortWithinPartitions("key")
-        links, roots = _more(links, roots, stage(leaves.mapInArrow(_in_leaves(similar), "a long, b long, similarity double"), "found"))
-        large = members.where(~fits)
-        if not large.limit(1).count():
-            break
-        # those that are still open, split; in leaves that are still large all meet one of them first
-        buckets = stage(_split(_open(large.select("key", "node"), roots, sizes), nodes), "leaves")
-        centres = buckets.groupBy("key").agg(
-            F.min_by("node", F.xxhash64("node", "key")).alias("central"), F.count(F.lit(1)).alias("n")).where(F.col("n") > FEW)
-        links, roots = _more(links, roots, _verified(bags, _paired(buckets.join(centres, "key")), similar))
+    members = _open(met.select("key", "node"), roots, sizes)
+    fits = (F.col("n") <= LEAF) & ((F.col("bytes") <= LEAF_BYTES) | (F.col("n") <= FEW))
+    leaves = members.where(fits).join(bags, "node").select("key", "node", "root", "bag").repartition("key").sortWithinPartitions("key")
+    links, roots = _more(links, roots, stage(leaves.mapInArrow(_in_leaves(similar), "a long, b long, similarity double"), "found"))
+    large = members.where(~fits)
+    if large.limit(1).count():
+        pairs = _by_rare_shingles(_open(large.select("key", "node"), roots, sizes), bags, similar)
+        links, roots = _more(links, roots, _verified(bags, pairs, similar))
     return stage(links.dropDuplicates(["a", "b"]), "links"), roots
 
 
@@ -367,21 +369,32 @@ def _open(members: DataFrame, roots: DataFrame, sizes: DataFrame) -> DataFrame:
     return stage(rooted.join(several.drop("x", "y"), "key").select("key", "node", "root", "n", "bytes"), "open")
 
 
-def _split(members: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Leaves of buckets: members that agree in some further coordinates, drawn anew for each bucket and tree.
+def _by_rare_shingles(members: DataFrame, bags: DataFrame, similar: float) -> DataFrame:
+    """Pairs ``a < b`` of the members of open buckets, among them every similar one that shares a bucket and no component.
 
-    A pair of similarity 0.8 stays together in one of a bucket's trees with a probability of about 0.65, whatever
-    their depth, and it shares about seven buckets.
+    Units of weight are put in one order for all members, rarest first. If the first common unit of two texts is at
+    places i and j, they have at most ``min(size_a - i, size_b - j)`` in common, of which similar ones need
+    ``similar / (1 + similar) * (size_a + size_b)``. Such a pair is found by that unit. One member of each pair is
+    outside the largest component of a bucket; only these search.
     """
-    times = F.greatest(F.col("n") / LEAF, F.col("bytes") / LEAF_BYTES)
-    depth = F.greatest(F.lit(1), F.ceil(DEEPER * F.log2(times))).cast("int")
-    trees = F.ceil(F.pow(F.lit(1 / SIMILAR), depth)).cast("int")
-    each = members.select("key", "node", depth.alias("depth"), F.explode(F.sequence(F.lit(1), trees)).alias("tree"))
-    drawn = f"substring(coordinates, cast(1 + pmod(xxhash64(key, tree, j), {BANDS * ROWS}) as int), 1)"
-    leaf = F.expr(f"xxhash64(key, tree, transform(sequence(1, depth), j -> {drawn}))")
-    leaves = each.join(nodes.select("node", "coordinates"), "node").select(leaf.alias("key"), "node").distinct()
-    several = leaves.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
-    return leaves.join(several.select("key"), "key", "left_semi")
+    counted = members.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"))
+    major = counted.groupBy("key").agg(F.max_by("root", F.struct("n", "root")).alias("major"))
+    nodes = stage(members.join(major, "key").groupBy("node", "root").agg(
+        F.max(F.col("root") != F.col("major")).alias("searches")), "nodes")
+    units = stage(bags.join(nodes.select("node"), "node").select("node", "bag").mapInArrow(
+        _units, "node long, size long, units array<long>"), "units").select("node", "size", F.explode("units").alias("unit"))
+    common = units.groupBy("unit").agg(F.count(F.lit(1)).alias("texts")).where(F.col("texts") > 1)
+    of = Window.partitionBy("node")
+    # units of one text alone come first in the order and join nothing
+    place = F.col("size") - F.count(F.lit(1)).over(of) + F.row_number().over(of.orderBy("texts", "unit")) - 1
+    rest = units.join(common, "unit").withColumn("rest", F.col("size") - place)  # units from this one on
+    early = rest.where(F.col("rest") >= similar * F.col("size") - SLACK).join(nodes, "node")
+    early = stage(early.select("unit", "node", "root", "size", "rest", "searches"), "early")
+    one = early.where("searches").drop("searches").toDF("unit", "a", "root_a", "size_a", "rest_a")
+    other = early.drop("searches").toDF("unit", "b", "root_b", "size_b", "rest_b")
+    enough = (1 + similar) * F.least("rest_a", "rest_b") >= similar * (F.col("size_a") + F.col("size_b")) - SLACK
+    met = one.join(other, "unit").where((F.col("root_a") != F.col("root_b")) & enough)
+    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def _paired(starred: DataFrame) -> DataFrame:

@@ -164,6 +164,25 @@ def test_a_large_bucket_is_split_into_leaves(docs_of, monkeypatch):
     assert all(want[i] == want[got[i]] for i in texts)
 
 
+def test_no_link_of_a_large_bucket_is_lost(docs_of, monkeypatch):
+    monkeypatch.setattr(neardup, "LEAF", 24)
+    monkeypatch.setattr(neardup, "FEW", 4)
+    r, number = random.Random(21), 0
+    hub, texts = [f"h{i % 90}" for i in range(120)], {}  # with shingles that occur twice
+    for _ in range(40):
+        texts[number] = " ".join(edited(hub, r, 1))
+        number += 1
+    for _ in range(250):  # unlike the hub, and like one other text, as little as can be
+        first = edited(hub, r, 6)
+        second = edited(first, r, 2) + first[-(r.randrange(8)):]
+        texts[number], texts[number + 1] = " ".join(first), " ".join(second)
+        number += 2
+    want, pairs = classes_by_brute_force(texts)
+    assert len({want[i] for i in range(40, number)}) > 200 and len(pairs) > 300
+    got = neardup.near_duplicates(docs_of(*texts.items()))[0]
+    assert {r["doc_id"]: r["class_id"] for r in got.collect()} == want
+
+
 def test_links_of_a_leaf_join_what_brute_force_joins():
     r = random.Random(13)
     for _ in range(40):
