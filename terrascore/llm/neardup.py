@@ -41,6 +41,8 @@ WORDS, SIMILAR = 5, 0.8
 BANDS, ROWS = 26, 6
 #: What a leaf may hold: members, and bytes of bags; so few members are one whatever their size.
 LEAF, LEAF_BYTES, FEW = 1024, 8 << 20, 16
+#: Bits of the map of rows that a stage may drop: 4 MB, however many rows there are.
+MARKED = 1 << 25
 #: What rounding may take from a bound on units of weight.
 SLACK = 1e-6
 #: Bytes of words worked on at a time, and rows of an Arrow batch (each may hold two bags).
@@ -431,14 +433,24 @@ def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     said = signed.where(F.col("digest").isNotNull())
     digests = said.groupBy("digest").agg(F.min(smallest).alias("first")).join(classes, "digest")
     winners = stage(digests.groupBy("root").agg(F.min("first").alias("stays")).select("stays.id", "stays.mark"), "winners")
-    own, copy, copy_id = fresh(docs, "mark", "copy", "copy_id")
+    own, copy, copy_id, part, bits = fresh(docs, "mark", "copy", "copy_id", "part", "bits")
     wins = winners.select(F.col("id").alias(copy_id), F.col("mark").alias(copy))
     goes = said.join(wins, (F.col("mark") == F.col(copy)) & F.col("id").eqNullSafe(F.col(copy_id)), "left_anti")
     copies = stage(goes.select(F.col("id").alias(copy_id), F.col("mark").alias(copy)).distinct(), "copies")
-    same = (F.col(own) == F.col(copy)) & F.col("doc_id").eqNullSafe(F.col(copy_id))
-    kept = docs.withColumn(own, mark).join(copies, same, "left_anti")
     repeated = stage(said.groupBy("id", "mark").count().where("count > 1").select(
         F.col("id").alias(copy_id), F.col("mark").alias(copy)), "repeated")
+    # a bitmap of bounded size knows most rows that stay, so that only the others' texts are shuffled
+    bit = F.pmod(F.col(copy), F.lit(MARKED))
+    marked = stage(copies.union(repeated).groupBy(F.bitmap_bucket_number(bit).alias(part)).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position(bit)).alias(bits)), "marked")
+    bit = F.pmod(F.col(own), F.lit(MARKED))
+    at = F.bitmap_bit_position(bit)
+    byte = F.conv(F.hex(F.substring(F.col(bits), (F.floor(at / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    told = docs.withColumn(own, mark).withColumn(part, F.bitmap_bucket_number(bit)).join(marked, part, "left")
+    is_marked = F.coalesce(F.getbit(byte, (at % 8).cast("int")) == 1, F.lit(False))
+    same = (F.col(own) == F.col(copy)) & F.col("doc_id").eqNullSafe(F.col(copy_id))
+    kept = told.where(is_marked).drop(part, bits).join(copies, same, "left_anti")
     if repeated.limit(1).count():  # rows that are equal in every column
         kept = kept.join(repeated, same, "left_anti").union(kept.join(repeated, same, "left_semi").dropDuplicates([own]))
+    kept = told.where(~is_marked).drop(part, bits).unionByName(kept)
     return kept.select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -164,6 +164,15 @@ def test_a_large_bucket_is_split_into_leaves(docs_of, monkeypatch):
     assert all(want[i] == want[got[i]] for i in texts)
 
 
+def test_stage_shuffles_no_text_that_stays(docs_of, spark):
+    texts = [(i, f"text {i} has words {i * 7} of {i * 11} its {i * 13} own") for i in range(300)] + [(900, "Text 0 has words 0 of 0 its 0 own")]
+    out = neardup.dedup_stage(spark, docs_of(*texts), "")
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    stays, checked = plan.split("LeftAnti")[0], plan.split("LeftAnti")[1]
+    assert "getbit" in stays and "getbit" in checked  # a row whose bit is not set meets no list
+    assert {r["doc_id"] for r in out.collect()} == set(range(300))
+
+
 def test_no_link_of_a_large_bucket_is_lost(docs_of, monkeypatch):
     monkeypatch.setattr(neardup, "LEAF", 24)
     monkeypatch.setattr(neardup, "FEW", 4)
