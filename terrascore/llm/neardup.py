@@ -439,14 +439,14 @@ def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     copies = stage(goes.select(F.col("id").alias(copy_id), F.col("mark").alias(copy)).distinct(), "copies")
     repeated = stage(said.groupBy("id", "mark").count().where("count > 1").select(
         F.col("id").alias(copy_id), F.col("mark").alias(copy)), "repeated")
-    # a bitmap of bounded size knows most rows that stay, so that only the others' texts are shuffled
+    # a bitmap of bounded size, so always broadcast, knows most rows that stay: only the others' texts are shuffled
     bit = F.pmod(F.col(copy), F.lit(MARKED))
     marked = stage(copies.union(repeated).groupBy(F.bitmap_bucket_number(bit).alias(part)).agg(
         F.bitmap_construct_agg(F.bitmap_bit_position(bit)).alias(bits)), "marked")
     bit = F.pmod(F.col(own), F.lit(MARKED))
     at = F.bitmap_bit_position(bit)
     byte = F.conv(F.hex(F.substring(F.col(bits), (F.floor(at / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
-    told = docs.withColumn(own, mark).withColumn(part, F.bitmap_bucket_number(bit)).join(marked, part, "left")
+    told = docs.withColumn(own, mark).withColumn(part, F.bitmap_bucket_number(bit)).join(F.broadcast(marked), part, "left")
     is_marked = F.coalesce(F.getbit(byte, (at % 8).cast("int")) == 1, F.lit(False))
     same = (F.col(own) == F.col(copy)) & F.col("doc_id").eqNullSafe(F.col(copy_id))
     kept = told.where(is_marked).drop(part, bits).join(copies, same, "left_anti")
